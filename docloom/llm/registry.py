@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from docloom.llm.bpe import op1_bpe
+from docloom.llm.quality_classifier import op7_quality_classifier
+from docloom.llm.quality_rules import op4_quality_rules
 
-QUERIES = {"op1_bpe": op1_bpe}
+QUERIES = {f.__name__: f for f in (op1_bpe, op4_quality_rules, op7_quality_classifier)}
 ORACLES: dict[str, str] = {}
