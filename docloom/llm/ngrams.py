@@ -82,7 +82,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = rows.mapInArrow(extract, f"doc_id {kind}, y int, ids binary, counts binary").collect()
     got.sort(key=lambda r: (r.doc_id, bytes(r.ids)))
-    return [(r.y, np.frombuffer(r.ids, "<u4").astype(np.int64), np.frombuffer(r.counts, "<u4").astype(np.int64)) for r in got]
+    return [(r.y, np.frombuffer(r.ids, "<u4"), np.frombuffer(r.counts, "<u4")) for r in got]
 
 
 def calibrate(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:

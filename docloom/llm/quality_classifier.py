@@ -22,7 +22,7 @@ from docloom.llm import ngrams as N
 from docloom.llm import textkernel as K
 from docloom.llm.tables import crc_bucket, table
 
-SAMPLE_ROWS = 4_000
+SAMPLE_ROWS = 2_400
 HELD_OUT_OF, HELD_OUT, POSITIVE_FROM = 4, 2, 0.7
 
 
@@ -66,13 +66,14 @@ def fit(sample: list[tuple[int, np.ndarray, np.ndarray]], smoothing: float = 1.0
     held = np.arange(len(sample)) % 4 == 3
     if len(set(y[~held].tolist())) < 2 or len(set(y[held].tolist())) < 2:
         held[:] = False
-    plus = np.bincount(np.concatenate([np.zeros(0, np.int64), *(i for k, (_, i, _) in enumerate(sample) if y[k] and not held[k])]), minlength=N.FEATURES)
-    minus = np.bincount(np.concatenate([np.zeros(0, np.int64), *(i for k, (_, i, _) in enumerate(sample) if not y[k] and not held[k])]), minlength=N.FEATURES)
+    plus, minus = np.zeros(N.FEATURES, np.int64), np.zeros(N.FEATURES, np.int64)
+    for k in np.flatnonzero(~held):
+        (plus if y[k] else minus)[sample[k][1]] += 1
     p, q = plus + smoothing, minus + smoothing
     ratio = np.where(plus + minus >= least_texts, np.log(p / p.sum()) - np.log(q / q.sum()), 0.0)
     rows, values = [], []
     for _, ids, _ in sample:
-        ids = ids[ratio[ids] != 0]
+        ids = ids[ratio[ids] != 0].astype(np.int32)
         v = ratio[ids]
         rows.append(ids)
         values.append(v / max(np.sqrt(v @ v), 1e-12))

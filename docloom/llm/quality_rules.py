@@ -23,7 +23,7 @@ from docloom.llm import ngrams as N
 from docloom.llm import textkernel as K
 from docloom.llm.tables import table
 
-SAMPLE_ROWS = 4_000
+SAMPLE_ROWS = 2_400
 MIN_WORDS, WINDOW, REPEAT_PERCENT, KEEP_FROM = 10, 5, 20, 0.5
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -87,14 +87,17 @@ def fit(sample: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 60, rate:
     y = np.array([min(1, max(0, label)) for label, _, _ in sample], np.int64)
     if len(set(y.tolist())) < 2:
         return FrequencyModel(weights, 0.0, 0.0, 0.0 if not len(y) or y[0] else -1.0)
-    ids = np.concatenate([i for _, i, _ in sample])
-    rows = np.repeat(np.arange(len(sample)), [len(i) for _, i, _ in sample])
-    values = np.concatenate([c for _, _, c in sample]).astype(np.float64)
-    kind = ids // N.SPACE
-    totals = np.bincount(rows * N.KINDS + kind, values, len(sample) * N.KINDS)
-    values /= totals[rows * N.KINDS + kind]
-    common = np.bincount(ids, minlength=N.FEATURES)[ids] >= least_texts
-    ids, rows, values = ids[common], rows[common], values[common]
+    texts = np.zeros(N.FEATURES, np.int32)
+    for _, i, _ in sample:
+        texts[i] += 1
+    parts = []
+    for row, (_, i, c) in enumerate(sample):
+        kind = i // N.SPACE
+        share = (c / np.maximum(np.bincount(kind, c, N.KINDS), 1)[kind]).astype(np.float32)
+        common = texts[i] >= least_texts
+        parts.append((i[common].astype(np.int32), np.full(common.sum(), row, np.int32), share[common]))
+    ids, rows, values = (np.concatenate(p) for p in zip(*parts, strict=True))
+    del parts
     held = np.arange(len(sample)) % 4 == 3
     if len(set(y[~held].tolist())) < 2 or len(set(y[held].tolist())) < 2:
         held[:] = False
