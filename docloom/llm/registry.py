@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from docloom.llm.bpe import op1_bpe
 from docloom.llm.jaccard_join import OP10_SQL, op10_jaccard_join
+from docloom.llm.katz import op6_katz_backoff
 from docloom.llm.quality_classifier import op7_quality_classifier
 from docloom.llm.quality_rules import op4_quality_rules
 from docloom.llm.telephony import op8_telephony
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op4_quality_rules, op7_quality_classifier, op8_telephony, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op4_quality_rules, op6_katz_backoff, op7_quality_classifier, op8_telephony, op10_jaccard_join)}
 ORACLES: dict[str, str] = {"op10_jaccard_join": OP10_SQL}
