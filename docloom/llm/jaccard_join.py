@@ -40,7 +40,7 @@ SMALL = 64
 COSTLY = 8
 PAIRS_UP_TO = 6
 SLICE_BYTES, SLICE_TEXTS = 6 << 20, 16_000
-HISTOGRAM = 64
+LEAST_BITS = 6
 BUCKET_BYTES = 32 << 20
 #: Ids of this many rows may be broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -72,11 +72,20 @@ def prints(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def histograms(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Counts of elements by hash class, held at 255: their distance is never above the sets' own."""
-    n = len(bounds) - 1
-    cells = K.text_of(bounds) * HISTOGRAM + (sets >> np.uint64(58)).astype(np.int64)
-    return np.minimum(np.bincount(cells, minlength=n * HISTOGRAM), 255).astype(np.uint8).reshape(n, HISTOGRAM)
+def histograms(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each set the counts of its elements by hash class, held at 255: their distance is never above the sets' own.
+
+    A set of s elements has about s / 2 classes or more, a power of two; folding neighbours gives fewer.
+    """
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        bits = max(LEAST_BITS, (b - a).bit_length() - 1)
+        out.append(np.minimum(np.bincount((sets[a:b] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes())
+    return out
+
+
+def folded(histogram: bytes, cells: int) -> np.ndarray:
+    return np.frombuffer(histogram, np.uint8).astype(np.int16).reshape(cells, -1).sum(1, dtype=np.int16)
 
 
 def _of_segments(sets, bounds, band, asking):
@@ -189,7 +198,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             for lo, hi, sets, bounds in _slices(batch.column(1)):
                 size = np.diff(bounds)
                 node = pa.array([p if n else None for p, n in zip(prints(sets, bounds), size.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), node, _fixed(histograms(sets, bounds))], ["doc_id", "n_shingles", "node", "histogram"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), node, pa.array(histograms(sets, bounds), pa.binary())], ["doc_id", "n_shingles", "node", "histogram"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node binary, histogram binary")
@@ -338,7 +347,9 @@ def _still_apart(rows: pa.Table) -> pa.Table:
     """Of one value: pairs of members, one of which asks, in two components, that the histograms don't rule out."""
     asks, size = rows.column("asks").to_numpy(), rows.column("n_shingles").to_numpy()
     _, root = np.unique(np.array(rows.column("root").to_pylist(), object), return_inverse=True)
-    shape = np.frombuffer(b"".join(rows.column("histogram").to_pylist()), np.uint8).reshape(-1, HISTOGRAM).astype(np.int16)
+    shape = rows.column("histogram").to_pylist()
+    cells = min(map(len, shape))
+    shape = np.stack([folded(h, cells) for h in shape])
     node = rows.column("node").to_pylist()
     a, b = [], []
     for i in np.flatnonzero(asks).tolist():
@@ -386,9 +397,11 @@ def _ruled(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HISTOGRAM).astype(np.int16) for c in ("a_h", "b_h"))
-                n, m = batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy()
-                yield batch.select(["a", "b"]).filter(pa.array((9 * np.abs(x - y).sum(1) <= n + m) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))))
+                fits = []
+                for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("a_h", "b_h", "a_n", "b_n")), strict=True):
+                    cells = min(len(x), len(y))
+                    fits.append(5 * min(n, m) >= 4 * max(n, m) and 9 * int(np.abs(folded(x, cells) - folded(y, cells)).sum()) <= n + m)
+                yield batch.select(["a", "b"]).filter(pa.array(fits))
 
     return pairs.join(shape("a"), "a").join(shape("b"), "b").mapInArrow(near, "a binary, b binary")
 

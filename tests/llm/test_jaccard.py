@@ -123,8 +123,11 @@ def test_against_all(spark, monkeypatch):
 def test_histograms_bound_the_difference():
     (_, _, buf, off), = K.text_slices(pa.array(["a b c d e f g h i j k", "a b c d e f g h i j z z z"]))
     sets, bounds = J.shingle_sets(buf, off)
-    h = J.histograms(sets, bounds).astype(int)
+    h = [J.folded(x, 64) for x in J.histograms(sets, bounds)]
     assert np.abs(h[0] - h[1]).sum() <= len(set(sets[: bounds[1]]) ^ set(sets[bounds[1] :]))
+    many = np.arange(3000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    (big,) = J.histograms(many, np.array([0, 3000]))
+    assert len(big) == 2048 and J.folded(big, 64).sum() == 3000
 
 
 def test_chain(spark):
