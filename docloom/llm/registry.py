@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from docloom.llm.bpe import op1_bpe
+from docloom.llm.html_extract import op3_html_extract
 from docloom.llm.jaccard_join import OP10_SQL, op10_jaccard_join
 from docloom.llm.katz import op6_katz_backoff
 from docloom.llm.mixing import op5_mixing
 from docloom.llm.quality_classifier import op7_quality_classifier
 from docloom.llm.quality_rules import op4_quality_rules
+from docloom.llm.secrets import op9_secret_scan
 from docloom.llm.telephony import op8_telephony
 from docloom.llm.url_filters import OP2_SQL, op2_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_url_filters, op4_quality_rules, op5_mixing, op6_katz_backoff, op7_quality_classifier, op8_telephony, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_url_filters, op3_html_extract, op4_quality_rules, op5_mixing, op6_katz_backoff, op7_quality_classifier, op8_telephony, op9_secret_scan, op10_jaccard_join)}
 ORACLES: dict[str, str] = {"op2_url_filters": OP2_SQL, "op10_jaccard_join": OP10_SQL}
