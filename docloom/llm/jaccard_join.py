@@ -11,8 +11,8 @@ goes against all documents in blocks.
 
 Sets with equal elements are one node from the start. Listed values meet in buckets, whose number follows the
 data; a row there holds the values of one slice of documents for one bucket. Candidates are verified exactly on
-their shingles, first one link for each node, then whatever candidates still lie in two components, so that a
-large group of near copies never makes all its pairs.
+their shingles: first one for each node, then for each node the nearest in another component, then all candidates
+that still lie in two components, so that a large group of near copies never makes all its pairs.
 
 Words are runs of non-white-space with A-Z lowered, compared by 64-bit hashes; sets by 128-bit ones. Null, empty
 and blank texts have no shingles and link with nothing; rows with equal ids or texts stay rows of their own; null
@@ -41,6 +41,7 @@ COSTLY = 8
 PAIRS_UP_TO = 6
 SLICE_BYTES, SLICE_TEXTS = 6 << 20, 16_000
 LEAST_BITS = 6
+PARTS = 4
 BUCKET_BYTES = 32 << 20
 #: Ids of this many rows may be broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -343,22 +344,50 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return checkpointed(joined.select("a", "b", "elements", "others").mapInArrow(compare, "a binary, b binary"))
 
 
+def _apart(rows: pa.Table, nearest: bool) -> pa.Table:
+    """Of some values on which many meet: pairs of members, one of which asks, in two components, that sizes and
+    histograms don't rule out; each pair once. With ``nearest``, for each asking member only the nearest other one."""
+    names, at = np.unique(np.array(rows.column("node").to_pylist(), object), return_inverse=True)
+    _, root_at = np.unique(np.array(rows.column("root").to_pylist(), object), return_inverse=True)
+    _, value = np.unique(rows.column("val").to_numpy(), return_inverse=True)
+    asks = rows.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+    one = np.zeros(len(names), np.int64)
+    one[at] = np.arange(len(at))
+    size, root = rows.column("n_shingles").to_numpy()[one], root_at[one]
+    shapes = rows.column("histogram").take(pa.array(one)).to_pylist()
+    cells = min(map(len, shapes))
+    shape = np.stack([folded(h, cells) for h in shapes])
+    order = np.argsort(value, kind="stable")
+    bounds = np.searchsorted(value[order], np.arange(value.max() + 2))
+    mine = np.flatnonzero(asks)
+    mine = mine[np.argsort(at[mine], kind="stable")]
+    found: set[tuple[int, int]] = set()
+    lo = 0
+    while lo < len(mine):
+        i, hi = at[mine[lo]], lo
+        met = np.zeros(len(names), bool)
+        while hi < len(mine) and at[mine[hi]] == i:
+            v = value[mine[hi]]
+            met[at[order[bounds[v] : bounds[v + 1]]]] = True
+            hi += 1
+        lo = hi
+        others = np.flatnonzero(met & (root != root[i]) & (5 * np.minimum(size, size[i]) >= 4 * np.maximum(size, size[i])))
+        apart = np.concatenate([others[:0], *(np.abs(shape[o] - shape[i]).sum(1) for o in np.array_split(others, len(others) // 4096 + 1))])
+        fits = 9 * apart <= size[others] + size[i]
+        others, apart = others[fits], apart[fits]
+        if nearest and len(others):
+            others = others[[np.argmin(apart / (size[others] + size[i]))]]
+        found |= {(min(int(i), j), max(int(i), j)) for j in others.tolist()}
+    pairs = sorted(found)
+    return pa.table({"a": pa.array([names[i] for i, _ in pairs], pa.binary()), "b": pa.array([names[j] for _, j in pairs], pa.binary())})
+
+
+def _nearest_apart(rows: pa.Table) -> pa.Table:
+    return _apart(rows, nearest=True)
+
+
 def _still_apart(rows: pa.Table) -> pa.Table:
-    """Of one value: pairs of members, one of which asks, in two components, that the histograms don't rule out."""
-    asks, size = rows.column("asks").to_numpy(), rows.column("n_shingles").to_numpy()
-    _, root = np.unique(np.array(rows.column("root").to_pylist(), object), return_inverse=True)
-    shape = rows.column("histogram").to_pylist()
-    cells = min(map(len, shape))
-    shape = np.stack([folded(h, cells) for h in shape])
-    node = rows.column("node").to_pylist()
-    a, b = [], []
-    for i in np.flatnonzero(asks).tolist():
-        others = np.flatnonzero((root != root[i]) & (~asks | (np.arange(len(asks)) > i)) & (5 * np.minimum(size, size[i]) >= 4 * np.maximum(size, size[i])))
-        others = others[9 * np.abs(shape[others] - shape[i]).sum(1) <= size[others] + size[i]]
-        for j in others.tolist():
-            a.append(min(node[i], node[j]))
-            b.append(max(node[i], node[j]))
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+    return _apart(rows, nearest=False)
 
 
 def node_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -377,17 +406,27 @@ def node_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     many = met.filter("val is not null").select("val", F.expr("transform(sequence(0, cast(length(a) / 16 as int) - 1), i -> struct(substring(a, i * 16 + 1, 16) as node, hex(substring(asks, i + 1, 1)) = '01' as asks))").alias("members"))
     member = checkpointed(many.select("val", F.explode("members").alias("m"), F.expr("array_min(transform(members, x -> x.node))").alias("least")).select("val", "m.*", "least"))
     first = few.unionByName(_ruled(member.select(F.col("least").alias("a"), F.col("node").alias("b")).filter("a < b").distinct(), classes)).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = verified(first, classes, docs)
-    roots = components(links)
+    links, tried = verified(first, classes, docs), first
+    for rule in (_nearest_apart, _still_apart):
+        roots = components(links)
+        apart = _between(few, member, roots, classes, rule).join(tried, ["a", "b"], "left_anti")
+        apart = checkpointed(apart)
+        links, tried = links.unionByName(verified(apart, classes, docs)), tried.unionByName(apart)
+    return rows, components(links)
+
+
+def _between(few: DataFrame, member: DataFrame, roots: DataFrame, classes: DataFrame, rule) -> DataFrame:
+    """Candidates whose nodes lie in two components: all that meet in few, and by ``rule`` those that meet in many.
+
+    Values with the same least member come from one family; a few groups of them hold each pair once.
+    """
     of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
     apart = few.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
     known = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = known.groupBy("val").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("val")
-    known = known.join(mixed, "val", "left_semi").join(classes.select("node", "n_shingles", "histogram"), "node").select("val", "node", "asks", "root", "n_shingles", "histogram")
-    apart = apart.unionByName(known.groupBy("val").applyInArrow(_still_apart, "a binary, b binary")).distinct()
-    apart = apart.join(first, ["a", "b"], "left_anti")
-    more = verified(apart, classes, docs)
-    return rows, components(links.unionByName(more))
+    known = known.join(mixed, "val", "left_semi").join(classes.select("node", "n_shingles", "histogram"), "node").withColumn("part", F.pmod("val", F.lit(PARTS)))
+    met = known.select("least", "part", "val", "node", "asks", "root", "n_shingles", "histogram").groupBy("least", "part").applyInArrow(rule, "a binary, b binary")
+    return apart.unionByName(met).distinct()
 
 
 def _ruled(pairs: DataFrame, classes: DataFrame) -> DataFrame:
