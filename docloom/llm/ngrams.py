@@ -13,9 +13,23 @@ from docloom.llm import textkernel as K
 
 BITS = 17
 SPACE = 1 << BITS
-#: Kinds of features, each with its own SPACE of ids: words, word pairs, four neighbouring bytes.
-KINDS = 3
+#: Kinds of features, each with its own SPACE of ids: words, word pairs, four neighbouring bytes, pairs of word forms.
+KINDS = 4
 FEATURES = KINDS * SPACE
+CAPITAL, SIGN = np.zeros(256, bool), np.zeros(256, bool)
+CAPITAL[65:91] = True
+SIGN[list(b"!#$%&*|<>=")] = True
+
+
+def forms(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Form of each word: capital first, capitals only, a sign in it, the same as the word before."""
+    capitals = np.concatenate([[0], np.cumsum(CAPITAL[buf])])
+    signs = np.concatenate([[0], np.cumsum(SIGN[buf])])
+    upper = capitals[ends] - capitals[starts]
+    same = np.zeros(len(words), np.int64)
+    same[1:] = words[1:] == words[:-1]
+    same[bounds[:-1][bounds[:-1] < len(words)]] = 0
+    return (CAPITAL[buf[starts]] if len(starts) else same) + 2 * (upper >= np.maximum(2, (ends - starts) // 2)) + 4 * (signs[ends] > signs[starts]) + 8 * same
 
 
 def features(buf: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -39,7 +53,12 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.
         at = offsets[1:-1] - k
         whole[at[(at >= 0) & (at < n)]] = False
     char_bounds = np.concatenate([[0], np.cumsum(np.maximum(np.diff(offsets) - 3, 0))])
-    return [(single, bounds), (pairs[inner], pair_bounds), (chars[whole], char_bounds)]
+    form = forms(buf, starts, ends, words, bounds)
+    shapes = form.copy()
+    shapes[1:] += 16 * form[:-1]
+    first = bounds[:-1][bounds[:-1] < len(words)]
+    shapes[first] = form[first] + 256
+    return [(single, bounds), (pairs[inner], pair_bounds), (chars[whole], char_bounds), (shapes.astype(np.int64) + 3 * SPACE, bounds)]
 
 
 def distinct(kinds: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,6 +1,6 @@
 """Quality classifier: naive Bayes features in a linear support vector machine.
 
-Indicators of hashed words, word pairs and byte 4-grams are scaled by the log ratio of their smoothed counts in
+Indicators of hashed words, word pairs, byte 4-grams and pairs of word forms are scaled by the log ratio of their smoothed counts in
 the two classes; each row has length 1. A linear hinge-loss model is fitted to them by dual coordinate descent,
 and a margin becomes a probability by a logistic curve fitted on rows kept back. Labels come from a bounded
 sample (``SAMPLE_ROWS``) of rows that are not held out.
@@ -58,7 +58,7 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], signs: np.ndarray,
     return weights, bias
 
 
-def fit(sample: list[tuple[int, np.ndarray, np.ndarray]], smoothing: float = 1.0, cost: float = 1.0, least_texts: int = 3, blend: float = 0.25) -> RatioModel:
+def fit(sample: list[tuple[int, np.ndarray, np.ndarray]], smoothing: float = 1.0, cost: float = 1.0, least_texts: int = 3, blend: float = 0.8) -> RatioModel:
     y = np.array([min(1, max(0, label)) for label, _, _ in sample], np.int64)
     nothing = np.zeros(N.FEATURES)
     if len(set(y.tolist())) < 2:
@@ -81,9 +81,9 @@ def fit(sample: list[tuple[int, np.ndarray, np.ndarray]], smoothing: float = 1.0
     n = np.bincount(y[fitted], minlength=2)
     limits = cost * len(fitted) / (2 * n[y[fitted]])
     weights, bias = descend([rows[i] for i in fitted], [values[i] for i in fitted], np.where(y[fitted] == 1, 1.0, -1.0), limits)
-    used = weights != 0
-    if used.any():  # drawn towards the mean size, which keeps the class ratios' own verdict in
-        weights = np.where(used, (1 - blend) * np.abs(weights[used]).mean() * np.sign(weights) + blend * weights, 0.0) if blend < 1 else weights
+    used = ratio != 0
+    if used.any():  # drawn towards the mean size, at which the class ratios alone decide
+        weights = np.where(used, (1 - blend) * np.abs(weights[used]).mean() + blend * weights, 0.0)
     model = RatioModel(ratio, weights, bias, 1.0, 0.0)
     judged = np.flatnonzero(held) if held.any() else fitted
     bounds = np.concatenate([[0], np.cumsum([len(sample[i][1]) for i in judged])])

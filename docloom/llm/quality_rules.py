@@ -1,6 +1,6 @@
 """Quality rules: counting rules on words, and a calibrated logistic regression on hashed n-grams.
 
-The model sees the relative frequencies of hashed words, word pairs and byte 4-grams. It is fitted on a bounded
+The model sees the relative frequencies of hashed words, word pairs, byte 4-grams and pairs of word forms. It is fitted on a bounded
 sample of labelled rows (``SAMPLE_ROWS``, those with the lowest hashes of their ids); one row in four of the
 sample is kept back to calibrate probabilities. All rows are scored in Arrow batches.
 
