@@ -286,9 +286,9 @@ def asked(spark, sf):
 
 
 def _scores(spark, sf):
-    c = chunks(spark, sf)
+    c, q = chunks(spark, sf), asked(spark, sf)
     lengths = index.chunk_lengths(c)
-    return search.scored(asked(spark, sf), index.postings(c, stem=False), lengths, index.package_stats(lengths))
+    return search.scored(q, index.postings(c, False, search.terms_asked(q)), lengths, index.package_stats(lengths))
 
 
 @query(f"WITH {SCORED} SELECT * FROM scores")
@@ -302,9 +302,9 @@ def q6_q7_relevant_top_hits(spark, sf):
 
 
 def _ranked(spark, sf):
-    c = chunks(spark, sf)
+    c, q = chunks(spark, sf), asked(spark, sf)
     lengths = index.chunk_lengths(c)
-    return search.ranked(asked(spark, sf), c, index.postings(c, stem=False), lengths, index.package_stats(lengths))
+    return search.ranked(q, c, index.postings(c, False, search.terms_asked(q)), lengths, index.package_stats(lengths))
 
 
 @query(f"WITH {SCORED} SELECT query_id, id, rank, doc_rank FROM dr")
