@@ -43,8 +43,8 @@ SLICE_BYTES, SLICE_TEXTS = 6 << 20, 16_000
 LEAST_BITS = 6
 PARTS = 4
 BUCKET_BYTES = 32 << 20
-#: Ids of this many rows may be broadcast (16 MB); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: So many rows of ids or pairs may be broadcast (32 MB at most); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 ASKS, GUEST = 1 << 14, 1 << 15
 
 
@@ -316,12 +316,15 @@ def _against_all(docs: DataFrame, stuck: DataFrame) -> DataFrame | None:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs of nodes whose sets reach the similarity, by their texts' shingles."""
-    pairs = checkpointed(pairs)
-    needed = checkpointed(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(classes.select("node", "text_key"), "node"))
+    """Those of the pairs of nodes (a table in the shared folder) whose sets reach the similarity, by their texts' shingles."""
+    n = pairs.count()
+    if not n:
+        return pairs
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = checkpointed(classes.select("node", "text_key").join(F.broadcast(nodes) if 2 * n <= BROADCAST_IDS else nodes, "node"))
     some = docs.select(F.xxhash64("text").alias("text_key"), "text")
-    keys = needed.select("text_key").distinct()
-    some = some.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "text_key", "left_semi").select("text")
+    keys = needed.select("text_key")
+    some = some.join(F.broadcast(keys) if 2 * n <= BROADCAST_IDS else keys, "text_key", "left_semi").select("text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,8 +342,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
                 fits.append(100 * both >= 80 * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-    sets = checkpointed(some.mapInArrow(shingled, "node binary, elements binary").join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    joined = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("others")), "b")
+    sets = checkpointed(some.mapInArrow(shingled, "node binary, elements binary").dropDuplicates(["node"]))
+    sides = sets.withColumnRenamed("node", "a")
+    joined = (sides.join(F.broadcast(pairs), "a") if n <= BROADCAST_IDS else sides.join(pairs, "a")).join(sets.select(F.col("node").alias("b"), F.col("elements").alias("others")), "b")
     return checkpointed(joined.select("a", "b", "elements", "others").mapInArrow(compare, "a binary, b binary"))
 
 
@@ -406,6 +410,7 @@ def node_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     many = met.filter("val is not null").select("val", F.expr("transform(sequence(0, cast(length(a) / 16 as int) - 1), i -> struct(substring(a, i * 16 + 1, 16) as node, hex(substring(asks, i + 1, 1)) = '01' as asks))").alias("members"))
     member = checkpointed(many.select("val", F.explode("members").alias("m"), F.expr("array_min(transform(members, x -> x.node))").alias("least")).select("val", "m.*", "least"))
     first = few.unionByName(_ruled(member.select(F.col("least").alias("a"), F.col("node").alias("b")).filter("a < b").distinct(), classes)).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    first = checkpointed(first)
     links, tried = verified(first, classes, docs), first
     for rule in (_nearest_apart, _still_apart):
         roots = components(links)
