@@ -39,7 +39,7 @@ SIZE = 5
 SMALL = 64
 COSTLY = 8
 PAIRS_UP_TO = 6
-SLICE_BYTES, SLICE_TEXTS = 6 << 20, 16_000
+SLICE_BYTES, SLICE_TEXTS = 4 << 20, 16_000
 LEAST_BITS = 6
 PARTS = 4
 BUCKET_BYTES = 32 << 20
