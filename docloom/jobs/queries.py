@@ -12,6 +12,7 @@ from docloom.functions import versions as V
 from docloom.jobs import inputs as I
 from docloom.jobs.corpus import answers, chunks_of
 from docloom.operators import build, catalog, corpus, crawl, index, publish, releases, search
+from docloom.operators.articles import articles
 from docloom.operators.sections import sections
 from docloom.sources import packages
 
@@ -174,12 +175,18 @@ def p_sections_of_all_formats(spark, sf):
 
 
 @query()
-def p7_p8_pages_to_sections(spark, sf):
+def p7_pages_to_sections(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     named = pages.select(F.lit("pages").alias("package_id"), F.col("page_id").alias("file_ord"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("content"))
     return sections(named).select("file_ord", "section_ord", "doc_title", "section_title", F.md5("content").alias("content_md5"), "tokens")
 
 
+@query()
+def p8_main_articles(spark, sf):
+    found = articles(spark.read.parquet(f"{sf}/pages.parquet"))
+    return found.select("page_id", "title", F.md5("content").alias("content_md5"), T.token_estimate(F.col("content")).alias("tokens"))
+
+
 # --- build ------------------------------------------------------------------------------------------------------
 
 #: Sections by lines: every line of a document with five tokens or more.
