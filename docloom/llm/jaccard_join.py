@@ -41,8 +41,9 @@ COSTLY = 8
 PAIRS_UP_TO = 6
 SLICE_BYTES, SLICE_TEXTS = 4 << 20, 16_000
 LEAST_BITS = 6
-PARTS = 4
 BUCKET_BYTES = 32 << 20
+#: A family's nodes meet in groups of two blocks of about so many bytes; rounds of nearest ones before all that is left.
+GROUP_BYTES, ROUNDS = 8 << 20, 3
 #: So many rows of ids or pairs may be broadcast (32 MB at most); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 ASKS, GUEST = 1 << 14, 1 << 15
@@ -349,41 +350,45 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
 
 
 def _apart(rows: pa.Table, nearest: bool) -> pa.Table:
-    """Of some values on which many meet: pairs of members, one of which asks, in two components, that sizes and
-    histograms don't rule out; each pair once. With ``nearest``, for each asking member only the nearest other one."""
-    names, at = np.unique(np.array(rows.column("node").to_pylist(), object), return_inverse=True)
-    _, root_at = np.unique(np.array(rows.column("root").to_pylist(), object), return_inverse=True)
-    _, value = np.unique(rows.column("val").to_numpy(), return_inverse=True)
-    asks = rows.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-    one = np.zeros(len(names), np.int64)
-    one[at] = np.arange(len(at))
-    size, root = rows.column("n_shingles").to_numpy()[one], root_at[one]
-    shapes = rows.column("histogram").take(pa.array(one)).to_pylist()
+    """Of one group: pairs of a node of side 1 and one of side 2 that meet on a value with which one of them asks, in two
+    components, that sizes and histograms don't rule out. With ``nearest``, for each node only the nearest other one."""
+    node = np.frombuffer(b"".join(rows.column("node").to_pylist()), "V16")
+    _, root = np.unique(np.frombuffer(b"".join(rows.column("root").to_pylist()), "V16"), return_inverse=True)
+    _, name = np.unique(node, return_inverse=True)
+    side, size = rows.column("side").to_numpy(), rows.column("n_shingles").to_numpy()
+    shapes = rows.column("histogram").to_pylist()
     cells = min(map(len, shapes))
     shape = np.stack([folded(h, cells) for h in shapes])
-    order = np.argsort(value, kind="stable")
-    bounds = np.searchsorted(value[order], np.arange(value.max() + 2))
-    mine = np.flatnonzero(asks)
-    mine = mine[np.argsort(at[mine], kind="stable")]
-    found: set[tuple[int, int]] = set()
-    lo = 0
-    while lo < len(mine):
-        i, hi = at[mine[lo]], lo
-        met = np.zeros(len(names), bool)
-        while hi < len(mine) and at[mine[hi]] == i:
-            v = value[mine[hi]]
-            met[at[order[bounds[v] : bounds[v + 1]]]] = True
-            hi += 1
-        lo = hi
+    at = rows.column("at").combine_chunks()
+    value, asks = (x.to_numpy(zero_copy_only=False) for x in at.flatten().flatten())
+    owner = np.repeat(np.arange(len(node)), at.value_lengths().to_numpy())
+    there = np.flatnonzero(side[owner] & 2)
+    there = there[np.lexsort((~asks[there], value[there]))]
+    sorted_value, member, asking = value[there], owner[there], np.concatenate([[0], np.cumsum(asks[there])])
+    # Where all nodes are on side 1, it is enough that each one looks at the values with which it asks itself.
+    mine = np.flatnonzero((side[owner] & 1 > 0) & (asks | (side == 2).any()))
+    low, high = np.searchsorted(sorted_value, value[mine], "left"), np.searchsorted(sorted_value, value[mine], "right")
+    high = np.where(asks[mine], high, low + asking[high] - asking[low])
+    bounds = np.searchsorted(owner[mine], np.unique(owner[mine]))
+    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    ends = np.searchsorted(owner[mine], np.unique(owner[mine]), "right")
+    for lo, hi in zip(bounds.tolist(), ends.tolist(), strict=True):
+        i = owner[mine[lo]]
+        met = np.zeros(len(node), bool)
+        for x, y in zip(low[lo:hi].tolist(), high[lo:hi].tolist(), strict=True):
+            met[member[x:y]] = True
         others = np.flatnonzero(met & (root != root[i]) & (5 * np.minimum(size, size[i]) >= 4 * np.maximum(size, size[i])))
         apart = np.concatenate([others[:0], *(np.abs(shape[o] - shape[i]).sum(1) for o in np.array_split(others, len(others) // 4096 + 1))])
         fits = 9 * apart <= size[others] + size[i]
         others, apart = others[fits], apart[fits]
         if nearest and len(others):
             others = others[[np.argmin(apart / (size[others] + size[i]))]]
-        found |= {(min(int(i), j), max(int(i), j)) for j in others.tolist()}
-    pairs = sorted(found)
-    return pa.table({"a": pa.array([names[i] for i, _ in pairs], pa.binary()), "b": pa.array([names[j] for _, j in pairs], pa.binary())})
+        lefts.append(np.minimum(name[others], name[i]))
+        rights.append(np.maximum(name[others], name[i]))
+    _, once = np.unique(name, return_index=True)
+    pairs = np.unique(np.concatenate(lefts) * len(once) + np.concatenate(rights))
+    raw = node[once].view(np.uint8).reshape(-1, 16)
+    return pa.table({"a": _fixed(raw[pairs // len(once)]), "b": _fixed(raw[pairs % len(once)])})
 
 
 def _nearest_apart(rows: pa.Table) -> pa.Table:
@@ -412,25 +417,65 @@ def node_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = few.unionByName(_ruled(member.select(F.col("least").alias("a"), F.col("node").alias("b")).filter("a < b").distinct(), classes)).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     first = checkpointed(first)
     links, tried = verified(first, classes, docs), first
-    for rule in (_nearest_apart, _still_apart):
+    for turn in range(ROUNDS + 1):
         roots = components(links)
-        apart = _between(few, member, roots, classes, rule).join(tried, ["a", "b"], "left_anti")
-        apart = checkpointed(apart)
+        nodes, plan = _families(member, roots, classes)
+        # Large families of which much lies outside their largest component are dealt anew for another round of nearest ones.
+        nearest = turn < ROUNDS and (turn == 0 or plan.filter("n_few > 1").limit(1).count() > 0)
+        apart = checkpointed(_between(few, roots, _groups(nodes, plan, nearest, turn), nearest).join(tried, ["a", "b"], "left_anti"))
         links, tried = links.unionByName(verified(apart, classes, docs)), tried.unionByName(apart)
+        if not nearest:
+            break
     return rows, components(links)
 
 
-def _between(few: DataFrame, member: DataFrame, roots: DataFrame, classes: DataFrame, rule) -> DataFrame:
-    """Candidates whose nodes lie in two components: all that meet in few, and by ``rule`` those that meet in many.
+def _families(member: DataFrame, roots: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row for each node of a family, and a plan for the large families.
 
-    Values with the same least member come from one family; a few groups of them hold each pair once.
+    Values with the same least member come from one family. A row (least, node, root, at, n_shingles, histogram, weight)
+    holds all its values on which two components meet. The plan (least, big, n_all, n_few) names a family's largest
+    component, and how many blocks of ``GROUP_BYTES`` its nodes and those outside that component make; it has a row
+    for each family above one block, so that its rows are bounded by all bytes over a block's.
     """
-    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-    apart = few.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
     known = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = known.groupBy("val").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("val")
-    known = known.join(mixed, "val", "left_semi").join(classes.select("node", "n_shingles", "histogram"), "node").withColumn("part", F.pmod("val", F.lit(PARTS)))
-    met = known.select("least", "part", "val", "node", "asks", "root", "n_shingles", "histogram").groupBy("least", "part").applyInArrow(rule, "a binary, b binary")
+    nodes = known.join(mixed, "val", "left_semi").groupBy("least", "node").agg(F.first("root").alias("root"), F.collect_list(F.struct("val", "asks")).alias("at"))
+    nodes = nodes.join(classes.select("node", "n_shingles", "histogram"), "node")
+    nodes = checkpointed(nodes.withColumn("weight", (9 * F.size("at") + F.length("histogram") + 64).cast("long")))
+    large = nodes.groupBy("least").agg(F.sum("weight").alias("_all")).filter(F.col("_all") > GROUP_BYTES).select("least")
+    by_root = nodes.join(F.broadcast(large), "least", "left_semi").groupBy("least", "root").agg(F.sum("weight").alias("own"))
+    plan = by_root.groupBy("least").agg(F.sum("own").alias("whole"), F.max(F.struct("own", "root")).alias("big"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / GROUP_BYTES)).cast("long")
+    return nodes, checkpointed(plan.select("least", F.col("big.root").alias("big"), blocks(F.col("whole")).alias("n_all"), blocks(F.col("whole") - F.col("big.own")).alias("n_few")))
+
+
+def _groups(nodes: DataFrame, plan: DataFrame, nearest: bool, salt: int) -> DataFrame:
+    """The nodes with their groups (least, i, j) and sides: every pair in two components has one of side 1 and one of
+    side 2 in some group, no group is much larger than two blocks.
+
+    A family of one block is one group. In a larger one each block i of the nodes outside the largest component meets
+    each block j of all nodes; for nearest ones, where there are many i, each i meets one j, so that rows don't multiply.
+    """
+    rows = nodes.join(F.broadcast(plan), "least", "left")
+    place = F.xxhash64("node", F.lit(salt))
+    i, j, n_few, n_all = F.pmod(place, "n_few"), F.pmod(place, "n_all"), F.col("n_few"), F.col("n_all")
+    meets = lambda x: F.pmod(x + salt, n_all)
+    cell = lambda x, y, side: F.struct(x.cast("long").alias("i"), y.cast("long").alias("j"), F.lit(side).alias("side"))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    outside, inside = F.transform(every(n_all), lambda y: cell(i, y, 1)), F.transform(every(n_few), lambda x: cell(x, j, 2))
+    if nearest:
+        outside = F.when(n_few > 1, F.array(cell(i, meets(i), 1))).otherwise(outside)
+        inside = F.when(n_few > 1, F.transform(F.filter(every(n_few), lambda x: meets(x) == j), lambda x: cell(x, j, 2))).otherwise(inside)
+    alone = F.array(cell(F.lit(0), F.lit(0), 3))
+    cells = F.when(F.col("big").isNull(), alone).when(F.col("root") == F.col("big"), inside).otherwise(F.concat(outside, inside))
+    return rows.select("least", "node", "root", "at", "n_shingles", "histogram", "weight", F.explode(cells).alias("c")).select("*", "c.*").drop("c")
+
+
+def _between(few: DataFrame, roots: DataFrame, groups: DataFrame, nearest: bool) -> DataFrame:
+    """Candidates whose nodes lie in two components: all that meet in few, and those that meet in the groups."""
+    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    apart = few.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    met = groups.drop("weight").groupBy("least", "i", "j").applyInArrow(_nearest_apart if nearest else _still_apart, "a binary, b binary")
     return apart.unionByName(met).distinct()
 
 

@@ -133,3 +133,35 @@ def test_histograms_bound_the_difference():
 def test_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20 != 19] + [(100, 100)], "a long, b long")
     assert {(r.node, r.root) for r in components(links).collect()} == {(i, i // 20 * 20) for i in range(60)}
+
+
+def test_large_families_meet_in_blocks(spark, monkeypatch):
+    """A family above one block: groups stay small, and each pair in two components meets."""
+    monkeypatch.setattr(J, "GROUP_BYTES", 4000)
+    names = [i.to_bytes(16, "big") for i in range(200)]
+    rows = [(v, names[i], v == 0 or i % 3 == 0, names[0]) for i in range(200) for v in range(5)]
+    member = spark.createDataFrame(rows, "val long, node binary, asks boolean, least binary")
+    classes = spark.createDataFrame([(x, 100, bytes(64)) for x in names], "node binary, n_shingles long, histogram binary")
+    for apart in (4, 120):
+        roots = spark.createDataFrame([(x, names[0]) for x in names[:-apart]], "node binary, root binary")
+        nodes, plan = J._families(member, roots, classes)
+        for nearest in (False, True):
+            groups, sent = {}, 0
+            for r in J._groups(nodes, plan, nearest, 1).collect():
+                groups.setdefault((r.i, r.j), []).append((int.from_bytes(r.node, "big"), r.side))
+                sent += 1
+            assert max(map(len, groups.values())) <= 0.4 * len(names)
+            met = {(min(x, y), max(x, y)) for g in groups.values() for x, s in g if s & 1 for y, t in g if t & 2}
+            if not nearest or apart == 4:
+                assert met >= {(x, y) for y in range(200 - apart, 200) for x in range(y)}
+            else:
+                assert sent <= 2 * len(names)
+
+
+def test_components_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(J, "GROUP_BYTES", 15_000)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(260)]
+    rows = list(enumerate([*family(rng, words, 30, 0.012), *family(rng, words, 30, 0.03)]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.join_documents(df).collect()) == brute(rows)
