@@ -7,6 +7,7 @@ the columns of ``documents``. Nulls, empty texts, repeated rows and empty tables
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.llm import bpe, jaccard_join, mixing, quality_rules, secrets
 from docloom.llm.tables import shared_dir, table
@@ -33,8 +34,21 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, with digests of the ids and of the decoded text."""
-    return bpe.encode_documents(docs, bpe.public_paths(), with_ids=True)
+    """Token ids of every row, with digests of the ids and of the decoded text, and its slot and block in the mix.
+
+    Files don't keep an order, so the mix's schedule of the same rows is a part of them; rows ascend by slot. Rows
+    with equal ids, sources and texts share their first slot.
+    """
+    place = mixing.schedule(docs.select("doc_id", "source", "text"), mixing.root_weights(docs))
+    place = place.select(F.struct("doc_id", F.col("_source").alias("source"), F.col("_hash").alias("hash")).alias("key"), "_slot", "_block")
+    place = place.groupBy("key").agg(F.min(F.struct(F.col("_slot").alias("slot"), F.col("_block").alias("block_no"))).alias("place"))
+    keyed = docs.select(F.struct("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("text").alias("hash")).alias("key"), "text")
+    found = bpe.encode_documents(keyed, bpe.public_paths(), key="key", with_ids=True)
+    values = [c for c in found.columns if c != "key"]
+    own = [F.col(f"key.{c}").eqNullSafe(F.col(f"own.{c}")) for c in ("doc_id", "source", "hash")]
+    placed = found.join(place.withColumnRenamed("key", "own"), own[0] & own[1] & own[2], "left")
+    out = placed.select("key.doc_id", *values, "place.slot", "place.block_no", "key.source")
+    return out.repartitionByRange("slot", "doc_id").sortWithinPartitions("slot", "source", "doc_id").drop("source")
 
 
 STAGES = [("quality rules", quality), ("near copies", near_copies), ("secret scan", secret_scan), ("mix", mixed), ("tokens", tokens)]

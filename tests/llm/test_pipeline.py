@@ -6,6 +6,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
+from docloom.llm import mixing
 
 
 def test_stages(spark, tmp_path):
@@ -35,3 +36,25 @@ def test_stages(spark, tmp_path):
         ids = np.array(tok.encode(kept[i].text, add_special_tokens=False).ids, "<u4")
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
         assert np.frombuffer(r.ids, "<u4").tolist() == ids.tolist()
+
+
+def test_rows_carry_the_mix(spark, tmp_path, monkeypatch):
+    """Slots of the last stage's rows, read from files in any order, follow the target weights."""
+    rng = random.Random(7)
+    rows = [(i, f"{i} " + "word " * rng.choice([300, 900, 8000]), "en", rng.choice(["a"] * 6 + ["b", "b", None]), 0) for i in range(150)]
+    rows += [(None, "x", "en", "a", 1), (None, None, "en", None, 0), (7, "", "en", "b", 0), (7, "", "en", "b", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(P, "STAGES", P.STAGES[-2:])
+    out = P.run(spark, str(tmp_path)).collect()
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    weights = mixing.root_weights(docs)
+    assert len(out) == len(rows)
+    want = [(r.doc_id, r._slot, r._block) for r in mixing.schedule(docs, weights).collect()]
+    assert sorted(map(str, ((r.doc_id, r.slot, r.block_no) for r in out))) == sorted(map(str, want))
+    shares = mixing.shares(weights, mixing.PERIOD)
+    source = {i: s or "" for i, _, _, s, _ in rows if i is not None}
+    taken = mixing.pattern(shares, mixing.PERIOD)
+    assert all(taken[r.slot % mixing.PERIOD] == source[r.doc_id] for r in out if r.doc_id is not None)
+    assert all(abs(r.block_no * mixing.PERIOD - shares[source[r.doc_id]] * r.slot) <= mixing.PERIOD for r in out if r.doc_id is not None)
+    slots = [r.slot for r in P.tokens(spark, docs, str(tmp_path)).collect()]
+    assert slots == sorted(slots) and len(set(slots)) > 20
