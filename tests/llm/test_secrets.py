@@ -52,3 +52,20 @@ def test_unseen_findings():
     plain = [(rng.randrange(16, 25), rng.randrange(0, 2), 0, 0, rng.randrange(60, 100), 0, 0, 0, 0, rng.randrange(6, 14), 0) for _ in range(200)]
     forest = S.fit(secret[:100] + plain[:100])
     assert all((forest.predict(r[:-1]) >= 0.5) == r[-1] for r in secret[100:] + plain[100:])
+
+
+def test_named_values_of_any_form(spark, rows):
+    """Short values, values with any characters, and values behind a long name; formats that the tables don't hold."""
+    forest = S.fit(S.labelled(rows))
+    long = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzz9Qk4Lm2T"
+    cases = [
+        ("use password=hunter2x now", "hunter2x"), ("pwd: p@ss.w0rd!2024, then", "p@ss.w0rd!2024"), ("at postgres://app:s3cr%t$9@db.example.org/x", "s3cr%t$9"),
+        (f"aws_secret_access_key={long} here", long), (f'"client_secret_access_key": "{long}"', long), ('{"password":"pa:ss w,rd1","user":"x"}', "pa:ss w,rd1"), ("Authorization: Bearer ab1.c2d", "ab1.c2d"),
+    ]
+    plain = ["the secret: nobody knew it", "The author: Jane wrote 3 books", "set max_tokens=4096 for it", "password=None", "http://example.org:8080/a"]
+    docs = spark.createDataFrame([(i, c) for i, c in enumerate([c for c, _ in cases] + plain)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in S.redact(docs, forest).collect()}
+    want = [c.replace(v, S.MASK) for c, v in cases] + plain
+    assert [got[i] for i in range(len(want))] == want
+    found = S.candidates(docs.filter("doc_id = 3")).selectExpr("inline(_found)").collect()
+    assert [r.value for r in found] == ["aws_secret_access_key", long] and found[1].before == "aws_secret_access_key="
