@@ -24,7 +24,12 @@ CHUNKS = {
     "package_id": "coalesce(source, '')", "doc_path": "'docs/' || CAST(doc_id % 300 AS STRING) || '.md'", "doc_title": "'Guide ' || lang", "section_title": "substring(text, 1, 24)", "content": "text",
     "doc_id": "doc_id", "tokens": "CAST(ceil(length(text) / 4.0) AS BIGINT)",
 }
-QUERIES = {"query_id": "item_id", "package_id": "'src' || CAST(item_id % 20 AS STRING)", "topic": "lower(substring(text, 1, 18))"}
+#: Topics of whole words of the benchmark's texts, each asked of five packages: words, phrases and operators.
+W2, W3, W4, W5 = (f"lower(translate(translate(split_part(text, ' ', {n}), 'éèêëàâçñóíáúüäöß', 'eeeeaacnoiauuaos'), '.,;:!?' || chr(10), ''))" for n in (2, 3, 4, 5))
+QUERIES = {
+    "query_id": "item_id * 5 + k", "package_id": "'src' || CAST((item_id + 4 * k) % 20 AS STRING)",
+    "topic": f"CASE (item_id * 5 + k) % 6 WHEN 0 THEN {W2} WHEN 1 THEN {W2} || ' ' || {W4} WHEN 2 THEN '\"' || {W2} || ' ' || {W3} || '\"' WHEN 3 THEN {W3} || ' OR ' || {W4} WHEN 4 THEN {W2} || ' NOT ' || {W4} ELSE '\"' || {W4} || ' ' || {W5} || '\" OR ' || {W2} || ' OR ' || {W5} END",
+}
 RELEASES = {
     "registry": "CASE o_custkey % 3 WHEN 0 THEN 'npm' ELSE 'pip' END", "name": "'pkg' || CAST(o_custkey % 40 AS STRING)", "ord": "o_orderkey",
     "version": "CAST(o_orderkey % 4 AS STRING) || '.' || CAST(o_orderkey % 12 AS STRING) || '.' || CAST(o_orderkey % 23 AS STRING) || CASE o_orderkey % 13 WHEN 0 THEN '-beta.' || CAST(o_orderkey % 12 AS STRING) WHEN 1 THEN 'rc1' ELSE '' END",
@@ -43,14 +48,20 @@ TAGS = {
     "repo": "'repo' || CAST(s_nationkey % 5 AS STRING)", "ord": "s_suppkey", "ts": "CAST(s_suppkey * 7919 % 100000 AS BIGINT)",
     "tag": "CASE s_suppkey % 4 WHEN 0 THEN '@scope/pkg' || CAST(s_suppkey % 3 AS STRING) || '@' WHEN 1 THEN 'Pkg' || CAST(s_suppkey % 3 AS STRING) || '@' WHEN 2 THEN 'v' ELSE '' END || CAST(s_suppkey % 3 AS STRING) || '.' || CAST(s_suppkey % 12 AS STRING) || '.' || CAST(s_suppkey % 30 AS STRING) || CASE s_suppkey % 9 WHEN 0 THEN '-rc.1' ELSE '' END",
 }
-SITES = {"page_id": "page_id", "url": "url", "body": "CASE page_id % 11 WHEN 0 THEN '' ELSE html END", "status": "CASE page_id % 9 WHEN 0 THEN 404 ELSE 200 END", "content_type": "CASE page_id % 8 WHEN 0 THEN 'image/png' WHEN 1 THEN NULL WHEN 2 THEN 'text/plain' ELSE 'text/html; charset=utf-8' END", "content_length": "CASE page_id % 10 WHEN 0 THEN CAST(20000000 AS BIGINT) ELSE CAST(length(html) AS BIGINT) END"}
+SITES = {"page_id": "page_id", "url": "url", "body": "CASE page_id % 11 WHEN 0 THEN '' ELSE html END", "status": "CASE page_id % 9 WHEN 0 THEN 404 ELSE 200 END", "content_type": "CASE page_id % 12 WHEN 0 THEN 'image/png' WHEN 1 THEN NULL WHEN 2 THEN 'text/plain' WHEN 3 THEN 'Application/PDF' WHEN 4 THEN 'font/woff2' WHEN 5 THEN 'application/xhtml+xml' WHEN 6 THEN '' WHEN 7 THEN 'application/zip' ELSE 'text/html; charset=utf-8' END", "content_length": "CASE page_id % 10 WHEN 0 THEN CAST(20000000 AS BIGINT) ELSE CAST(length(html) AS BIGINT) END"}
 RESULTS = {
     "registry": "CASE o_orderkey % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'pip' ELSE 'hex' END", "name": "'pkg' || CAST(o_custkey % 40 AS STRING)", "version": "CAST(o_orderkey AS STRING)", "skipped": "o_orderkey % 5 = 0",
-    "error": "CASE o_orderkey % 11 WHEN 0 THEN 'fatal: Remote branch v1 not found in upstream origin' WHEN 1 THEN 'Connection reset by peer' WHEN 2 THEN 'no sections' END",
+    "error": "CASE o_orderkey % 19 WHEN 0 THEN 'fatal: Remote branch v1 not found in upstream origin' WHEN 1 THEN 'Connection reset by peer' WHEN 2 THEN 'no sections' WHEN 3 THEN 'The requested URL returned error: 503' WHEN 4 THEN 'Failed to connect to host port 443' WHEN 5 THEN 'error: RPC failed; curl 56'"
+    " WHEN 6 THEN 'GnuTLS recv error (-110)' WHEN 7 THEN 'could not find remote ref v2' WHEN 8 THEN 'error: pathspec v4 did not match any file' WHEN 9 THEN 'reference v5 did not match' WHEN 10 THEN 'remote: Repository not found.' WHEN 11 THEN 'returned error: 404' END",
     "sections": "o_orderkey % 60", "tokens": "o_orderkey % 9000",
 }
 
 
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").selectExpr("*", "explode(array(0, 1, 2, 3, 4)) AS k")
+    return asked.selectExpr(*(f"{e} AS {c}" for c, e in QUERIES.items()))
+
+
 def frame(spark: SparkSession, sf_dir: str, table: str, columns: dict[str, str]) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*(f"{e} AS {c}" for c, e in columns.items()))
 

@@ -6,27 +6,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.operators.corpus import content_key, first_copies
+from docloom.operators.corpus import content_key
 
 FEW_SECTIONS = 50
 
 
+KEY = ["package_id", "file_ord", "section_ord"]
+
+
+def unique_keys(sections: DataFrame) -> DataFrame:
+    """(package_id, file_ord, section_ord) of the sections without later copies of their content in the package (titles
+    don't count). Only hashes and places are grouped, with partial minima."""
+    keyed = sections.select(*KEY, content_key(F.col("content")).alias("content_key"))
+    return keyed.groupBy("package_id", "content_key").agg(F.min(F.struct("file_ord", "section_ord")).alias("first")).select("package_id", "first.*")
+
+
 def unique_sections(sections: DataFrame) -> DataFrame:
-    """Sections without later copies of their content in the package (titles don't count)."""
-    return first_copies(sections.withColumn("content_key", content_key(F.col("content"))), ["package_id", "content_key"], ["file_ord", "section_ord"]).drop("content_key")
+    """Sections without later copies of their content in the package."""
+    return sections.join(unique_keys(sections), KEY, "left_semi")
 
 
-def numbered(sections: DataFrame, range_files: int = 4096) -> DataFrame:
-    """Dense ids from 1 in (file, section) order of each package.
+def dense_ids(keys: DataFrame, range_files: int = 4096) -> DataFrame:
+    """(package_id, file_ord, section_ord, id): ids from 1 in (file, section) order of each package.
 
     Counts by range of files give offsets, a window numbers inside a range: no task holds a whole package.
     """
-    ranged = sections.withColumn("_range", F.floor(F.col("file_ord") / range_files))
-    sizes = ranged.groupBy("package_id", "_range").agg(F.count("*").alias("_n"))
-    before = W.partitionBy("package_id").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("package_id", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    place = F.row_number().over(W.partitionBy("package_id", "_range").orderBy("file_ord", "section_ord"))
-    return ranged.join(offsets, ["package_id", "_range"]).withColumn("id", F.col("_offset") + place).drop("_range", "_offset")
+    ranged = keys.select(*KEY, F.floor(F.col("file_ord") / range_files).alias("range"))
+    sizes = ranged.groupBy("package_id", "range").agg(F.count("*").alias("n"))
+    before = W.partitionBy("package_id").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("package_id", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(W.partitionBy("package_id", "range").orderBy("file_ord", "section_ord"))
+    return ranged.withColumn("place", place).join(offsets, ["package_id", "range"]).select(*KEY, (F.col("offset") + F.col("place")).alias("id"))
+
+
+def numbered(sections: DataFrame, range_files: int = 4096) -> DataFrame:
+    """The sections with dense ids; they are numbered by their places alone and joined back once."""
+    return sections.join(dense_ids(sections, range_files), KEY)
+
+
+def unique_numbered(sections: DataFrame, range_files: int = 4096) -> DataFrame:
+    """The first sections of each content with dense ids, content shuffled once."""
+    return sections.join(dense_ids(unique_keys(sections), range_files), KEY)
 
 
 def meta_rows(packages: DataFrame) -> DataFrame:

@@ -59,25 +59,32 @@ def select_files(files: DataFrame, lang: Column | None = None) -> DataFrame:
 
 
 def ignore_regex(pattern: str) -> str:
-    """A regular expression for one ignore pattern, matched against a path (directories end in a slash)."""
-    body = pattern.strip()
+    """A regular expression, in any case, for one ignore pattern, matched against a path (directories end in a slash)."""
+    body = re.sub(r"(?<!\\)\s+$", "", pattern)
     only_dir = body.endswith("/")
     body = body.rstrip("/")
     rooted = "/" in body
     body = body.lstrip("/")
     out, i = "", 0
     while i < len(body):
-        if body.startswith("**/", i):
+        whole = i == 0 or body[i - 1] == "/"
+        listed = re.compile(r"\[([!^]?)(\]?[^\]]*)\]").match(body, i)
+        if whole and body.startswith("**/", i):
             out, i = out + "(?:.*/)?", i + 3
-        elif body.startswith("**", i):
-            out, i = out + ".*", i + 2
+        elif whole and body[i:] == "**":
+            out, i = out + ".+", i + 2
         elif body[i] == "*":
-            out, i = out + "[^/]*", i + 1
+            out, i = out + "[^/]*", i + len(re.match(r"\*+", body[i:])[0])
         elif body[i] == "?":
             out, i = out + "[^/]", i + 1
+        elif listed:
+            inner = re.sub(r"([\[\]&^\\])", r"\\\1", listed[2])
+            out, i = out + ("[^/" if listed[1] else "[") + inner + "]", listed.end()
+        elif body[i] == "\\" and i + 1 < len(body):
+            out, i = out + re.escape(body[i + 1]), i + 2
         else:
             out, i = out + re.escape(body[i]), i + 1
-    return ("^" if rooted else "^(?:.*/)?") + out + ("/$" if only_dir else "/?$")
+    return "(?i)" + ("^" if rooted else "^(?:.*/)?") + out + ("/$" if only_dir else "/?$")
 
 
 @F.pandas_udf(StringType())
@@ -88,7 +95,7 @@ def _compiled(patterns: pd.Series) -> pd.Series:
 def drop_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Files that no repository rule (package_id, ord, pattern) ignores: the last matching rule decides, and an ignored
     directory hides what lies below it. A package's rules are one small row."""
-    listed = rules.filter(~F.col("pattern").rlike("^\\s*(#|$)")).select("package_id", F.struct("ord", _compiled("pattern").alias("rx"), F.col("pattern").startswith("!").alias("keep")).alias("r"))
+    listed = rules.filter(~F.col("pattern").rlike("^(#|\\s*$)")).select("package_id", F.struct("ord", _compiled("pattern").alias("rx"), F.col("pattern").startswith("!").alias("keep")).alias("r"))
     listed = listed.groupBy("package_id").agg(F.sort_array(F.collect_list("r")).alias("_rules"))
     parts = F.split("path", "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.when(i < F.size(parts), "/").otherwise("")))
@@ -137,5 +144,6 @@ def first_copies(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame
 
 
 def unique_files(files: DataFrame) -> DataFrame:
-    """Files without later exact copies in their package."""
-    return first_copies(files.withColumn("content_key", content_key(F.col("content"))), ["package_id", "content_key"], ["file_ord"]).drop("content_key")
+    """Files without later exact copies in their package; a file with null content has no copies."""
+    key = F.coalesce(content_key(F.col("content")), F.concat(F.lit("file "), F.col("file_ord").cast("string")))
+    return first_copies(files.withColumn("content_key", key), ["package_id", "content_key"], ["file_ord"]).drop("content_key")

@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from docloom.functions.text import trimmed
+
 LINKS_KEPT = 500
 LARGEST_PAGE = 10 * 1024 * 1024
 
@@ -18,10 +20,11 @@ def index_links(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, section, title, url) of list-item links, with the second-level heading above."""
     lines = docs.select("doc_id", F.posexplode(F.split("content", "\r?\n")).alias("line_no", "line"))
     head = F.when(F.col("line").rlike("^##\\s+\\S"), F.trim(F.regexp_extract("line", "^##\\s+(.+)$", 1)))
-    rule = "^\\s*[-*]\\s+\\[([^\\]]+)\\]\\(([^)\\s]+)\\)"
+    # Fixed value: a list item that starts with a link, whose title in quotes is left out.
+    rule = "^\\s*[-*]\\s*\\[([^\\]]+)\\]\\(([^)\\s]+)(?:\\s+\"[^\"]*\")?\\)"
     upto = W.partitionBy("doc_id").orderBy("line_no")
     out = lines.withColumn("section", F.last(head, ignorenulls=True).over(upto))
-    return out.filter(F.col("line").rlike(rule)).select("doc_id", "line_no", "section", F.regexp_extract("line", rule, 1).alias("title"), F.regexp_extract("line", rule, 2).alias("url"))
+    return out.filter(F.col("line").rlike(rule)).select("doc_id", "line_no", "section", F.trim(F.regexp_extract("line", rule, 1)).alias("title"), F.regexp_extract("line", rule, 2).alias("url"))
 
 
 @F.pandas_udf(StringType())
@@ -66,28 +69,42 @@ def follow_counts(rows: DataFrame) -> DataFrame:
 
 
 def is_html(content_type: Column, body: Column) -> Column:
-    """By content type, else by an html tag among the first 1,024 characters."""
-    return F.coalesce(F.lower(content_type).rlike("html"), F.lit(False)) | F.lower(F.substring(body, 1, 1024)).contains("<html")
+    """By content type; by an html tag among the first 1,024 characters only where no type is given."""
+    kind = F.lower(F.coalesce(content_type, F.lit("")))
+    return F.when(kind == "", F.coalesce(F.substring(body, 1, 1024).rlike("(?i)<html[\\s>]"), F.lit(False))).otherwise(kind.contains("text/html") | kind.contains("application/xhtml"))
+
 
+def triage(pages: DataFrame, article: Column | None = None) -> DataFrame:
+    """Pages (url, status, content_type, content_length, body) with kind (html, text) or the reason they are refused.
 
-def triage(pages: DataFrame) -> DataFrame:
-    """Pages (url, status, content_type, content_length, body) with kind (html, text) or the reason they are refused."""
+    ``article``, where given, is the main article of an html page; a page with none is refused.
+    """
     kind = F.lower(F.coalesce("content_type", F.lit("")))
+    html = is_html(F.col("content_type"), F.col("body"))
     reason = (
         F.when((F.col("status") < 200) | (F.col("status") > 299), F.concat(F.lit("HTTP "), F.col("status").cast("string")))
-        .when(F.greatest(F.coalesce("content_length", F.lit(0)), F.coalesce(F.octet_length("body"), F.lit(0))) > LARGEST_PAGE, "too large")
-        .when(kind.rlike("^(image|audio|video|font)/|application/(pdf|zip|octet-stream)"), "binary")
-        .when(F.coalesce(F.trim("body"), F.lit("")) == "", "empty")
+        .when(F.coalesce("content_length", F.lit(0)) > LARGEST_PAGE, "too large")
+        .when(kind.rlike("^(image|video|audio)/") | kind.contains("application/pdf"), "binary")
+        .when(F.coalesce(F.octet_length("body"), F.lit(0)) > LARGEST_PAGE, "too large")
+        .when(F.coalesce(trimmed(F.col("body")), F.lit("")) == "", "empty")
     )
-    return pages.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull()).withColumn("kind", F.when(F.col("reason").isNull(), F.when(is_html(F.col("content_type"), F.col("body")), "html").otherwise("text")))
+    if article is not None:
+        reason = reason.when(html & (F.coalesce(trimmed(article), F.lit("")) == ""), "no readable article")
+    return pages.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull()).withColumn("kind", F.when(F.col("reason").isNull(), F.when(html, "html").otherwise("text")))
+
+
+def path_part(url: Column) -> Column:
+    """The path of a URL, at least a slash."""
+    path = F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    return F.when(path == "", "/").otherwise(path)
 
 
 def path_of(url: Column, default_extension: str) -> Column:
-    """Host and path without the last slash, index for the root, with an extension where none is known."""
-    path = F.regexp_replace(F.regexp_extract(url, "^[a-zA-Z]+://[^/?#]*([^?#]*)", 1), "/+$", "")
-    path = F.when(path == "", "/index").otherwise(path)
-    known = F.lower(path).rlike("\\.(md|mdx|mdoc|qmd|rmd|adoc|rst|html|htm)$")
-    return F.concat(F.regexp_replace(authority(url), ":[0-9]+$", ""), path, F.when(known, "").otherwise(default_extension))
+    """Host with its port, and path without the last slash, index for the root, with an extension where none is known."""
+    bare = F.regexp_replace(path_part(url), "/$", "")
+    path = F.when(bare == "", "/index").otherwise(bare)
+    known = path.rlike("(?i)\\.(md|mdx|html?|adoc|rst|txt)$")
+    return F.concat(authority(url), path, F.when(known, "").otherwise(default_extension))
 
 
 def package_name(url: Column) -> Column:
@@ -95,16 +112,16 @@ def package_name(url: Column) -> Column:
 
 
 def suggested_name(url: Column) -> Column:
-    """Host and path as one slug."""
-    path = F.regexp_extract(url, "^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)
-    return F.regexp_replace(F.regexp_replace(F.lower(F.concat(package_name(url), path)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """Host, and the path as a slug after a dash."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(path_part(url), "^/|/$", "")), "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.concat(package_name(url), F.when(slug == "", "").otherwise(F.concat(F.lit("-"), slug)))
 
 
 def index_candidates(sites: DataFrame) -> DataFrame:
-    """(url, candidate, ord): a given index file itself, else the full index, then the short one, of its host."""
-    origin = F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]+", 0)
-    own = F.col("url").rlike("/llms(-full)?\\.txt$")
-    options = F.when(own, F.array("url")).otherwise(F.array(F.concat(origin, F.lit("/llms-full.txt")), F.concat(origin, F.lit("/llms.txt"))))
+    """(url, candidate, ord): a given index file itself, else the full index, then the short one, below its host and path."""
+    base = F.concat(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+", 0), F.regexp_replace(path_part(F.col("url")), "/$", ""))
+    own = path_part(F.col("url")).rlike("/llms(-full)?\\.txt$")
+    options = F.when(own, F.array("url")).otherwise(F.array(F.concat(base, F.lit("/llms-full.txt")), F.concat(base, F.lit("/llms.txt"))))
     return sites.select("url", F.posexplode(options).alias("ord", "candidate"))
 
 
@@ -125,18 +142,30 @@ def site_corpus(sites: DataFrame, pages: DataFrame, links: DataFrame) -> DataFra
 
 
 def source_kind(source: Column) -> Column:
-    """git, package, website or other."""
-    git = source.rlike("^(git@|ssh://|git://)") | source.rlike("\\.git$") | source.rlike("^https?://(www\\.)?(github|gitlab|bitbucket|codeberg)\\.(com|org)/[^/]+/[^/]+")
-    return F.when(source.rlike("\\.db$"), "package").when(git, "git").when(source.rlike("^https?://"), "website").otherwise("other")
+    """git, url (a package to download), website or file."""
+    web = source.rlike("^https?://")
+    ssh = source.startswith("git://") | source.startswith("ssh://") | source.rlike("^git@[A-Za-z0-9_.-]+:[A-Za-z0-9_./-]+$")
+    # Fixed value: hosts of repositories; only their root and tree paths count.
+    hosted = source.rlike("^https?://(github|gitlab|bitbucket|codeberg)\\.[^/]+/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+(/tree/.*)?$")
+    git = source.rlike("(?i)^https?://.*\\.git$") | ssh | hosted
+    return F.when(git, "git").when(web & source.endswith(".db"), "url").when(web, "website").otherwise("file")
 
 
 def tree_url(url: Column) -> Column:
-    """(repo, ref) of a URL with a tree part."""
-    rule = "^(https?://[^/]+/[^/]+/[^/]+)/(?:-/)?tree/([^/]+).*$"
+    """(repo, ref) of a URL with a tree part; all that follows is the ref."""
+    rule = "^(https?://[^/]+/[^/]+/[^/]+)/tree/(.+)$"
     return F.struct(F.when(url.rlike(rule), F.regexp_extract(url, rule, 1)).otherwise(url).alias("repo"), F.when(url.rlike(rule), F.regexp_extract(url, rule, 2)).alias("ref"))
 
 
 def repo_name(url: Column) -> Column:
-    """Last path part without .git and without doc suffixes."""
-    last = F.regexp_extract(F.regexp_replace(F.regexp_replace(url, "/+$", ""), "\\.git$", ""), "([^/:]+)$", 1)
-    return F.regexp_replace(F.lower(last), "[-_.](docs|documentation|website|site)$", "")
+    """The owner of a pages repository, a domain without its end and js, else the last path part; without .js and -docs."""
+    bare = F.regexp_replace(url, "\\.git$", "")
+    bare = F.when(bare.contains("@") & bare.contains(":"), F.substring_index(bare, ":", -1)).otherwise(bare)
+    parts = F.filter(F.split(bare, "/"), lambda x: x != "")
+    last, owner = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("unknown")), F.try_element_at(parts, F.lit(-2))
+    domain = "(?i)\\.(com|org|io|dev|net|site|app)$"
+    pages = last.endswith(".github.io") & owner.isNotNull()
+    name = F.when(pages, owner).when(last.rlike(domain), F.regexp_replace(F.regexp_replace(last, domain, ""), "(?i)js$", "")).otherwise(last)
+    name = F.regexp_replace(F.regexp_replace(F.lower(name), "\\.js$", ""), "-docs?$", "")
+    name = F.regexp_replace(F.regexp_replace(name, "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.when(name == "", "unknown").otherwise(name)

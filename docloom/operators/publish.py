@@ -17,11 +17,15 @@ def changed_sources(definitions: DataFrame, published: DataFrame, heads: DataFra
     return out.select("registry", "name", F.when(same, "skip").otherwise("build").alias("action"))
 
 
+# Messages of git that name a network failure, and those that name a missing ref.
+TRANSIENT = ["could ?not resolve host", "failed to connect", "connection (timed out|reset|refused)", "operation timed out", "gnutls recv error", "early eof", "remote end hung up unexpectedly", "rpc failed", "returned error: (429|5[0-9][0-9])"]
+MISSING_REF = ["remote branch .* not found in upstream", "could not find remote (branch|ref)", "(pathspec|reference) .* did not match"]
+
+
 def error_class(message: Column) -> Column:
     """transient, missing ref or other."""
-    transient = message.rlike("(?i)timed? ?out|connection (reset|refused)|could not resolve host|temporary failure|early eof|hung up|network is unreachable|5[0-9][0-9] (internal|bad|service|gateway)")
-    missing = message.rlike("(?i)remote branch .* not found|couldn't find remote ref|pathspec .* did not match|unknown revision|not found in upstream")
-    return F.when(missing, "missing ref").when(transient, "transient").otherwise("other")
+    has = lambda patterns: message.rlike("(?i)" + "|".join(patterns))
+    return F.when(has(MISSING_REF), "missing ref").when(has(TRANSIENT), "transient").otherwise("other")
 
 
 def run_summary(results: DataFrame) -> DataFrame:

@@ -11,11 +11,24 @@ from docloom.functions import versions as V
 TAGS_SHOWN = 100
 
 
+def placed(versions: DataFrame) -> DataFrame:
+    """Distinct versions with their place in the full order, from 1.
+
+    Versions meet by their first segment; the places before each of these groups come from the groups' counts.
+    """
+    keyed = versions.select("version", V.version_key(F.col("version")).alias("key")).withColumn("head", F.struct("key.numeric", F.get("key.nums", F.lit(0)).alias("first")))
+    before = W.orderBy("head").rowsBetween(W.unboundedPreceding, -1)
+    offsets = keyed.groupBy("head").agg(F.count("*").alias("n")).select("head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(W.partitionBy("head").orderBy("key"))
+    place = keyed.withColumn("inside", inside).withColumnRenamed("head", "own").join(offsets, F.col("own").eqNullSafe(F.col("head")))
+    return place.select("version", (F.col("offset") + F.col("inside")).alias("place"))
+
+
 def resolve_entries(releases: DataFrame, entries: DataFrame) -> DataFrame:
     """Releases with the first entry in file order whose list holds the version or whose range (least <= v < most) does."""
     e = entries.select(F.col("registry").alias("_registry"), F.col("name").alias("_name"), "entry_ord", "min_version", "max_version", "versions")
     v = F.col("version")
-    in_range = F.col("versions").isNull() & ~V.dotted_below(v, F.col("min_version")) & (F.col("max_version").isNull() | V.dotted_below(v, F.col("max_version")) | F.exists(V.dotted_key(v), lambda x: x.isNull()))
+    in_range = F.col("versions").isNull() & ~V.dotted_below(v, F.col("min_version")) & ~V.dotted_reaches(v, F.col("max_version"))
     fits = (F.col("registry") == F.col("_registry")) & (F.col("name") == F.col("_name")) & F.coalesce(F.array_contains("versions", v), in_range)
     found = releases.join(e, fits)
     return found.groupBy(*releases.columns).agg(F.min("entry_ord").alias("entry_ord"))
@@ -52,7 +65,7 @@ def discover(releases: DataFrame, entries: DataFrame, definitions: DataFrame, da
 
 def latest_stable_tags(packages: DataFrame, tags: DataFrame) -> DataFrame:
     """(repo, package, tag): highest strict release among a package's own tags (any case), else among plain tags."""
-    t = tags.select("repo", "tag", "ord", V.tag_parts(F.col("tag")).alias("p")).select("repo", "tag", "ord", F.lower("p.package").alias("tag_package"), V.strict_parts(F.col("p.version")).alias("key"), F.col("p.package").isNotNull().alias("named"))
+    t = tags.select("repo", "tag", "ord", V.tag_parts(F.col("tag")).alias("p")).select("repo", "tag", "ord", F.lower("p.package").alias("tag_package"), V.strict_key(F.col("p.version")).alias("key"), F.col("p.package").isNotNull().alias("named"))
     joined = packages.join(t, "repo", "left").withColumn("own", F.col("named") & (F.col("tag_package") == F.lower("package")))
     has_own = F.coalesce(F.max("own"), F.lit(False))
     best = lambda cond: F.max_by("tag", F.when(cond & F.col("key").isNotNull(), F.struct("key", -F.col("ord"))))
@@ -61,7 +74,7 @@ def latest_stable_tags(packages: DataFrame, tags: DataFrame) -> DataFrame:
 
 def listed_tags(tags: DataFrame, limit: int = TAGS_SHOWN) -> DataFrame:
     """The newest tags of each repository with their place: stable ones first, then prereleases, newest first."""
-    pre = V.is_prerelease(F.regexp_replace(V.tag_parts(F.col("tag")).getField("version"), "^v", ""))
+    pre = V.is_tagged_prerelease(V.tag_parts(F.col("tag")).getField("version"))
     new = tags.withColumn("prerelease", pre).withColumn("_n", F.row_number().over(W.partitionBy("repo").orderBy(F.desc("ts"), "tag"))).filter(F.col("_n") <= limit)
     return new.withColumn("place", F.row_number().over(W.partitionBy("repo").orderBy("prerelease", F.desc("ts"), "tag"))).drop("_n")
 
@@ -70,5 +83,5 @@ def highest_in_ranges(entries: DataFrame, tags: DataFrame) -> DataFrame:
     """(registry, name, version): the highest version that tags of an entry's pattern give inside the entry's range."""
     e = entries.select("registry", "name", "repo", "min_version", "max_version", F.col("tag_pattern").alias("pattern"))
     found = e.join(tags.select("repo", "tag"), "repo").withColumn("version", V.version_in_tag(F.col("tag"), F.col("pattern"))).filter("version is not null")
-    found = found.filter(~V.dotted_below(F.col("version"), F.col("min_version")) & (F.col("max_version").isNull() | V.dotted_below(F.col("version"), F.col("max_version"))))
+    found = found.filter(~V.dotted_below(F.col("version"), F.col("min_version")) & ~V.dotted_reaches(F.col("version"), F.col("max_version")))
     return found.groupBy("registry", "name").agg(F.max_by("version", V.dotted_key(F.col("version"))).alias("version"))

@@ -21,6 +21,18 @@ def test_full_version_order(spark):
         assert got == ORDER
 
 
+def test_any_number_and_length_of_segments(spark):
+    pairs = [("1.2.3.4.5.6.7", "1.2.3.4.5.6.8", -1), ("1.0.0.0.0.0.0.1", "1", 1), ("1.2", "1.2.0.0", 0), ("1.9", "1.10", -1), ("123456789012345678901234567890", "123456789012345678901234567891", -1), ("1.2.rc1", "1.3.0", -1), ("1.2.rc1", "1.2.0", None), ("", "1", -1), (None, "1", None)]
+    df = spark.createDataFrame([(a, b) for a, b, _ in pairs], "a string, b string")
+    got = df.select(V.dotted_compare(F.col("a"), F.col("b")).alias("c"), V.dotted_below(F.col("a"), F.col("b")).alias("lt"), V.dotted_reaches(F.col("a"), F.col("b")).alias("ge")).collect()
+    assert [r.c for r in got] == [c for *_, c in pairs]
+    assert [(r["lt"], r["ge"]) for r in got] == [(c == -1, c in (0, 1)) for *_, c in pairs]
+    long = ["1.2.3.4.5.6.7", "1.2.3.4.5.6.8", "1.2.3.4.5.6.10", "2"]
+    df = spark.createDataFrame([(v,) for v in reversed(long)], "version string")
+    assert [r.version for r in df.orderBy(V.version_key(F.col("version"))).collect()] == long
+    assert sorted((r.place, r.version) for r in releases.placed(spark.createDataFrame([(v,) for v in ORDER], "version string")).collect()) == list(enumerate(ORDER, 1))
+
+
 def test_prereleases_and_ranges(spark):
     df = spark.createDataFrame([(v,) for v in ["1.2.3", "v1.2.3", "4.0a1", "3.0.0.RELEASE", "1.0.0-b", "1.0+x", "1.2"]], "v string")
     assert [r.p for r in df.select(V.is_prerelease(F.col("v")).alias("p")).collect()] == [False, True, True, True, True, True, False]
@@ -39,6 +51,12 @@ def test_tags(spark):
     assert {r.package: r.tag for r in releases.latest_stable_tags(want, tags).collect()} == {"ai": "AI@5.1.0", "@ai-sdk/svelte": "@ai-sdk/svelte@4.0.1", "zod": "v1.2.0", "x": None}
 
 
+def test_tag_parts(spark):
+    want = {"1.2.3": (None, "1.2.3"), "v1.2.3": (None, "1.2.3"), "ai@6.0.68": ("ai", "6.0.68"), "@ai-sdk/gateway@2.0.31": ("@ai-sdk/gateway", "2.0.31"), "ai@6.0.68-canary.0": ("ai", "6.0.68-canary.0"), "a@1@2": ("a", "1@2"), "@s/p@v1@2": ("@s/p", "v1@2")}
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r.t: (r.package, r.version) for r in df.select("t", V.tag_parts(F.col("t")).alias("p")).select("t", "p.*").collect()} == want
+
+
 def test_catalog(spark):
     cat = spark.createDataFrame([("next", "15.0.0"), ("next", "16.0.0"), ("next", "16.0.0-canary.1"), ("@s/react", "1.0")], "name string, version string")
     specs = spark.createDataFrame([("next",), ("next@15.0.0",), ("@s/react",), ("nope",), ("next@14",)], "spec string")
@@ -47,6 +65,23 @@ def test_catalog(spark):
     assert {r.spec: r.status for r in catalog.allowed_problems(specs, cat).collect()} == {"next": "ok", "next@15.0.0": "ok", "@s/react": "ok", "nope": "not installed", "next@14": "wrong version"}
 
 
+def test_listing(spark):
+    cat = spark.createDataFrame([("b", "1.0"), ("a", "1.9"), ("a", "1.10"), ("ab", "latest"), ("b", "2.0-rc.1")], "name string, version string")
+    assert [(r.name, r.version) for r in catalog.listing(cat).orderBy("place").collect()] == [("a", "1.10"), ("a", "1.9"), ("ab", "latest"), ("b", "2.0-rc.1"), ("b", "1.0")]
+
+
+@pytest.mark.parametrize(("pattern", "path", "fits"), [("a[bc]d", "abd", True), ("a[!bc]d", "abd", False), ("a[!bc]d", "x/axd", True), ("\\!keep", "!keep", True), ("\\#x", "#x", True), ("a\\*b", "a*b", True), ("a\\*b", "axb", False), ("docs/**", "docs/a/b", True), ("docs/**", "docs/", False), ("a/**/b", "a/b", True), ("a/**/b", "a/x/y/b", True), ("BUILD/", "build/", True), ("build/", "build", False), ("/top", "top", True), ("/top", "x/top", False), ("a[b", "a[b", True), ("x ", "x", True), ("[a-c].md", "d/b.md", True), ("[^/]x", "/x", False)])
+def test_ignore_patterns(pattern, path, fits):
+    import re
+
+    assert bool(re.search(corpus.ignore_regex(pattern), path)) == fits
+
+
+def test_files_without_content_are_no_copies(spark):
+    files = spark.createDataFrame([("p", 1, None), ("p", 2, None), ("p", 3, "x"), ("p", 4, "x")], "package_id string, file_ord long, content string")
+    assert sorted(r.file_ord for r in corpus.unique_files(files).collect()) == [1, 2, 3]
+
+
 def test_ignore_rules(spark):
     files = spark.createDataFrame([("p", "a.md"), ("p", "build/x.md"), ("p", "src/build/y.md"), ("p", "keep/z.log"), ("p", "z.log"), ("q", "build/x.md")], "package_id string, path string")
     rules = spark.createDataFrame([("p", 0, "build/"), ("p", 1, "*.log"), ("p", 2, "!keep/*.log"), ("p", 3, "# c")], "package_id string, ord int, pattern string")
@@ -70,7 +105,7 @@ def test_copies_and_broken_files(spark):
 
 
 def test_links(spark):
-    text = "# T\n## Docs\n- [A](https://x.org/a): first\n- [B](/b)\nsee [no](https://x.org/no)\n## More\n* [A2](https://x.org/a)\n- [C](http://[bad)\n- [D](https://y.org/d)"
+    text = "# T\n## Docs\n- [A](https://x.org/a): first\n- [B](/b \"its title\")\nsee [no](https://x.org/no)\n## More\n*[A2](https://x.org/a)\n- [C](http://[bad)\n- [D](https://y.org/d)"
     docs = spark.createDataFrame([(1, "https://x.org/llms.txt", text)], "doc_id int, base_url string, content string")
     found = crawl.resolved(crawl.index_links(docs).join(docs.select("doc_id", "base_url"), "doc_id"))
     assert [(r.section, r.title, r.url) for r in found.orderBy("line_no").collect()] == [("Docs", "A", "https://x.org/a"), ("Docs", "B", "https://x.org/b"), ("More", "A2", "https://x.org/a"), ("More", "D", "https://y.org/d")]
@@ -80,8 +115,52 @@ def test_links(spark):
 
 
 def test_errors(spark):
-    df = spark.createDataFrame([("Could not resolve host: x",), ("fatal: Remote branch v9 not found in upstream origin",), ("no sections",)], "m string")
-    assert [r.c for r in df.select(publish.error_class(F.col("m")).alias("c")).collect()] == ["transient", "missing ref", "other"]
+    transient = ["fatal: unable to access 'https://x/': Failed to connect to x port 443 after 135337 ms", "Could not resolve host: x", "error: The requested URL returned error: 503", "RPC failed; curl 56", "GnuTLS recv error (-110)", "Connection timed out", "fatal: early EOF"]
+    missing = ["Git clone failed: Cloning into '/x'...\nfatal: Remote branch v4.1.9 not found in upstream origin", "error: pathspec 'v4.1.9' did not match any file(s)", "Could not find remote branch x", "reference 'y' did not match"]
+    other = ["remote: Repository not found.", "fatal: Authentication failed for 'https://...'", "no sections", "returned error: 404"]
+    df = spark.createDataFrame([(m,) for m in transient + missing + other], "m string")
+    got = {r.m: r.c for r in df.select("m", publish.error_class(F.col("m")).alias("c")).collect()}
+    assert got == dict.fromkeys(transient, "transient") | dict.fromkeys(missing, "missing ref") | dict.fromkeys(other, "other")
+
+
+def one_column(spark, values, column):
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    return {r.v: r.out for r in df.select("v", column(F.col("v")).alias("out")).collect()}
+
+
+def test_kinds_of_sources(spark):
+    want = {
+        "git": ["https://github.com/vercel/next.js", "https://github.com/facebook/react/tree/main", "https://gitlab.com/org/repo", "https://bitbucket.org/org/repo", "git@github.com:user/repo.git", "ssh://git@github.com/user/repo.git", "https://x.org/a.git"],
+        "url": ["http://example.com/package.db", "https://github.com/user/repo/releases/download/v1/package.db"],
+        "website": ["https://react-aria.adobe.com", "https://mui.com/material-ui/llms-full.txt", "https://github.com/o/r/releases/tag/v1", "https://github.com/o/r/blob/main/README.md"],
+        "file": ["./package.db", "C:\\Users\\package.db", "vercel/next.js", "", "   ", "folder/repo.git"],
+    }
+    assert one_column(spark, [v for vs in want.values() for v in vs], crawl.source_kind) == {v: k for k, vs in want.items() for v in vs}
+
+
+def test_repositories(spark):
+    names = {"https://github.com/owner/owner.github.io": "owner", "https://github.com/expressjs/expressjs.com": "express", "https://github.com/org/project-docs": "project", "https://github.com/expressjs/express.js": "express", "git@github.com:user/My_Repo.git": "my-repo", "https://github.com/a/website_docs": "website-docs", "https://github.com/a/tool_site": "tool-site"}
+    assert one_column(spark, names, crawl.repo_name) == names
+    refs = one_column(spark, ["https://github.com/o/r/tree/feature/x/docs", "https://github.com/o/r"], crawl.tree_url)
+    assert [tuple(r) for r in refs.values()] == [("https://github.com/o/r", "feature/x/docs"), ("https://github.com/o/r", None)]
+
+
+def test_names_and_paths_of_urls(spark):
+    slugs = {"https://overreacted.io/": "overreacted.io", "https://overreacted.io/things-i-dont-know-as-of-2018/": "overreacted.io-things-i-dont-know-as-of-2018", "https://www.example.com/article/hello-world": "example.com-article-hello-world", "https://site.com/a_b.c/d+e": "site.com-a-b-c-d-e"}
+    assert one_column(spark, slugs, crawl.suggested_name) == slugs
+    paths = {"https://x.org:8443/a/b/": "x.org:8443/a/b.md", "https://x.org": "x.org/index.md", "https://x.org/g.TXT": "x.org/g.TXT", "https://x.org/p.htm?q": "x.org/p.htm"}
+    assert one_column(spark, paths, lambda u: crawl.path_of(u, ".md")) == paths
+    sites = spark.createDataFrame([("https://www.prisma.io/docs",), ("https://a.com/",), ("https://mui.com/x/llms.txt",)], "url string")
+    got = sorted((r.url, r.ord, r.candidate) for r in crawl.index_candidates(sites).collect())
+    assert [c for *_, c in got] == ["https://a.com/llms-full.txt", "https://a.com/llms.txt", "https://mui.com/x/llms.txt", "https://www.prisma.io/docs/llms-full.txt", "https://www.prisma.io/docs/llms.txt"]
+
+
+def test_triage(spark):
+    html = "<HTML lang=en><body><article><p>Enough words to read here.</p></article></body></html>"
+    rows = [(200, None, html, "html"), (200, "text/plain", html, "text"), (200, "application/zip", "PK", "text"), (200, "font/woff2", "x", "text"), (200, "Image/PNG", "x", "binary"), (200, "application/pdf; x", "x", "binary"), (503, None, "x", "HTTP 503"), (200, "text/html", " \n", "empty"), (200, "application/xhtml+xml", html, "html"), (200, "text/html", None, "empty")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, status int, content_type string, body string, want string").withColumn("content_length", F.lit(None).cast("long"))
+    assert [r.reason or r.kind for r in crawl.triage(df).orderBy("i").collect()] == [w for *_, w in rows]
+    assert [r.reason for r in crawl.triage(df.filter("i < 2"), F.lit(" ")).orderBy("i").collect()] == ["no readable article", None]
 
 
 def test_packages_on_disk(spark, tmp_path):
