@@ -1,8 +1,15 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is read into text blocks. A linear classifier on tags, class names, link share and length gives each block
-a cost of being dropped and a cost of being kept: capacities from the source and to the sink. Neighbouring blocks
-and blocks of one parent are tied by smoothness edges. The source side of a minimum cut is the content.
+A page is read into text blocks. A linear classifier on a block's text, links, element and the names around it gives
+log-odds of being content; elements that say what they hold (article, nav and the like) add stated ones. The log-odds
+are the costs of dropping or of keeping a block: capacities from the source and to the sink. Neighbouring blocks are
+tied by smoothness edges, the more the closer they are in the document tree, and so are the blocks of one parent. The
+source side of a minimum cut is the content.
+
+The classifier's weights are fitted on the blocks of at most ``SAMPLE_PAGES`` pages (those with the lowest hashes of
+their ids), whose labels come from elements that say what they hold; these elements are no features, so the weights are
+those of text, links and form alone. They are drawn towards stated weights, which stand for names of classes and ids
+that the sample has no label for. With no labelled block the stated weights are used.
 
 A null or empty page gives an empty text; broken markup is read as far as it goes; repeated rows are independent;
 an empty table gives an empty result; further columns are ignored.
@@ -10,83 +17,114 @@ an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docloom.llm import textkernel as K
 from docloom.llm.tables import table
 
-# Kinds of elements, and words in class names and ids.
+# Kinds of elements, and words in names of classes and ids.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img picture source".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style noscript template svg canvas iframe object audio video math title select textarea button map datalist".split())
 CHROME = frozenset("nav footer aside form menu dialog search fieldset".split())
-BODY = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption td dd".split())
-BAD = re.compile(r"(?:^|[-_\s])(?:nav\w*|menu\w*|side\w*|foot\w*|head|header|masthead|banner\w*|cookie\w*|consent\w*|notice\w*|notif\w*|alert|gdpr|ads?|adv\w*|adslot|sponsor\w*|promo\w*|comments?|commentlist|discuss\w*|disqus|repl(?:y|ies)|respond|reactions?|shar\w*|social\w*|related\w*|recommend\w*|trending|popular|breadcrumbs?|crumbs|pagi\w*|pager|subscri\w*|newsletter\w*|signup|login|popup|modal|overlay|widget\w*|toolbar|tags|byline|copyright|legal|search\w*|skip\w*|hidden|form\w*|feedback)(?:$|[-_\s])", re.I)
-GOOD = re.compile(r"(?:^|[-_\s])(?:article\w*|content\w*|post|entry\w*|body|story\w*|text|main\w*)(?:$|[-_\s])", re.I)
-FIRM = 50.0
-NEAR, SIBLING = 0.6, 0.6
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
+PROSE = frozenset("p blockquote pre figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CELLS = frozenset("li td th dd dt option".split())
+BAD = frozenset("""nav navbar navigation topnav menu menus submenu sidebar sidebars footer footers header headers masthead banner banners cookie cookies consent notice notices notification notifications
+alert alerts gdpr ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsors sponsored promo promos promotion comment comments commentlist commenting discussion disqus
+reply replies respond responses reaction reactions share sharing shares social related recommended recommendation recommendations trending popular breadcrumb breadcrumbs crumbs pagination pager paging
+subscribe subscription newsletter signup signin login popup modal overlay widget widgets toolbar tags copyright legal search skip hidden form forms feedback""".split())
+GOOD = frozenset("article post entry story main content body text prose markdown".split())
+CARRIER = frozenset("list lists container wrapper wrap inner outer box boxes area block blocks section item items link links bar slot unit content body text title row col column panel group holder zone btn button buttons main left right top bottom primary secondary sticky mobile desktop global site page".split())
+TEASER = frozenset("related recommended recommendation recommendations sponsored sponsor popular trending promoted".split())
+# Stated log-odds of elements, and how far the fitted part may go.
+IN_ARTICLE, IN_CHROME, FITTED_UP_TO = 0.5, -6.0, 3.0
+NEAR, CLOSE, SIBLING = 0.4, 1.2, 0.4
+SAMPLE_PAGES, SAMPLE_BLOCKS, BATCH_BYTES = 400, 200, 4 << 20
+FEATURES = ("bias", "length", "linked", "stops", "sentence", "prose", "heading", "cell", "few_words", "rights", "bad_name", "good_name")
+STATED = np.array([-0.5, 1.2, -3.0, 0.5, 0.8, 0.8, 0.4, -0.3, -0.5, -3.0, -6.0, 1.0])
+DRAWN = np.array([0.02, 0.02, 0.02, 0.02, 0.02, 0.02, 0.05, 0.05, 0.02, 0.05, 1.0, 0.05])
+
+
+def name_kind(name: str) -> int:
+    """-1 for a class or id that names what surrounds an article, 1 for one that names the article, else 0.
+
+    The last word that isn't a mere carrier decides (``comment-list``, ``site-header``, but not ``search-algorithms``),
+    or a first one that marks a teaser (``related-posts``); the header of a post is a part of it.
+    """
+    parts = [p for p in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if p]
+    heads = [p for p in parts if p not in CARRIER]
+    if not heads:
+        return int(any(p in GOOD for p in parts))
+    if heads[0] in TEASER:
+        return -1
+    if heads[-1] in BAD:
+        return 0 if heads[-1] in ("header", "headers") and any(p in GOOD or p in ("page", "section", "title") for p in parts) else -1
+    return int(heads[-1] in GOOD)
 
 
 class Reader(HTMLParser):
-    """Collects blocks: (text, score, parent)."""
+    """Collects blocks: (text, features, stated log-odds, label or None, path of element numbers)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, float, bool]] = []  # tag, number, score from here up, in an article
+        self.stack: list[tuple[str, int, int, int, int, int]] = []  # tag, number, in article, in chrome, bad names, good names
         self.unseen, self.number, self.links = 0, 0, 0
         self.parts: list[str] = []
         self.linked = 0
-        self.blocks: list[tuple[str, float, int]] = []
+        self.blocks: list[tuple[str, list[float], float, int | None, tuple[int, ...]]] = []
 
     def flush(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            blocks = [e for e in self.stack if e[0] not in INLINE]
-            tag, number, score, _ = blocks[-1] if blocks else ("", 0, 0.0, False)
-            parent = blocks[-2][1] if len(blocks) > 1 else 0
-            score += 0.7 * (tag in BODY) + min(2.0, len(text) / 120) - 4 * min(1.0, self.linked / len(text)) - 0.8
-            score -= 2.5 * (len(text) < 120 and ("©" in text or text.lower().startswith(("copyright", "all rights"))))
-            self.blocks.append((text, score, parent))
+            path = [e for e in self.stack if e[0] not in INLINE]
+            tag, _, article, chrome, bad, good = path[-1] if path else ("", 0, 0, 0, 0, 0)
+            words = text.count(" ") + 1
+            stops = sum(map(text.count, ".,;:!?")) / words
+            rights = len(text) < 160 and ("©" in text or text.lower().startswith(("copyright", "all rights")))
+            found = [1.0, min(2.0, math.log1p(len(text)) / 3), min(1.0, self.linked / len(text)), min(1.0, 4 * stops), text[-1] in ".!?…:\"'”»)", tag in PROSE, tag in HEADINGS, tag in CELLS, words < 5, rights, bad > 0, good > 0 and not bad]
+            label = 0 if chrome else 1 if article and not bad else None
+            self.blocks.append((text, [float(x) for x in found], IN_ARTICLE * (article > 0) + IN_CHROME * (chrome > 0), label, tuple(e[1] for e in path)))
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
-        if tag in UNSEEN:
-            if tag not in VOID:
-                self.unseen += 1
-                self.stack.append((tag, self.number, -FIRM, False))
-            return
         if tag in VOID:
+            if tag in UNSEEN:
+                return
             self.parts.append(" ") if tag == "br" else None
             if tag == "hr":
                 self.flush()
             return
-        if tag not in INLINE:
+        named = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "style", "aria-hidden")}
+        gone = tag in UNSEEN or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
+        if not gone and tag not in INLINE and not self.unseen:
             self.flush()
             if any(e[0] == "p" for e in self.stack[-6:]):
                 self.leave("p", self.stack[-6:])
             if tag in ("li", "td", "th", "tr", "dd", "dt", "option") and self.stack and self.stack[-1][0] == tag:
-                self.stack.pop()
-        up, article = (self.stack[-1][2], self.stack[-1][3]) if self.stack else (0.0, False)
-        named = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "style", "aria-hidden")}
-        name = f"{named.get('class', '')} {named.get('id', '')}"
-        score = up
-        if tag in ("article", "main") or named.get("role") in ("main", "article"):
-            score, article = score + 4.0, True
-        elif tag in CHROME or tag == "header" and not article or named.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"):
-            score -= FIRM
-        elif BAD.search(name) and tag not in ("html", "body"):
-            score -= FIRM if tag not in BODY and tag not in INLINE else 6.0
-        elif GOOD.search(name) and not article:
-            score += 1.5
-        if "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", ""):
-            score -= FIRM
+                self.leave(tag, self.stack[-1:])
+        _, _, article, chrome, bad, good = self.stack[-1] if self.stack else ("", 0, 0, 0, 0, 0)
+        role = named.get("role", "")
+        if tag in ("article", "main") or role in ("main", "article"):
+            article += 1
+        elif tag in CHROME or tag == "header" and not article or role in ROLES:
+            chrome += 1
+        names = named.get("class", "").split() + ([] if tag in PROSE or tag in HEADINGS else named.get("id", "").split())
+        kinds = [name_kind(x) for x in names] if tag not in ("html", "body") else []
+        bad, good = bad + (min(kinds, default=0) < 0), good + (max(kinds, default=0) > 0)
         self.number += 1
-        self.stack.append((tag, self.number, score, article))
+        self.stack.append((f"{tag} unseen" if gone else tag, self.number, article, chrome, bad, good))
+        self.unseen += gone
         self.links += tag == "a"
 
     def finish(self):
@@ -94,21 +132,22 @@ class Reader(HTMLParser):
         self.flush()
 
     def leave(self, tag, within):
-        while self.stack and any(e[0] == tag for e in within):
+        while self.stack and any(e[0].split()[0] == tag for e in within):
             gone = self.stack.pop()
-            self.unseen -= gone[0] in UNSEEN
-            self.links -= gone[0] == "a"
-            if gone[0] == tag:
+            self.unseen -= gone[0].endswith(" unseen")
+            self.links -= gone[0].split()[0] == "a"
+            if gone[0].split()[0] == tag:
                 return
 
     def handle_endtag(self, tag):
-        if tag not in INLINE and tag not in VOID and not self.unseen:
-            self.flush()
         if tag in VOID:
             return
-        if any(e[0] == tag for e in self.stack):
-            floor = max((k for k, e in enumerate(self.stack) if e[0] in ("article", "main", "body", "table", "nav", "footer", "aside")), default=-1)
-            own = max(k for k, e in enumerate(self.stack) if e[0] == tag)
+        if tag not in INLINE and not self.unseen:
+            self.flush()
+        tags = [e[0].split()[0] for e in self.stack]
+        if tag in tags:
+            floor = max((k for k, t in enumerate(tags) if t in ("article", "main", "body", "table", "nav", "footer", "aside")), default=-1)
+            own = len(tags) - 1 - tags[::-1].index(tag)
             if own >= floor or tag in ("article", "main", "body", "html", "nav", "footer", "aside", "div", "section"):
                 self.leave(tag, self.stack[own:])
 
@@ -119,86 +158,143 @@ class Reader(HTMLParser):
                 self.linked += len(data)
 
 
+def read(html: str | None) -> list[tuple[str, list[float], float, int | None, tuple[int, ...]]]:
+    reader = Reader()
+    reader.feed(html or "")
+    reader.finish()
+    return reader.blocks
+
+
 def min_cut(scores: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
-    """True for the nodes on the source side: each pays |score| on the wrong side, each cut edge its capacity."""
+    """True for the nodes on the source side: each pays |score| on the wrong side, each cut edge its capacity.
+
+    Nodes whose own score outweighs all their edges are settled first. Flow goes from each source along shortest paths
+    to the nearest free sink; what a source reaches when it finds none is on its side for good and is not entered again.
+    """
     n = len(scores)
     near: list[dict[int, float]] = [{} for _ in range(n)]
     for (i, j), c in edges.items():
         near[i][j] = near[i].get(j, 0.0) + c
         near[j][i] = near[j].get(i, 0.0) + c
-    side: list[bool | None] = [None] * n
+    kept: list[bool | None] = [None] * n
     pull = list(scores)
     queue = deque(range(n))
-    while queue:  # a node whose own pull outweighs all its edges is settled, and pulls its neighbours
+    while queue:
         i = queue.popleft()
-        if side[i] is None and abs(pull[i]) >= sum(near[i].values()):
-            side[i] = pull[i] > 0
+        if kept[i] is None and abs(pull[i]) >= sum(near[i].values()):
+            kept[i] = pull[i] > 0
             for j, c in near[i].items():
                 del near[j][i]
-                pull[j] += c if side[i] else -c
+                pull[j] += c if kept[i] else -c
                 queue.append(j)
             near[i] = {}
-    left = [i for i in range(n) if side[i] is None]
-    if left:
-        rest = [dict(x) for x in near]
-        spare_in, spare_out = {i: max(0.0, pull[i]) for i in left}, {i: max(0.0, -pull[i]) for i in left}
-        while True:  # shortest augmenting paths
-            before: dict[int, int] = {}
-            queue, end = deque(), None
-            for i in left:
-                if spare_in[i] > 1e-12:
-                    before[i] = -1
-                    queue.append(i)
-            while queue:
+    left = [i for i in range(n) if kept[i] is None]
+    spare = {i: max(0.0, -pull[i]) for i in left}
+    for source in left:
+        supply = max(0.0, pull[source])
+        while supply > 1e-12 and kept[source] is None:
+            before, queue, end = {source: -1}, deque([source]), -1
+            while queue and end < 0:
                 i = queue.popleft()
-                if spare_out[i] > 1e-12:
+                if spare[i] > 1e-12:
                     end = i
                     break
-                for j, c in rest[i].items():
-                    if c > 1e-12 and j not in before:
+                for j, c in near[i].items():
+                    if c > 1e-12 and j not in before and kept[j] is None:
                         before[j] = i
                         queue.append(j)
-            if end is None:
+            if end < 0:
+                for i in before:
+                    kept[i] = True
                 break
             path = [end]
             while before[path[-1]] != -1:
                 path.append(before[path[-1]])
-            flow = min(spare_out[end], spare_in[path[-1]], *(rest[b][a] for a, b in zip(path, path[1:], strict=False)))
-            spare_out[end] -= flow
-            spare_in[path[-1]] -= flow
+            flow = min(spare[end], supply, *(near[b][a] for a, b in zip(path, path[1:], strict=False)))
+            spare[end] -= flow
+            supply -= flow
             for a, b in zip(path, path[1:], strict=False):
-                rest[b][a] -= flow
-                rest[a][b] = rest[a].get(b, 0.0) + flow
-        for i in left:
-            side[i] = i in before
-    return [bool(s) for s in side]
+                near[b][a] -= flow
+                near[a][b] += flow
+    return [bool(k) for k in kept]
 
 
-def extract(html: str | None) -> str:
-    reader = Reader()
-    reader.feed(html or "")
-    reader.finish()
-    blocks = reader.blocks
+def ties(paths: list[tuple[int, ...]]) -> dict[tuple[int, int], float]:
+    """Smoothness edges of blocks by their paths in the document tree."""
     edges: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
-    for k, (_, _, parent) in enumerate(blocks):
+    for k, path in enumerate(paths):
         if k:
-            edges[k - 1, k] = edges.get((k - 1, k), 0.0) + NEAR
+            common = 0
+            for a, b in zip(path, paths[k - 1], strict=False):
+                if a != b:
+                    break
+                common += 1
+            edges[k - 1, k] = NEAR + CLOSE / (1 + max(0, len(path) + len(paths[k - 1]) - 2 * common - 2))
+        parent = path[-2] if len(path) > 1 else 0
         if parent in last:
             edges[last[parent], k] = edges.get((last[parent], k), 0.0) + SIBLING
         last[parent] = k
-    kept = min_cut([s for _, s, _ in blocks], edges)
-    return " ".join(t for (t, _, _), keep in zip(blocks, kept, strict=True) if keep)
+    return edges
+
+
+def costs(blocks: list, weights: np.ndarray) -> list[float]:
+    """Log-odds of content of each block; names of classes and ids count beside what is fitted to the text."""
+    if not blocks:
+        return []
+    x = np.array([b[1] for b in blocks])
+    named = [FEATURES.index("bad_name"), FEATURES.index("good_name")]
+    own = np.delete(x, named, 1) @ np.delete(weights, named)
+    return (np.clip(own, -FITTED_UP_TO, FITTED_UP_TO) + x[:, named] @ weights[named] + np.array([b[2] for b in blocks])).tolist()
+
+
+def extract(html: str | None, weights: np.ndarray = STATED) -> str:
+    blocks = read(html)
+    kept = min_cut(costs(blocks, weights), ties([b[4] for b in blocks]))
+    return " ".join(b[0] for b, keep in zip(blocks, kept, strict=True) if keep)
+
+
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Logistic weights, both labels of equal weight, drawn towards the stated ones (Newton steps)."""
+    if len(set(y.tolist())) < 2:
+        return STATED
+    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    w = STATED.copy()
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (share * (p - y)) + DRAWN * (w - STATED)
+        hess = (x * (share * p * (1 - p))[:, None]).T @ x + np.diag(DRAWN)
+        step = np.linalg.solve(hess, grad)
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
+
+
+def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> np.ndarray:
+    """Weights from the labelled blocks of the sample, at most ``SAMPLE_BLOCKS`` of a page, evenly spread over it."""
+    chosen = pages.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)
+    rows = pages.join(F.broadcast(chosen), "page_id", "left_semi").select("html")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page in batch.column(0):
+                found = [(b[3], b[1]) for b in read(page.as_py()) if b[3] is not None]
+                found = found[:: max(1, -(-len(found) // SAMPLE_BLOCKS))]
+                yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in found], pa.int32()), pa.array([x for _, x in found], pa.list_(pa.float64()))], ["y", "x"])
+
+    got = sorted((r.y, r.x) for r in rows.mapInArrow(run, "y int, x array<double>").collect())
+    return fit(np.array([x for _, x in got]).reshape(-1, len(FEATURES)), np.array([y for y, _ in got], np.int64))
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
+def extract_pages(pages: DataFrame, weights: np.ndarray = STATED) -> DataFrame:
     """(page_id, url, text, n_chars) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                texts = [extract(h) for h in part.column(2).to_pylist()]
+            for lo, hi, _, _ in K.text_slices(batch.column(2), BATCH_BYTES):
+                part = batch.slice(lo, hi - lo)
+                texts = [extract(h.as_py(), weights) for h in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
@@ -207,4 +303,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
-    return extract_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return extract_pages(pages, train(pages))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import textkernel as K
 from docloom.llm.components import components
-from docloom.llm.tables import checkpointed, table
+from docloom.llm.tables import boxed, checkpointed, table, unboxed
 
 SIZE = 5
 SMALL = 64
@@ -506,7 +506,8 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, that with the least id (then least text hash), and all rows without shingles."""
+    """One row of each component, that with the least id (then least text hash, then least hash of all columns), and all
+    rows without shingles."""
     rows, roots = node_roots(docs)
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     rows = rows.filter("node is not null").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "doc_id", "text_key", key.alias("key"))
@@ -514,17 +515,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     keyed = rows.join(least, "root").select("doc_id", "text_key", (F.col("key") == F.col("least")).alias("stays"))
     known = checkpointed(keyed.groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).filter("not stays or n > 1"))
     leave, twice = known.filter("not stays").select("doc_id", "text_key"), known.filter("stays").select("doc_id", "text_key")
-    columns = docs.columns
-    tagged = docs.select(*(F.col(c) for c in columns), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text_key"))
+    tagged = docs.select(boxed(docs), F.col("doc_id").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_key"))
 
     def matched(df: DataFrame, side: DataFrame, how: str) -> DataFrame:
-        side = side.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-        return df.join(F.broadcast(side) if side.count() <= BROADCAST_IDS else side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), how)
+        return df.join(F.broadcast(side) if side.count() <= BROADCAST_IDS else side, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key")), how)
 
     kept = matched(tagged, leave, "left_anti")
     if twice.limit(1).count():
-        kept = matched(kept, twice, "left_anti").unionByName(matched(kept, twice, "left_semi").dropDuplicates(["doc_id", "_text_key"]))
-    return kept.select(*columns)
+        first = matched(kept, twice, "left_semi").groupBy("own_id", "own_key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        kept = matched(kept, twice, "left_anti").select("row").unionByName(first.select("row"))
+    return unboxed(kept)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,42 +1,55 @@
 """Secret scans: candidates by a pattern, false positives removed by a random forest, with built-in functions only.
 
-A text is split at its candidates: runs of 16 or more key-like characters, values of any length and alphabet after a
-naming word and = or :, and passwords in connection URLs. A named value without quotes goes on to the next white space,
-one in quotes to the quote that closes it. For each candidate the features are its
-length, its changes between kinds of characters, shares of digits and capitals, coverage by frequent word parts,
-path-likeness, quotes, and the words around. The forest is fitted on the driver from a bounded sample of labelled
-findings (``SAMPLE_FINDINGS`` of either label, those with the lowest hashes) and compiled to SQL conditions, so
-that all texts are scanned and scored inside Spark's own expressions and no rows are shuffled. Labels come from
-findings that their surroundings or a fixed format give away, and from a short stated list.
+A text's candidates are private key blocks over many lines, runs of 16 or more key-like characters, values of any
+length and alphabet after a naming word and = or :, and passwords in connection URLs. A named value without quotes goes
+on to the next white space, one in quotes to the quote that closes it. The texts are scanned once; candidates with the
+text on both sides are a small table, and all else works on that table.
+
+Features of a candidate are its length, its changes between kinds of characters, shares of digits and capitals, the
+share of its character trigrams that are frequent in the corpus' words (the ``DICTIONARY`` most frequent ones, counted
+over all texts), path-likeness, quotes, naming words, and neighbouring words (those that stand by findings of one label
+far more often than by the other). The forest is fitted on the driver from a bounded sample of labelled findings
+(``SAMPLE_FINDINGS`` of either label, those with the lowest hashes) and compiled to SQL conditions. Labels come from
+formats of known issuers, from naming words, and from plain forms (words, numbers, paths) without a naming word. A
+finding that is labelled by its naming word alone is learnt with its surroundings hidden, so that the forest learns
+values from names and not names from themselves. A short stated list completes the sample.
 
 Null and empty texts have no findings; repeated rows give repeated findings; an empty table gives an empty result
-(the stated list alone trains the forest then). Further columns are ignored by ``scan`` and kept by ``redact``.
+(the stated list alone trains the forest then). Further columns are ignored by ``scan`` and kept by ``redact``,
+whatever their names. Equal texts are told by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.tables import table
+from docloom.llm.tables import boxed, checkpointed, table, unboxed
 
-SAMPLE_FINDINGS = 1_000
+SAMPLE_FINDINGS, DICTIONARY, NEIGHBOURS, LEAST_SEEN = 1_000, 1_000, 50, 5
 TREES, DEPTH, SECRET_FROM, MASK = 15, 6, 0.5, "[secret]"
-FEATURES = ("length", "changes", "digits", "capitals", "covered", "path", "keyword", "quoted", "hex", "distinct")
-# Words that name a secret or a harmless digest, frequent word parts of four languages.
+#: So many texts with secrets may be broadcast by their hashes; more are joined by a shuffle.
+BROADCAST_TEXTS = 500_000
+FEATURES = ("length", "changes", "digits", "capitals", "covered", "path", "keyword", "quoted", "hex", "distinct", "neighbours")
+SURROUNDINGS = ("keyword", "quoted", "neighbours")
+# Words that name a secret or a harmless digest, formats of known issuers.
 NAMING = "token(?!s|iz)|secret(?!ar)|passw|pwd|api.?key|access.?key|private.?key|auth(?!or(?!i))|bearer|credential"
 HARMLESS = "commit|sha1|sha256|md5|checksum|digest|uuid|etag|revision|hash|isbn|phone|order"
-PARTS = "tion|ment|ing|the|and|ver|ein|ich|sch|heit|keit|lich|que|eau|eux|elle|ent|ble|oun|ou|re|er|es|en|on|an|in|it|ed|st|ea|ti|ha|he|th|nd|sh|or|do|os|as|la|de|ar|ci"
+FORMATS = "^(AKIA[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|-----BEGIN [\\s\\S]*)$"
 # Values that stand for one given elsewhere, or for none.
 EMPTY = "^(?i:none|null|nil|true|false|undefined)$|^\\$\\{?\\w+\\}?$|^\\*+$|^\\[secret"
+PLAIN = "^\\p{L}+$|^[0-9]+$|^[^A-Za-z0-9]+$"
 # Candidates. The short look back to = or : keeps the long one from running at every character.
+BLOCK = "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\\s:,\\-]*?-----END [A-Z ]{0,20}PRIVATE KEY-----"
 NAMED = f"(?<=[=:>\\s\"'`])(?<=[=:]>?\\s{{0,2}}[\"'`]?|(?i:bearer|basic)\\s)(?<=(?i:{NAMING})[\\w.\\-]{{0,20}}[\"'`\\]]{{0,2}}\\s{{0,2}}[=:]{{1,2}}>?\\s{{0,2}}(?i:(?:bearer|basic)\\s)?[\"'`]?)"
-QUOTED = "|".join(f"(?<={q})[^{q}\\n]+(?={q})" for q in "\"'`")
+IN_QUOTES = "|".join(f"(?<={q})[^{q}\\n]+(?={q})" for q in "\"'`")
 BARE = "(?<![\"'`])[^\\s\"'`=:>](?:\\S*[^\\s,;.)\\]}\"'`])?"
 IN_URL = "(?<=:)(?<=://[^\\s/:@]{0,50}:)[^\\s/]+(?=@)"
 RUN = "[A-Za-z0-9+/_\\-]{16,}={0,2}(?![A-Za-z0-9+/_\\-])"
-CANDIDATE = f"{NAMED}(?:{QUOTED}|{BARE})|{IN_URL}|{RUN}"
+CANDIDATE = f"{BLOCK}|{NAMED}(?:{IN_QUOTES}|{BARE})|{IN_URL}|{RUN}"
 # Candidates before one that can reach into the 60 characters before it: a named one takes 5 with its name, a run 16.
 REACH = 12
 #: (before, value, after, label) of stated findings.
@@ -46,37 +59,77 @@ STATED = [
     ("of a ", "internationalization", " for", 0), ("the ", "thertionabledingthe", ".", 0), ("card 4041", "8949746087954041", " and", 0), ("see www.example.org/", "docs/guides/getting-started", " or", 0),
     ("commit ", "9fceb02d0ae598e95dc970b74767f19372d61af8", " fixes", 0), ("call ", "0049301234567890", "", 0), ("a ", "----------------------------", "", 0), ("der ", "Zusammengehoerigkeit", ",", 0),
     ("password=", "hunter2x", "", 1), ("pwd: ", "p@ss.w0rd!2024", "", 1), ("postgres://app:", "s3cr%t", "@db", 1), ("secret='", "open sesame", "'", 1), ("passwd=", "letmein", " and", 1),
+    ("", "-----BEGIN PRIVATE KEY-----\\nMIIEvQ8x\\n-----END PRIVATE KEY-----", "", 1), ("db: ", "-----BEGIN RSA PRIVATE KEY-----\\nQ0aX/p+2\\n-----END RSA PRIVATE KEY-----", "\\n", 1),
     ("the secret: ", "nobody", " knew", 0), ("a token: ", "one", " word", 0), ("Authorization: ", "Bearer", " ", 0), ("password=", "None", "", 0), ("token=", "${TOKEN}", "", 0), ("", "aws_secret_access_key", "=", 0), ("set ", "client_private_key_path", " to", 0),
 ]
 
 
-def features(before: Column, value: Column, after: Column) -> dict[str, Column]:
+@dataclass(frozen=True)
+class Lexicon:
+    """Frequent trigrams of the corpus' words; words that stand by secrets, and by other findings."""
+
+    trigrams: tuple[str, ...] = ()
+    by_secrets: tuple[str, ...] = ()
+    by_others: tuple[str, ...] = ()
+
+
+def frequent_trigrams(docs: DataFrame, limit: int = DICTIONARY) -> tuple[str, ...]:
+    """The ``limit`` most frequent character trigrams of all texts' words (ties by letters); words are counted first."""
+    words = docs.select(F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("word")).filter("length(word) between 3 and 20").groupBy("word").agg(F.count("*").alias("n"))
+    parts = words.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substring("word", i, 3))).alias("part"))
+    return tuple(r.part for r in parts.groupBy("part").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "part").limit(limit).collect())
+
+
+def near_words(before: Column, after: Column) -> Column:
+    """The last three words before and the first two after a candidate, in lower case."""
+    words = lambda c: F.filter(F.split(F.lower(c), "[^\\p{L}]+"), lambda w: w != "")
+    return F.concat(F.slice(F.reverse(words(before)), 1, 3), F.slice(words(after), 1, 2))
+
+
+def neighbour_words(sample: list[tuple[list[str], int]], limit: int = NEIGHBOURS) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Words seen by ``LEAST_SEEN`` findings of one label and e times as often there as by the other, at most ``limit`` each."""
+    rows, seen = [1, 1], ({}, {})
+    for words, label in sample:
+        rows[label] += 1
+        for w in set(words):
+            seen[label][w] = seen[label].get(w, 0) + 1
+    odds = {w: np.log((seen[1].get(w, 0) + 0.5) / rows[1]) - np.log((seen[0].get(w, 0) + 0.5) / rows[0]) for w in seen[0].keys() | seen[1].keys()}
+    pick = lambda label, sign: tuple(sorted((w for w, n in seen[label].items() if n >= LEAST_SEEN and sign * odds[w] > 1), key=lambda w: (-sign * odds[w], w))[:limit])
+    return pick(1, 1), pick(0, -1)
+
+
+def features(before: Column, value: Column, after: Column, lexicon: Lexicon) -> dict[str, Column]:
     """Whole-number features of a candidate and the text on both sides of it."""
     n = F.length(value)
     near = F.lower(F.substring(before, -60, 60))
     share = lambda kept: F.floor(100 * F.length(F.regexp_replace(value, kept, "")) / n).cast("int")
     prose = near.rlike(":\\s+$") & value.rlike("^\\p{L}+$")
     named = (near.rlike(f"({NAMING})[^\\s]*\\s*[=:]{{1,2}}>?\\s*((bearer|basic)\\s)?[\"'`]?$") & ~prose) | near.rlike("://[^\\s/:@]*:$")
+    parts = F.when(n > 2, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(F.lower(value), i, 3))).otherwise(F.array().cast("array<string>"))
+    known = lambda words, of: F.size(F.filter(words, lambda w: w.isin(*of))) if of else F.lit(0)
+    words = near_words(before, after)
     return {
         "length": n.cast("int"),
         "changes": (F.length(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]+", "a"), "[A-Z]+", "B"), "[0-9]+", "1"), "[^A-Za-z0-9]+", "-")) - 1).cast("int"),
         "digits": share("[^0-9]"),
         "capitals": share("[^A-Z]"),
-        "covered": (100 - F.floor(100 * F.length(F.regexp_replace(F.lower(value), PARTS, "")) / n)).cast("int"),
+        "covered": F.floor(100 * known(parts, lexicon.trigrams) / F.greatest(n - 2, F.lit(1))).cast("int"),
         "path": (n - F.length(F.regexp_replace(value, "[/_]", "")) + F.when(near.rlike("[./\\\\~]$"), 1).otherwise(0)).cast("int"),
         "keyword": F.when(value.rlike(EMPTY), -1).when(named, 2).when(near.rlike(f"({NAMING})[^\\s]*\\s+[^\\s]*\\s*$"), 1).when(near.rlike(f"({HARMLESS})[^\\s]*\\s*[=:]?\\s*[\"']?$"), -1).otherwise(0),
         "quoted": F.when(near.rlike("[\"'`]$") & F.substring(after, 1, 1).rlike("[\"'`]"), 1).otherwise(0),
         "hex": F.when(value.rlike("^[0-9a-f]+$") & value.rlike("[a-f]"), 1).otherwise(0),
         "distinct": F.size(F.array_distinct(F.split(value, ""))),
+        "neighbours": (known(words, lexicon.by_secrets) - known(words, lexicon.by_others)).cast("int"),
     }
 
 
-def label(f: dict[str, Column], value: Column) -> Column:
-    """1: named as a secret or of a fixed format; 0: named as harmless, only letters, or only digits; null: not labelled."""
-    return (
-        F.when(f["keyword"] == 2, 1).when(value.rlike("^AKIA[A-Z2-7]{16}$"), 1)
-        .when(f["keyword"] == -1, 0).when((f["keyword"] == 0) & (value.rlike("^[A-Za-z]?[a-z]+$") | value.rlike("^[0-9]+$") | (f["path"] >= 3)), 0)
-    )
+def label(keyword: Column, path: Column, value: Column) -> Column:
+    """(label, whole): 1 for a known format or a naming word, 0 for one named as harmless, and for a plain form without a
+    naming word; null where none applies. ``whole`` is false where the naming word alone decides."""
+    plain = value.rlike(PLAIN) | (path >= 3)
+    is_format = value.rlike(FORMATS)
+    y = F.when(is_format | (keyword == 2), 1).when((keyword == -1) | ((keyword == 0) & plain), 0)
+    return F.struct(y.alias("label"), (is_format | (keyword != 2) | ~plain).alias("whole"))
 
 
 class Forest:
@@ -142,53 +195,93 @@ def fit(rows: list[tuple], trees: int = TREES, depth: int = DEPTH) -> Forest:
     return Forest(grown)
 
 
+def _pieces(text: Column) -> tuple[Column, Column]:
+    """A text's candidates, and the texts between them."""
+    return F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """The rows with _gaps (texts between candidates) and _found (structs of value, before and after)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.withColumns({"_values": F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), "_gaps": F.split(text, CANDIDATE, -1)})
+    """(doc_id, text_key, i, value, before, after) of every candidate: its place in its text, and the text on both sides."""
+    values, gaps = _pieces(F.col("text"))
+    split = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), values.alias("vals"), gaps.alias("gaps")).filter(F.size("vals") > 0)
     first = lambda i: F.greatest(i - REACH, F.lit(0))
-    pieces = lambda i: F.zip_with(F.slice("_gaps", first(i) + 1, i - first(i)), F.slice("_values", first(i) + 1, i - first(i)), lambda g, v: F.concat(g, v))
-    whole = lambda i: F.when((i == 0) | (F.length(F.get("_gaps", i)) >= 60), F.get("_gaps", i)).otherwise(F.concat(F.array_join(pieces(i), ""), F.get("_gaps", i)))
-    around = lambda v, i: F.struct(v.alias("value"), F.substring(whole(i), -60, 60).alias("before"), F.substring(F.get("_gaps", i + 1), 1, 20).alias("after"))
-    return docs.withColumn("_found", F.transform("_values", around)).drop("_values")
+    pieces = lambda i: F.zip_with(F.slice("gaps", first(i) + 1, i - first(i)), F.slice("vals", first(i) + 1, i - first(i)), lambda g, v: F.concat(g, v))
+    whole = lambda i: F.when((i == 0) | (F.length(F.get("gaps", i)) >= 60), F.get("gaps", i)).otherwise(F.concat(F.array_join(pieces(i), ""), F.get("gaps", i)))
+    around = lambda v, i: F.struct(v.alias("value"), F.substring(whole(i), -60, 60).alias("before"), F.substring(F.get("gaps", i + 1), 1, 20).alias("after"))
+    return split.select("doc_id", "text_key", F.posexplode(F.transform("vals", around)).alias("i", "c")).select("doc_id", "text_key", "i", "c.*")
+
+
+def _with_features(found: DataFrame, lexicon: Lexicon) -> DataFrame:
+    return found.select("*", *(c.alias(k) for k, c in features(F.col("before"), F.col("value"), F.col("after"), lexicon).items()))
+
+
+def _stated(spark: SparkSession, lexicon: Lexicon) -> list[tuple]:
+    rows = spark.createDataFrame(STATED, "before string, value string, after string, label int")
+    return [tuple(r) for r in _with_features(rows, lexicon).select(*FEATURES, "label").collect()]
 
 
-def labelled(docs: DataFrame, limit: int = SAMPLE_FINDINGS) -> list[tuple]:
-    """Features and labels of the stated findings and of at most ``limit`` findings of either label."""
+def _sample(found: DataFrame, limit: int) -> DataFrame:
+    """(value, before, after, label, whole): of either label at most about ``limit`` distinct findings, by a hash threshold."""
+    f = features(F.col("before"), F.col("value"), F.col("after"), Lexicon())
+    seen = found.select("value", "before", "after", label(f["keyword"], f["path"], F.col("value")).alias("y")).select("value", "before", "after", "y.*").filter("label is not null")
+    keyed = checkpointed(seen.withColumn("h", F.pmod(F.xxhash64("value", "before", "after"), F.lit(1 << 40))).dropDuplicates(["h"]))
+    n = {r.label: r.n for r in keyed.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    below = F.lit(False)
+    for y, total in n.items():
+        below = below | ((F.col("label") == y) & (F.col("h") < int((1 << 40) * min(1.0, limit / total))))
+    return keyed.filter(below).orderBy("h")
+
+
+@dataclass(frozen=True)
+class Scanner:
+    forest: Forest
+    lexicon: Lexicon
+
+
+def train(docs: DataFrame, found: DataFrame, limit: int = SAMPLE_FINDINGS) -> Scanner:
+    """A forest from the candidates of ``docs``, with the corpus' trigrams and the sample's neighbouring words."""
     spark = docs.sparkSession
-    found = candidates(docs.select("text")).select(F.explode("_found").alias("c")).select("c.*")
-    f = features(F.col("before"), F.col("value"), F.col("after"))
-    found = found.select("value", "before", *(c.alias(k) for k, c in f.items()), label(f, F.col("value")).alias("label")).filter("label is not null")
-    order = [F.xxhash64("value", "before"), *FEATURES]
-    own = [tuple(r)[2:] for c in (0, 1) for r in found.filter(F.col("label") == c).orderBy(*order).limit(limit).collect()]
-    stated = spark.createDataFrame(STATED, "before string, value string, after string, label int")
-    return own + [tuple(r) for r in stated.select(*(c.alias(k) for k, c in features(F.col("before"), F.col("value"), F.col("after")).items()), "label").collect()]
+    sample = checkpointed(_sample(found, limit))
+    words = [(list(r.words), r.label) for r in sample.select(near_words(F.col("before"), F.col("after")).alias("words"), "label").collect()]
+    lexicon = Lexicon(frequent_trigrams(docs), *neighbour_words(words))
+    shown = lambda k: F.when(F.col("whole"), F.col(k)).otherwise(0).alias(k) if k in SURROUNDINGS else F.col(k)
+    own = [tuple(r) for r in _with_features(sample, lexicon).select(*map(shown, FEATURES), "label").collect()]
+    return Scanner(fit(own + _stated(spark, lexicon)), lexicon)
 
 
-def _scored(docs: DataFrame, forest: Forest) -> DataFrame:
-    named = lambda c: F.struct(c.value.alias("value"), *(x.alias(k) for k, x in features(c.before, c.value, c.after).items()))
-    judged = lambda c: F.struct(c.value.alias("value"), forest.condition({k: c[k] for k in FEATURES}).alias("probability"))
-    return candidates(docs).withColumn("_found", F.transform(F.transform("_found", named), judged))
+def judged(found: DataFrame, scanner: Scanner) -> DataFrame:
+    """The candidates with the forest's probability."""
+    rows = _with_features(found, scanner.lexicon)
+    return rows.withColumn("probability", scanner.forest.condition({k: F.col(k) for k in FEATURES})).drop(*FEATURES)
 
 
-def scan(docs: DataFrame, forest: Forest) -> DataFrame:
+def scan(found: DataFrame, scanner: Scanner) -> DataFrame:
     """(doc_id, finding_no, n_chars, value_sha256, probability, is_secret) of every candidate."""
-    rows = _scored(docs.select("doc_id", "text"), forest).select("doc_id", F.posexplode("_found").alias("i", "c"))
-    return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("finding_no"), F.length("c.value").cast("long").alias("n_chars"), F.sha2("c.value", 256).alias("value_sha256"), F.round("c.probability", 9).alias("probability"), (F.col("c.probability") >= SECRET_FROM).alias("is_secret"))
+    rows = judged(found, scanner)
+    return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("finding_no"), F.length("value").cast("long").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), F.round("probability", 9).alias("probability"), (F.col("probability") >= SECRET_FROM).alias("is_secret"))
+
 
+def redact(docs: DataFrame, found: DataFrame, scanner: Scanner, mask: str = MASK) -> DataFrame:
+    """The rows with every secret in the text replaced by the mask; n_chars, where there is one, follows.
 
-def redact(docs: DataFrame, forest: Forest, mask: str = MASK) -> DataFrame:
-    """The rows with every secret in the text replaced by the mask; n_chars, where there is one, follows."""
-    columns = docs.columns
-    hidden = F.transform("_found", lambda c: F.when(c.probability >= SECRET_FROM, mask).otherwise(c.value))
-    joined = F.array_join(F.zip_with("_gaps", hidden, lambda g, h: F.concat(g, F.coalesce(h, F.lit("")))), "")
-    out = _scored(docs, forest).withColumn("text", F.when(F.size("_found") > 0, joined).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("_found") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    Only texts that hold a secret are cut again; the others pass as they are.
+    """
+    secret = judged(found, scanner).filter(F.col("probability") >= SECRET_FROM).groupBy("text_key").agg(F.collect_set("i").alias("hidden"))
+    secret = checkpointed(secret)
+    rows = docs.select(boxed(docs), F.xxhash64("text").alias("text_key"))
+    rows = rows.join(F.broadcast(secret) if secret.count() <= BROADCAST_TEXTS else secret, "text_key", "left")
+    values, gaps = _pieces(F.col("row.text"))
+    shown = F.transform(values, lambda v, i: F.when(F.array_contains("hidden", i), mask).otherwise(v))
+    clean = F.array_join(F.zip_with(gaps, shown, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
+    text = F.when(F.col("hidden").isNull(), F.col("row.text")).otherwise(clean)
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("hidden").isNull(), F.col("row.n_chars")).otherwise(F.char_length(clean).cast(docs.schema["n_chars"].dataType))
+    return unboxed(rows, **changed)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates in all ``documents`` with the forest's verdict."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return scan(docs, fit(labelled(docs)))
+    found = checkpointed(candidates(docs))
+    return scan(found, train(docs, found))

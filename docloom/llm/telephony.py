@@ -2,9 +2,12 @@
 
 Mu-law and A-law expand by tables of 256 values; ADPCM blocks, each with its own start value, are decoded with
 one numpy step for each nibble over all blocks of a batch. A stored file is a RIFF container; what is read back
-is the coded samples themselves, so that storing loses nothing. Rows are independent: a null text is empty and
-is stored as one unit of zeros, repeated rows give equal values, an empty table an empty result, and further
-columns are ignored.
+is the coded samples themselves, so that storing loses nothing. ``op8_telephony`` writes the files as a table in the
+shared folder, reads it back and writes the resampled PCM beside digests and features as a second one. Batches are cut
+by bytes; one text longer than that is a batch by itself.
+
+Rows are independent: a null text is empty and is stored as one unit of zeros, repeated rows give equal values, an
+empty table an empty result, and further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -16,13 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from docloom.llm.tables import table
+from docloom.llm import textkernel as K
+from docloom.llm.tables import table, written
 
 UNIT = 64
 RATE, TARGET_RATE = 8_000, 16_000
+#: Bytes of texts or files of one batch, and the level at which the stored tables are compressed.
+BATCH_BYTES, STORED_LEVEL = 1 << 20, 12
 # Format numbers of the container, step sizes and index moves of IMA ADPCM.
 FORMATS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
 STEPS = np.array([
@@ -107,9 +113,9 @@ def resample(pcm: np.ndarray, rate: int = RATE, target: int = TARGET_RATE) -> np
     return ((x[low] * (target - rest) + x[np.minimum(low + 1, len(x) - 1)] * rest) // target).astype("<i2")
 
 
-def payload_of(text: str | None) -> tuple[int, bytes]:
-    raw = (text or "").encode()
-    return len(raw), raw + b"\0" * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))
+def payload_of(raw: bytes) -> bytes:
+    """The bytes with zeros up to a positive multiple of ``UNIT``."""
+    return raw + b"\0" * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -117,11 +123,10 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                rows = [payload_of(t) for t in part.column(1).to_pylist()]
-                media = [store(p, NAMES[zlib.crc32(p) % len(NAMES)]) for _, p in rows]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+            for lo, hi, buf, offsets in K.text_slices(batch.column(1), BATCH_BYTES):
+                payloads = [payload_of(buf[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                media = [store(p, NAMES[zlib.crc32(p) % len(NAMES)]) for p in payloads]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(offsets)), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
@@ -148,27 +153,37 @@ def feature_of(codec: str, pcm: np.ndarray, wide: np.ndarray) -> str:
     return f"{codec} samples={len(wide)} peak={int(np.abs(x).max())} energy={int((x * x).sum()) // len(x)} crossings={crossings} pcm={zlib.crc32(wide.tobytes()):08x}"
 
 
-def decode_media(media: DataFrame, with_pcm: bool = True) -> DataFrame:
-    """The files' payloads in digest, their features and, if asked for, the resampled PCM; all columns but media stay."""
-    others = [c for c in media.columns if c != "media"]
-    ours = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + (", pcm binary" if with_pcm else "")
+DECODED = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+
+
+def _parts(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``BATCH_BYTES``."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BATCH_BYTES, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def decode_media(media: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, digests of payload and file, feature, pcm) of files (doc_id, n_bytes, media); pcm has 16 bits a sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                files = part.column(part.schema.get_field_index("media")).to_pylist()
+            for lo, hi in _parts(batch.column(2)):
+                files = batch.column(2).slice(lo, hi - lo).to_pylist()
                 rows = []
                 for f, (codec, payload, pcm) in zip(files, expand(files), strict=True):
                     wide = resample(pcm)
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(f), hashlib.sha256(f).hexdigest(), feature_of(codec, pcm, wide), *([wide.tobytes()] if with_pcm else [])))
-                names = [x.strip().split()[0] for x in ours.split(",")]
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in others] + [pa.array(x) for x in zip(*rows, strict=True)], others + names)
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(f), hashlib.sha256(f).hexdigest(), feature_of(codec, pcm, wide), wide.tobytes()))
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(lo, hi - lo) for k in (0, 1)] + [pa.array(x) for x in zip(*rows, strict=True)], ["doc_id", *DECODED, "pcm"])
 
-    kept = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in others)
-    return media.mapInArrow(run, f"{kept}, {ours}")
+    kind = media.schema["doc_id"].dataType.simpleString()
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary")
 
 
 def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store, read back and decode every whole text of ``documents``."""
-    return decode_media(store_texts(table(spark, sf_dir, "documents", "doc_id", "text")), with_pcm=False).select("doc_id", *(F.col(c) for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")))
+    """Store, read back, decode and resample every whole text of ``documents``; files and sound lie in the shared folder."""
+    media = written(store_texts(table(spark, sf_dir, "documents", "doc_id", "text")), "media", STORED_LEVEL)
+    return written(decode_media(media), "sound", STORED_LEVEL).select("doc_id", *DECODED)

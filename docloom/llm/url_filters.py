@@ -4,12 +4,14 @@ A list's entries are changes: from a date on, a key (a whole URL, a host or a do
 window per key turns them into validity intervals; a capture is judged by the entries that were active at its
 fetch time (from <= fetched < to). Only built-in functions run.
 
-A capture row stays one row: the intervals of a key are one small row of a history table, and captures join it by
-key. Captures are dealt out by key and a salt from the URL (histories repeat for each salt), so that one host with
-a third of all captures fills many tasks. Null or unparsable URLs have no keys and match nothing; a null fetch
-time matches nothing; changes of one key on one date count as the last action by name (remove after add, so the
-entry ends); entries with nulls in list, scope, key, date or action are left out. Repeated captures stay. Empty
-tables give empty or unmatched results; further columns of captures are kept.
+A capture row stays one row: the intervals of a key are one row of a history table, which holds at most one change
+for each list and date, and captures join it by key. A key with more than ``CAPTURES_A_TASK`` captures is dealt out
+by a salt, and only such a key's history is repeated; so one host with a third of all captures fills many tasks.
+
+Null or unparsable URLs have no keys and match nothing; a null fetch time matches nothing; changes of one key on one
+date count as the last action by name (remove after add, so the entry ends); entries with nulls in list, scope, key,
+date or action are left out. Repeated captures stay. Empty tables give empty or unmatched results; further columns of
+captures are kept, whatever their names (a column that has a result's name is replaced by it).
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.llm.tables import table
+from docloom.llm.tables import boxed, checkpointed, table
 
-SALTS = 32
+CAPTURES_A_TASK = 250_000
 SCOPES = ("url", "host", "domain")
+# Fixed value: second levels under which names are registered in many countries.
+SECOND = "(?:co|com|org|net|gov|ac|edu)"
 
 
 def canonical(url: Column) -> Column:
@@ -36,7 +40,7 @@ def keys(url: Column) -> dict[str, Column]:
     """The key of each scope; null where the URL has no host."""
     whole = canonical(url)
     host = F.regexp_replace(F.regexp_extract(whole, "^[^/?]*", 0), ":[0-9]+$", "")
-    domain = F.coalesce(F.nullif(F.regexp_extract(host, "[^.]+\\.[^.]+$", 0), F.lit("")), host)
+    domain = F.coalesce(F.nullif(F.regexp_extract(host, f"[^.]+\\.(?:{SECOND}\\.[a-z][a-z]|[^.]+)$", 0), F.lit("")), host)
     named = F.length(host) > 0
     return {"url": F.when(named, whole), "host": F.when(named, host), "domain": F.when(named, domain)}
 
@@ -49,23 +53,29 @@ def intervals(changes: DataFrame) -> DataFrame:
     return daily.withColumn("valid_to", F.lead("changed_at").over(following)).filter("action = 'add'").select("list_name", "scope", "key", F.col("changed_at").alias("valid_from"), "valid_to")
 
 
-def evaluate(captures: DataFrame, changes: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
+def evaluate(captures: DataFrame, changes: DataFrame, url: str = "url", fetched: str = "fetched_at", captures_a_task: int = CAPTURES_A_TASK) -> DataFrame:
     """The captures with matched_lists (distinct names, ascending), n_matches and blocked."""
-    spans = F.sort_array(F.collect_list(F.struct("list_name", "valid_from", "valid_to"))).alias("_spans")
-    history = intervals(changes).groupBy("scope", "key").agg(spans).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = captures.withColumn("_salt", F.pmod(F.xxhash64(url, fetched), F.lit(SALTS)).cast("int"))
+    rows = captures.select(boxed(captures), F.col(fetched).alias("at"), *(k.alias(f"{s}_key") for s, k in keys(F.col(url)).items()))
+    each = rows.select(F.explode(F.array(*(F.struct(F.lit(s).alias("scope"), F.col(f"{s}_key").alias("key")) for s in SCOPES))).alias("e")).select("e.*")
+    spans = intervals(changes).groupBy("scope", "key").agg(F.sort_array(F.collect_list(F.struct("list_name", "valid_from", "valid_to"))).alias("spans"))
+    hot = each.filter("key is not null").groupBy("scope", "key").agg(F.ceil(F.count("*") / captures_a_task).cast("int").alias("salts")).filter("salts > 1")
+    hot = checkpointed(hot.join(spans.select("scope", "key"), ["scope", "key"], "left_semi"))  # at most one row for each captures_a_task captures and scope
+    history = spans.join(F.broadcast(hot), ["scope", "key"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
     found = []
-    for scope, key in keys(F.col(url)).items():
-        side = history.filter(F.col("scope") == scope).select(F.col("key").alias(f"_{scope}_key"), F.col("_salt").alias(f"_{scope}_salt"), F.col("_spans").alias(f"_{scope}_spans"))
-        out = out.withColumn(f"_{scope}", key).join(side, (F.col(f"_{scope}") == F.col(f"_{scope}_key")) & (F.col("_salt") == F.col(f"_{scope}_salt")), "left")
-        found.append(F.coalesce(F.filter(f"_{scope}_spans", lambda x: (x.valid_from <= F.col(fetched)) & (x.valid_to.isNull() | (F.col(fetched) < x.valid_to))), F.array()))
-    out = out.withColumn("_active", F.concat(*found))
-    return out.select(*captures.columns, F.array_sort(F.array_distinct(F.transform("_active", lambda x: x.list_name))).alias("matched_lists"), F.size("_active").alias("n_matches"), (F.size("_active") > 0).alias("blocked"))
+    for s in SCOPES:
+        salts = hot.filter(F.col("scope") == s).select(F.col("key").alias(f"{s}_key"), "salts")
+        rows = rows.join(F.broadcast(salts), f"{s}_key", "left").withColumn(f"{s}_salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        side = history.filter(F.col("scope") == s).select(F.col("key").alias(f"{s}_key"), F.col("salt").alias(f"{s}_salt"), F.col("spans").alias(f"{s}_spans"))
+        rows = rows.join(side, [f"{s}_key", f"{s}_salt"], "left")
+        found.append(F.coalesce(F.filter(f"{s}_spans", lambda x: (x.valid_from <= F.col("at")) & (x.valid_to.isNull() | (F.col("at") < x.valid_to))), F.array()))
+    judged = rows.select("row", F.concat(*found).alias("active"))
+    kept = [F.col("row").getField(c).alias(c) for c in captures.columns if c not in ("matched_lists", "n_matches", "blocked")]
+    return judged.select(*kept, F.array_sort(F.array_distinct(F.transform("active", lambda x: x.list_name))).alias("matched_lists"), F.size("active").alias("n_matches"), (F.size("active") > 0).alias("blocked"))
 
 
 def derived_captures(pages: DataFrame) -> DataFrame:
     """Pages as captures: the fetch time, in days, follows from the id."""
-    return pages.select("page_id", "url", F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int").alias("fetched_at"))
+    return pages.select("page_id", "url", F.pmod(F.pmod("page_id", F.lit(366)) * 37, F.lit(366)).cast("int").alias("fetched_at"))
 
 
 def derived_changes(pages: DataFrame) -> DataFrame:
@@ -92,12 +102,12 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH c0 AS (SELECT page_id, url, CAST((page_id * 37) % 366 AS INTEGER) AS fetched_at,
+WITH c0 AS (SELECT page_id, url, CAST(((page_id % 366) * 37) % 366 AS INTEGER) AS fetched_at,
     regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS bare FROM pages),
 c1 AS (SELECT *, regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www\.', '') AS h,
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(bare, '^[^/?]*', ''), '([?&])utm_[^&]*', '\1', 'g'), '\?&+', '?', 'g'), '[?&/]+$', '') AS p FROM c0),
 c2 AS (SELECT page_id, url, fetched_at, h || p AS url_key, regexp_replace(h, ':[0-9]+$', '') AS host FROM c1),
-c AS (SELECT *, coalesce(nullif(regexp_extract(host, '[^.]+\.[^.]+$'), ''), host) AS domain FROM c2 WHERE length(host) > 0),
+c AS (SELECT *, coalesce(nullif(regexp_extract(host, '[^.]+\.(?:(?:co|com|org|net|gov|ac|edu)\.[a-z][a-z]|[^.]+)$'), ''), host) AS domain FROM c2 WHERE length(host) > 0),
 k AS (SELECT page_id, fetched_at, 'url' AS scope, url_key AS key FROM c UNION ALL SELECT page_id, fetched_at, 'host', host FROM c UNION ALL SELECT page_id, fetched_at, 'domain', domain FROM c),
 n AS (SELECT DISTINCT scope, key, md5(key) AS m FROM k),
 l AS (SELECT scope, key, scope || '_list_' || (CAST('0x' || substr(m, 9, 1) AS INTEGER) % 2) AS list_name, CAST('0x' || substr(m, 3, 3) AS INTEGER) % 300 AS s,

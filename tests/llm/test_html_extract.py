@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from docloom.llm import html_extract as H
@@ -26,6 +27,54 @@ def test_pages(page, text):
     assert H.extract(page) == text
 
 
+LONG = "This paragraph goes on for a while, so that it is plain prose, and then it comes to its end."
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f'<article><section id="search-algorithms"><p>{LONG}</p></section><section id="share-prices"><h2 id="comments">Prices</h2><p>{LONG}</p></section></article>', f"{LONG} Prices {LONG}"),
+    (f'<article><div class="post-header"><h1>Its title</h1></div><div class="form-validation-guide"><p>{LONG}</p></div></article>', f"Its title {LONG}"),
+    (f'<main><p>{LONG}</p><p>Oh no</p><p>{LONG}</p><ul><li>one, with words</li><li>two, with words</li></ul><p>{LONG}</p></main>', f"{LONG} Oh no {LONG} one, with words two, with words {LONG}"),
+    (f'<body><div class="topnav"><a href="/">Home</a> <a href="/b">Blog</a></div><div id="content"><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div><div class="rightSidebar"><p>{LONG}</p></div><div class="ad-slot"><p>{LONG}</p></div></body>', f"Head {LONG} {LONG}"),
+    (f'<body><article><p>{LONG}</p><p>{LONG}</p><div class="share-buttons"><span>Tell your friends about this!</span></div></article><ol class="comment-list"><li><p>{LONG}</p></li></ol><div role="complementary"><p>{LONG}</p></div><p hidden>{LONG}</p><div style="display: none"><p>{LONG}</p></div></body>', f"{LONG} {LONG}"),
+    (f'<body><header class="site-header">Some Site</header><div class="story"><header><h1>Inner head of it.</h1></header><p>{LONG}</p></div><div class="newsletter-signup"><p>{LONG}</p></div></body>', LONG),
+])
+def test_names_and_neighbours(page, text):
+    assert H.extract(page) == text
+
+
+@pytest.mark.parametrize(("name", "kind"), [("comment-list", -1), ("site-header", -1), ("post-header", 0), ("search-algorithms", 0), ("search", -1), ("main-content", 1), ("sidebar-content", -1), ("post_content", 1), ("leftNav", -1), ("btn", 0), ("", 0), ("related-posts", -1), ("adSlot", -1), ("content", 1)])
+def test_names(name, kind):
+    assert H.name_kind(name) == kind
+
+
+def test_the_cut_decides():
+    """Weak blocks follow their neighbours: own signs alone leave words out and let words in."""
+    page = f"<body><div><p>{LONG}</p><p>Not so.</p><p>{LONG}</p></div><ul><li><a href='/1'>A link here</a></li><li>Short, plain one.</li><li><a href='/2'>Another link</a></li><li><a href='/3'>More links</a></li></ul></body>"
+    blocks = H.read(page)
+    own = H.costs(blocks, H.STATED)
+    kept = H.min_cut(own, H.ties([b[4] for b in blocks]))
+    assert [b[0] for b, k in zip(blocks, kept, strict=True) if k] == [LONG, "Not so.", LONG]
+    assert sum((c > 0) != k for c, k in zip(own, kept, strict=True)) >= 1
+
+
+def test_fitted_weights():
+    """The fit is the least of the drawn loss: its gradient vanishes, and small steps away are worse."""
+    rng = np.random.default_rng(3)
+    x, y = rng.random((300, len(H.FEATURES))), rng.integers(0, 2, 300)
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    loss = lambda w: (share * np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w))).sum() + 0.5 * (H.DRAWN * (w - H.STATED) ** 2).sum()
+    w = H.fit(x, y)
+    assert all(loss(w) <= loss(w + 1e-3 * rng.standard_normal(len(w))) for _ in range(200))
+    assert (H.fit(x, np.zeros(300, int)) == H.STATED).all() and (H.fit(x[:0], y[:0]) == H.STATED).all()
+
+
+def test_large_weak_page():
+    rng = random.Random(5)
+    scores = [rng.uniform(-0.5, 0.5) for _ in range(20_000)]
+    edges = {(i, i + 1): 1.5 for i in range(len(scores) - 1)} | {(i, i + 3): 0.4 for i in range(len(scores) - 3)}
+    assert len(H.min_cut(scores, edges)) == len(scores)
+
+
 def test_min_cut():
     rng = random.Random(4)
     for _ in range(300):
@@ -41,3 +90,4 @@ def test_rows(spark):
     got = H.extract_pages(df).collect()
     assert sorted(r.n_chars for r in got) == [0, 110, 110, 5999]
     assert H.extract_pages(df.limit(0)).count() == 0
+    assert H.train(df).shape == H.STATED.shape and (H.train(df.limit(0)) == H.STATED).all()

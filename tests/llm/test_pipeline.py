@@ -49,10 +49,10 @@ def test_rows_carry_the_mix(spark, tmp_path, monkeypatch):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     weights = mixing.root_weights(docs)
     assert len(out) == len(rows)
-    want = [(r.doc_id, r._slot, r._block) for r in mixing.schedule(docs, weights).collect()]
+    want = [(r.doc_id, r.slot, r.block) for r in mixing.schedule(docs, weights).collect()]
     assert sorted(map(str, ((r.doc_id, r.slot, r.block_no) for r in out))) == sorted(map(str, want))
     shares = mixing.shares(weights, mixing.PERIOD)
-    source = {i: s or "" for i, _, _, s, _ in rows if i is not None}
+    source = {i: s for i, _, _, s, _ in rows if i is not None}
     taken = mixing.pattern(shares, mixing.PERIOD)
     assert all(taken[r.slot % mixing.PERIOD] == source[r.doc_id] for r in out if r.doc_id is not None)
     assert all(abs(r.block_no * mixing.PERIOD - shares[source[r.doc_id]] * r.slot) <= mixing.PERIOD for r in out if r.doc_id is not None)

@@ -36,8 +36,8 @@ def test_tables():
 
 
 def test_round_trip(spark):
-    texts = [None, "", "a", "a", "é漢🙂" * 30, "x" * 64, "x" * 65, "long " * 9000, *(f"row {i}" * i for i in range(60))]
-    df = spark.createDataFrame([(i, t, b"x") for i, t in enumerate(texts)], "doc_id long, text string, media binary")
+    texts = [None, "", "a", "a", "é漢🙂" * 30, "x" * 64, "x" * 65, "long " * 900_000, *(f"row {i}" * i for i in range(60))]
+    df = spark.createDataFrame([(i, t, b"x", 1) for i, t in enumerate(texts)], "doc_id long, text string, media binary, feature int")
     got = {r.doc_id: r for r in M.decode_media(M.store_texts(df)).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
@@ -49,3 +49,11 @@ def test_round_trip(spark):
     assert {r.feature.split()[0] for r in got.values()} == {"mulaw", "alaw", "adpcm"}
     assert got[2][2:] == got[3][2:] and got[0][2:] == got[1][2:]
     assert M.decode_media(M.store_texts(df.limit(0))).count() == 0
+
+
+def test_stored_tables(spark, tmp_path):
+    spark.createDataFrame([(1, "é" * 100), (2, None), (3, "a b c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = M.op8_telephony(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.payload_bytes) for r in rows) == [(1, 200, 256), (2, 0, 64), (3, 5, 64)]
+    media = M.store_texts(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    assert {r.doc_id: hashlib.sha256(bytes(r.media)).hexdigest() for r in media.collect()} == {r.doc_id: r.media_sha256 for r in rows}

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from docloom.llm import url_filters as U
 
 
@@ -12,6 +14,18 @@ def test_as_of(spark):
     assert not any(r.blocked for r in U.evaluate(df, ch.limit(0)).collect())
 
 
+def test_hot_keys_and_clashing_columns(spark):
+    changes = [("l", "host", "hot.example", 5, "add"), ("m", "domain", "hot.example", 7, "add"), ("l", "domain", "firm.co.uk", 0, "add")]
+    ch = spark.createDataFrame(changes, "list_name string, scope string, key string, changed_at int, action string")
+    captures = [("http://hot.example/a", 6, i, "x") for i in range(500)] + [("http://hot.example/a", 6, 7, "x")] * 500 + [("http://www.shop.firm.co.uk/", 1, -1, "x"), ("http://other.co.uk/", 1, -2, "x")]
+    df = spark.createDataFrame(captures, "url string, fetched_at int, salt int, blocked string").withColumns({"url_key": F.lit("q"), "row": F.lit(1), "spans": F.lit(2)})
+    out = U.evaluate(df, ch, captures_a_task=100)
+    assert sorted(out.columns) == sorted([*df.columns, "matched_lists", "n_matches"])
+    got = out.collect()
+    assert len(got) == len(captures) and all(r.matched_lists == ["l"] and r.blocked for r in got if r.salt >= 0)
+    assert {r.salt: r.blocked for r in got if r.salt < 0} == {-1: True, -2: False} and {(r.url_key, r.row, r.spans) for r in got} == {("q", 1, 2)}
+
+
 def test_native(spark, tmp_path):
     df = spark.createDataFrame([(1, "http://a/", 1)], "id long, url string, fetched_at int")
     ch = spark.createDataFrame([], "list_name string, scope string, key string, changed_at int, action string")
