@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, jaccard_join, mixing, quality_rules, secrets
-from docloom.llm.tables import shared_dir, table
+from docloom.llm.tables import checkpointed, shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, secrets in their texts masked."""
-    return secrets.redact(docs, secrets.fit(secrets.labelled(docs)))
+    found = checkpointed(secrets.candidates(docs))
+    return secrets.redact(docs, found, secrets.train(docs, found))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,14 +41,13 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with equal ids, sources and texts share their first slot.
     """
     place = mixing.schedule(docs.select("doc_id", "source", "text"), mixing.root_weights(docs))
-    place = place.select(F.struct("doc_id", F.col("_source").alias("source"), F.col("_hash").alias("hash")).alias("key"), "_slot", "_block")
-    place = place.groupBy("key").agg(F.min(F.struct(F.col("_slot").alias("slot"), F.col("_block").alias("block_no"))).alias("place"))
-    keyed = docs.select(F.struct("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("text").alias("hash")).alias("key"), "text")
+    place = place.select(F.struct("doc_id", "source", "hash").alias("own"), F.struct("slot", "block").alias("at")).groupBy("own").agg(F.min("at").alias("at"))
+    keyed = docs.select(F.struct("doc_id", "source", mixing.text_hash().alias("hash")).alias("key"), "text")
     found = bpe.encode_documents(keyed, bpe.public_paths(), key="key", with_ids=True)
     values = [c for c in found.columns if c != "key"]
-    own = [F.col(f"key.{c}").eqNullSafe(F.col(f"own.{c}")) for c in ("doc_id", "source", "hash")]
-    placed = found.join(place.withColumnRenamed("key", "own"), own[0] & own[1] & own[2], "left")
-    out = placed.select("key.doc_id", *values, "place.slot", "place.block_no", "key.source")
+    same = [F.col(f"key.{c}").eqNullSafe(F.col(f"own.{c}")) for c in ("doc_id", "source", "hash")]
+    placed = found.join(place, same[0] & same[1] & same[2], "left")
+    out = placed.select("key.doc_id", *values, F.col("at.slot").alias("slot"), F.col("at.block").alias("block_no"), "key.source")
     return out.repartitionByRange("slot", "doc_id").sortWithinPartitions("slot", "source", "doc_id").drop("source")
 
 
