@@ -39,7 +39,7 @@ SIZE = 5
 SMALL = 64
 COSTLY = 8
 PAIRS_UP_TO = 6
-SLICE_BYTES, SLICE_TEXTS = 4 << 20, 16_000
+SLICE_BYTES, SLICE_TEXTS = 2 << 20, 16_000
 LEAST_BITS = 6
 BUCKET_BYTES = 32 << 20
 #: A family's nodes meet in groups of two blocks of about so many bytes; rounds of nearest ones before all that is left.

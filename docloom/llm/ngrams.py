@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from docloom.llm import textkernel as K
 
 BITS = 17
 SPACE = 1 << BITS
+#: All texts of a sample together have at most so many bytes.
+SAMPLE_BYTES = 16 << 20
 #: Kinds of features, each with its own SPACE of ids: words, word pairs, four neighbouring bytes, pairs of word forms.
 KINDS = 4
 FEATURES = KINDS * SPACE
@@ -82,14 +85,66 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(label, distinct features, occurrences) of the labelled texts with the ``limit`` lowest hashes of their ids.
-
-    Only the features of these rows reach the driver. A document with several labels has the lowest.
-    """
+@dataclass
+class Sample:
+    """Labelled texts one after another: labels, and each text's distinct features with their occurrences."""
+
+    y: np.ndarray
+    ids: np.ndarray
+    counts: np.ndarray
+    bounds: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Sample:
+        """Of (label, features, occurrences) rows, which are taken out of the list one by one."""
+        y = np.array([min(1, max(0, label)) for label, _, _ in rows], np.int64)
+        bounds = np.concatenate([[0], np.cumsum([len(ids) for _, ids, _ in rows])]).astype(np.int64)
+        ids, counts = np.empty(bounds[-1], np.int32), np.empty(bounds[-1], np.float32)
+        for k in range(len(rows) - 1, -1, -1):
+            _, i, c = rows.pop()
+            ids[bounds[k] : bounds[k + 1]], counts[bounds[k] : bounds[k + 1]] = i, c
+        return cls(y, ids, counts, bounds)
+
+    def parts(self, texts: int = 128) -> Iterator[tuple[int, int, slice]]:
+        """(first text, end text, items) of a few texts at a time."""
+        for lo in range(0, len(self.y), texts):
+            hi = min(lo + texts, len(self.y))
+            yield lo, hi, slice(self.bounds[lo], self.bounds[hi])
+
+    def sums(self, weights: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """For each text the sum of weight times value over its features."""
+        out = np.empty(len(self.y))
+        for lo, hi, at in self.parts():
+            out[lo:hi] = segment_sums(weights[self.ids[at]] * values[at], self.bounds[lo : hi + 1] - self.bounds[lo])
+        return out
+
+    def spread(self, of_texts: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """For each feature the sum of its values, each times its text's number."""
+        out = np.zeros(FEATURES)
+        for lo, hi, at in self.parts():
+            out += np.bincount(self.ids[at], np.repeat(of_texts[lo:hi], np.diff(self.bounds[lo : hi + 1])) * values[at], FEATURES)
+        return out
+
+    def keep(self, wanted: np.ndarray) -> Sample:
+        """Only the features that are wanted."""
+        kept = wanted[self.ids]
+        return Sample(self.y, self.ids[kept], self.counts[kept], np.concatenate([[0], np.cumsum(kept)])[self.bounds])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, limit_bytes: int = SAMPLE_BYTES) -> Sample:
+    """Features of the labelled texts with the ``limit`` lowest hashes of their ids, as far as their bytes stay below
+    ``limit_bytes`` (a text that would pass it is left out). A document with several labels has the lowest."""
     chosen = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    sizes = rows.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    left, taken = limit_bytes, []
+    for i, n in sizes:
+        if n <= left:
+            taken.append(i)
+            left -= n
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    few = docs.sparkSession.createDataFrame([(i,) for i in taken], f"doc_id {kind}")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,10 +153,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
                 cut = lambda a, kind: pa.array([a[x:y].astype(kind).tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), cut(ids, "<u4"), cut(counts, "<u4")], ["doc_id", "y", "ids", "counts"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(extract, f"doc_id {kind}, y int, ids binary, counts binary").collect()
+    got = rows.join(F.broadcast(few), "doc_id", "left_semi").mapInArrow(extract, f"doc_id {kind}, y int, ids binary, counts binary").collect()
     got.sort(key=lambda r: (r.doc_id, bytes(r.ids)))
-    return [(r.y, np.frombuffer(r.ids, "<u4"), np.frombuffer(r.counts, "<u4")) for r in got]
+    return Sample.of([(r.y, np.frombuffer(r.ids, "<u4"), np.frombuffer(r.counts, "<u4")) for r in got])
 
 
 def calibrate(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:

@@ -40,9 +40,9 @@ class RatioModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(ids, bounds) + self.intercept, -30, 30)))
 
 
-def descend(rows: list[np.ndarray], values: list[np.ndarray], signs: np.ndarray, limits: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """Hinge-loss weights and bias: one dual variable at a time, each between 0 and its limit."""
-    weights, bias = np.zeros(N.FEATURES), 0.0
+def descend(rows: list[np.ndarray], values: list[np.ndarray], signs: np.ndarray, limits: np.ndarray, rounds: int = 12, features: int = N.FEATURES) -> tuple[np.ndarray, float, np.ndarray]:
+    """Hinge-loss weights and bias, and the dual variables: one at a time, each between 0 and its limit."""
+    weights, bias = np.zeros(features), 0.0
     dual = np.zeros(len(rows))
     norms = np.array([v @ v + 1.0 for v in values])
     order = np.random.default_rng(7)
@@ -55,40 +55,37 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], signs: np.ndarray,
                 weights[rows[i]] += step * values[i]
                 bias += step
                 dual[i] = new
-    return weights, bias
+    return weights, bias, dual
 
 
-def fit(sample: list[tuple[int, np.ndarray, np.ndarray]], smoothing: float = 1.0, cost: float = 1.0, least_texts: int = 3, blend: float = 0.8) -> RatioModel:
-    y = np.array([min(1, max(0, label)) for label, _, _ in sample], np.int64)
+def fit(sample: N.Sample, smoothing: float = 1.0, cost: float = 1.0, least_texts: int = 3, blend: float = 0.8) -> RatioModel:
+    y = sample.y
     nothing = np.zeros(N.FEATURES)
     if len(set(y.tolist())) < 2:
         return RatioModel(nothing, nothing, 0.0, 0.0, *[float(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))])
-    held = np.arange(len(sample)) % 4 == 3
+    held = np.arange(len(y)) % 4 == 3
     if len(set(y[~held].tolist())) < 2 or len(set(y[held].tolist())) < 2:
         held[:] = False
-    plus, minus = np.zeros(N.FEATURES, np.int64), np.zeros(N.FEATURES, np.int64)
-    for k in np.flatnonzero(~held):
-        (plus if y[k] else minus)[sample[k][1]] += 1
+    ones = np.ones(len(sample.ids), np.float32)
+    plus, minus = sample.spread(1.0 * (~held & (y == 1)), ones), sample.spread(1.0 * (~held & (y == 0)), ones)
     p, q = plus + smoothing, minus + smoothing
     ratio = np.where(plus + minus >= least_texts, np.log(p / p.sum()) - np.log(q / q.sum()), 0.0)
+    used = sample.keep(ratio != 0)
     rows, values = [], []
-    for _, ids, _ in sample:
-        ids = ids[ratio[ids] != 0].astype(np.int32)
-        v = ratio[ids]
-        rows.append(ids)
-        values.append(v / max(np.sqrt(v @ v), 1e-12))
+    for k in range(len(y)):
+        rows.append(used.ids[used.bounds[k] : used.bounds[k + 1]])
+        v = ratio[rows[-1]].astype(np.float32)
+        values.append(v / np.float32(max(np.sqrt(v @ v), 1e-12)))
     fitted = np.flatnonzero(~held)
     n = np.bincount(y[fitted], minlength=2)
     limits = cost * len(fitted) / (2 * n[y[fitted]])
-    weights, bias = descend([rows[i] for i in fitted], [values[i] for i in fitted], np.where(y[fitted] == 1, 1.0, -1.0), limits)
-    used = ratio != 0
-    if used.any():  # drawn towards the mean size, at which the class ratios alone decide
-        weights = np.where(used, (1 - blend) * np.abs(weights[used]).mean() + blend * weights, 0.0)
+    weights, bias, _ = descend([rows[i] for i in fitted], [values[i] for i in fitted], np.where(y[fitted] == 1, 1.0, -1.0), limits)
+    some = ratio != 0
+    if some.any():  # drawn towards the mean size, at which the class ratios alone decide
+        weights = np.where(some, (1 - blend) * np.abs(weights[some]).mean() + blend * weights, 0.0)
     model = RatioModel(ratio, weights, bias, 1.0, 0.0)
-    judged = np.flatnonzero(held) if held.any() else fitted
-    bounds = np.concatenate([[0], np.cumsum([len(sample[i][1]) for i in judged])])
-    margins = model.margins(np.concatenate([sample[i][1] for i in judged]), bounds)
-    model.slope, model.intercept = N.calibrate(margins, y[judged])
+    judged = held if held.any() else ~held
+    model.slope, model.intercept = N.calibrate(model.margins(sample.ids, sample.bounds)[judged], y[judged])
     return model
 
 

@@ -81,38 +81,33 @@ class FrequencyModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.intercept, -30, 30)))
 
 
-def fit(sample: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 60, rate: float = 2.0, decay: float = 1e-6, least_texts: int = 5) -> FrequencyModel:
+def fit(sample: N.Sample, steps: int = 60, rate: float = 2.0, decay: float = 1e-6, least_texts: int = 5) -> FrequencyModel:
     """Full-batch gradient steps, scaled for each feature by its past gradients."""
-    weights = np.zeros(N.FEATURES)
-    y = np.array([min(1, max(0, label)) for label, _, _ in sample], np.int64)
+    weights, y = np.zeros(N.FEATURES), sample.y
     if len(set(y.tolist())) < 2:
         return FrequencyModel(weights, 0.0, 0.0, 0.0 if not len(y) or y[0] else -1.0)
-    texts = np.zeros(N.FEATURES, np.int32)
-    for _, i, _ in sample:
-        texts[i] += 1
-    parts = []
-    for row, (_, i, c) in enumerate(sample):
-        kind = i // N.SPACE
-        share = (c / np.maximum(np.bincount(kind, c, N.KINDS), 1)[kind]).astype(np.float32)
-        common = texts[i] >= least_texts
-        parts.append((i[common].astype(np.int32), np.full(common.sum(), row, np.int32), share[common]))
-    ids, rows, values = (np.concatenate(p) for p in zip(*parts, strict=True))
-    del parts
-    held = np.arange(len(sample)) % 4 == 3
+    shares = np.empty(len(sample.ids), np.float32)
+    for k in range(len(y)):
+        at = slice(sample.bounds[k], sample.bounds[k + 1])
+        kind = sample.ids[at] // N.SPACE
+        shares[at] = sample.counts[at] / np.maximum(np.bincount(kind, sample.counts[at], N.KINDS), 1)[kind]
+    sample = N.Sample(y, sample.ids, shares, sample.bounds).keep(np.bincount(sample.ids, minlength=N.FEATURES) >= least_texts)
+    values = sample.counts
+    held = np.arange(len(y)) % 4 == 3
     if len(set(y[~held].tolist())) < 2 or len(set(y[held].tolist())) < 2:
         held[:] = False
     fitted = ~held
     share = np.where(y == 1, 0.5 / max(1, (y[fitted] == 1).sum()), 0.5 / max(1, (y[fitted] == 0).sum())) * fitted
     past, bias, bias_past = np.zeros(N.FEATURES), 0.0, 0.0
     for _ in range(steps):
-        margin = bias + np.bincount(rows, weights[ids] * values, len(sample))
+        margin = bias + sample.sums(weights, values)
         pull = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) * share
-        grad = np.bincount(ids, pull[rows] * values, N.FEATURES) + decay * weights
+        grad = sample.spread(pull, values) + decay * weights
         past += grad * grad
         weights -= rate * grad / (np.sqrt(past) + 1e-9)
         bias_past += pull.sum() ** 2
         bias -= rate * pull.sum() / (np.sqrt(bias_past) + 1e-9)
-    margin = bias + np.bincount(rows, weights[ids] * values, len(sample))
+    margin = bias + sample.sums(weights, values)
     judged = held if held.any() else fitted
     return FrequencyModel(weights, bias, *N.calibrate(margin[judged], y[judged]))
 

@@ -81,3 +81,68 @@ def test_no_labels(spark):
     assert {r.doc_id: r.kept for r in Q.judge(docs, Q.train(docs, labels)).collect()} == {1: True, 2: False}
     assert C.score(docs, C.fit(N.labelled_sample(docs, labels, "quality", 10))).count() == 2
     assert Q.judge(docs.limit(0), Q.train(docs, labels)).count() == 0
+
+
+def small_sample(seed, texts=24, features=40):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(texts):
+        ids = np.sort(rng.choice(features, rng.integers(3, 15), replace=False))
+        rows.append((int(k % 3 == 0), ids, rng.integers(1, 4, len(ids))))
+    return rows
+
+
+def test_dual_descent_against_a_plain_loop():
+    """The same steps in plain Python; in the end the duality gap is closed and the margins are those of the definition."""
+    rows = small_sample(1)
+    ids, values = [r[1] for r in rows], [r[2] / np.linalg.norm(r[2]) for r in rows]
+    signs, limits = np.array([1.0 if r[0] else -1.0 for r in rows]), np.full(len(rows), 1.0)
+    w, b, dual = C.descend(ids, values, signs, limits, rounds=400, features=40)
+    plain, pb, alpha, order = [0.0] * 40, 0.0, [0.0] * len(rows), np.random.default_rng(7)
+    for _ in range(400):
+        for i in order.permutation(len(rows)):
+            g = signs[i] * (sum(plain[f] * v for f, v in zip(ids[i], values[i])) + pb) - 1
+            new = min(1.0, max(0.0, alpha[i] - g / (sum(v * v for v in values[i]) + 1.0)))
+            for f, v in zip(ids[i], values[i]):
+                plain[f] += (new - alpha[i]) * signs[i] * v
+            pb += (new - alpha[i]) * signs[i]
+            alpha[i] = new
+    assert np.allclose(w, plain) and abs(b - pb) < 1e-9
+    margins = np.array([signs[i] * (w[ids[i]] @ values[i] + b) for i in range(len(rows))])
+    primal = 0.5 * (w @ w + b * b) + (limits * np.maximum(0, 1 - margins)).sum()
+    assert 0 <= primal - (dual.sum() - 0.5 * (w @ w + b * b)) < 1e-3 * primal
+
+
+def test_ratio_model_against_a_plain_loop():
+    rows = small_sample(2, 60)
+    model = C.fit(N.Sample.of(list(rows)))
+    train = [r for k, r in enumerate(rows) if k % 4 != 3]
+    seen = {c: [1.0 + sum(f in r[1] for r in train if r[0] == c) for f in range(40)] for c in (0, 1)}
+    rest = N.FEATURES - 40
+    ratio = [np.log(seen[1][f] / (sum(seen[1]) + rest)) - np.log(seen[0][f] / (sum(seen[0]) + rest)) if seen[0][f] + seen[1][f] - 2 >= 3 else 0.0 for f in range(40)]
+    assert np.allclose(np.sqrt(model.square[:40]), np.abs(ratio)) and not model.square[40:].any()
+
+
+def test_logistic_fit_against_a_plain_loop():
+    rows = small_sample(3, 40)
+    model = Q.fit(N.Sample.of(list(rows)), steps=15, least_texts=1)
+    train = [k for k in range(len(rows)) if k % 4 != 3]
+    y = [r[0] for r in rows]
+    share = {k: 0.5 / sum(y[j] == y[k] for j in train) for k in train}
+    x = [{int(f): c / sum(r[2]) for f, c in zip(r[1], r[2])} for r in rows]
+    w, past, b, bias_past = [0.0] * 40, [0.0] * 40, 0.0, 0.0
+    for _ in range(15):
+        pull = {k: (1 / (1 + np.exp(-(b + sum(w[f] * v for f, v in x[k].items())))) - y[k]) * share[k] for k in train}
+        grad = [sum(pull[k] * x[k].get(f, 0.0) for k in train) + 1e-6 * w[f] for f in range(40)]
+        past = [p + g * g for p, g in zip(past, grad)]
+        w = [v - 2.0 * g / (np.sqrt(p) + 1e-9) for v, g, p in zip(w, grad, past)]
+        bias_past += sum(pull.values()) ** 2
+        b -= 2.0 * sum(pull.values()) / (np.sqrt(bias_past) + 1e-9)
+    assert np.allclose(model.weights[:40], w, atol=1e-3) and abs(model.bias - b) < 1e-3 and not model.weights[40:].any()
+
+
+def test_sample_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, "word " * 20) for i in range(30)] + [(99, "long " * 100_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(30), 99]], "doc_id long, quality int")
+    assert len(N.labelled_sample(docs, labels, "quality", 100, 1_000).y) == 10
+    assert len(N.labelled_sample(docs, labels, "quality", 100).y) == 31
