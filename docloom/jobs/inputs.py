@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 FILES = {
@@ -57,6 +61,16 @@ RESULTS = {
 }
 
 
+def zipped(rows: pd.DataFrame) -> pd.DataFrame:
+    """The files (path, content) of one nation as an archive."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("docs/", "")
+        for path, content in sorted(zip(rows["path"], rows["content"], strict=True)):
+            z.writestr(path, content)
+    return pd.DataFrame({"nation": [rows["nation"].iloc[0]], "content": [out.getvalue()]})
+
+
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").selectExpr("*", "explode(array(0, 1, 2, 3, 4)) AS k")
     return asked.selectExpr(*(f"{e} AS {c}" for c, e in QUERIES.items()))

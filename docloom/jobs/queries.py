@@ -14,7 +14,8 @@ from docloom.jobs.corpus import answers, chunks_of, search_index, write_index
 from docloom.operators import build, catalog, corpus, crawl, index, publish, releases, search
 from docloom.operators.articles import articles
 from docloom.operators.sections import sections
-from docloom.sources import packages
+from docloom.sources import definitions, packages
+from docloom.sources import files as trees
 from docloom.sources.shared import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,6 +191,67 @@ def p8_main_articles(spark, sf):
     return found.select("page_id", "title", F.md5("content").alias("content_md5"), T.token_estimate(F.col("content")).alias("tokens"))
 
 
+K = "CAST(o_orderkey AS STRING)"
+ONE, TWO = f"'First words of order ' || {K} || ' that fill a whole line.'", f"'Second words about ' || o_orderstatus || ' and ' || {K} || ' again.'"
+NL = "chr(10)"
+GAP = f"{NL} || {NL}"
+#: A file for each order in six forms, with a section Alpha that has a deeper heading, and a section Beta.
+FORMS = {
+    "package_id": "'orders'", "file_ord": "o_orderkey", "one": ONE, "two": TWO,
+    "path": f"'docs/page-' || {K} || CASE o_orderkey % 6 WHEN 0 THEN '.md' WHEN 1 THEN '.adoc' WHEN 2 THEN '.rst' WHEN 3 THEN '.html' WHEN 4 THEN '.htm' ELSE '.RST' END",
+    "content": f"CASE o_orderkey % 6 WHEN 0 THEN '---' || {NL} || 'title: Guide ' || {K} || {NL} || '---' || {NL} || '# Top' || {GAP} || '## Alpha ' || {K} || {GAP} || {ONE} || {GAP} || '### Deeper' || {GAP} || {TWO} || {GAP} || '## Beta' || {GAP} || {TWO} || {NL}"
+    f" WHEN 1 THEN '= Manual ' || {K} || {NL} || ':author: x' || {GAP} || 'An introduction to ' || {K} || ' stands here.' || {GAP} || '== Alpha ' || {K} || {GAP} || {ONE} || {GAP} || '=== Deeper' || {GAP} || {TWO} || {GAP} || '== Beta' || {GAP} || {TWO} || {NL}"
+    f" WHEN 2 THEN '.. meta::' || {NL} || '   :title: Paper ' || {K} || {GAP} || 'Book' || {NL} || '====' || {GAP} || 'Alpha ' || {K} || {NL} || '------------------------' || {GAP} || {ONE} || {GAP} || 'Deeper' || {NL} || '~~~~~~' || {GAP} || {TWO} || {GAP} || 'Beta' || {NL} || '----' || {GAP} || {TWO} || {NL}"
+    f" WHEN 5 THEN '## Alpha ' || {K} || {GAP} || {ONE} || {GAP} || '### Deeper' || {GAP} || {TWO} || {GAP} || '## Beta' || {GAP} || {TWO}"
+    f" ELSE '<html><head><title>t</title><style>p</style></head><body><nav>menu</nav><h1>Top</h1><h2>Alpha ' || {K} || '</h2><p>' || {ONE} || '</p><h3>Deeper</h3><p>' || {TWO} || '</p><script>no()</script><h2>Beta</h2><p>' || {TWO} || '</p><footer>f</footer></body></html>' END",
+}
+FORMS_SQL = I.sql("forms", "orders", FORMS)
+
+
+@query(
+    f"WITH {FORMS_SQL}, f AS (SELECT *, file_ord % 6 AS form, CASE file_ord % 6 WHEN 0 THEN 'Guide ' || file_ord WHEN 1 THEN 'Manual ' || file_ord WHEN 2 THEN 'Paper ' || file_ord ELSE string_split(path, '/')[-1] END AS doc_title, CASE file_ord % 6 WHEN 1 THEN 1 ELSE 0 END AS lead FROM forms),"
+    f" r AS (SELECT file_ord, 0 AS section_ord, doc_title, 'Introduction' AS section_title, 'An introduction to ' || file_ord || ' stands here.' AS content FROM f WHERE form = 1"
+    f" UNION ALL SELECT file_ord, lead, doc_title, 'Alpha ' || file_ord, one || {GAP} || CASE form WHEN 1 THEN '=== Deeper' WHEN 2 THEN 'Deeper' || {NL} || '~~~~~~' ELSE '### Deeper' END || {GAP} || two FROM f UNION ALL SELECT file_ord, lead + 1, doc_title, 'Beta', two FROM f)"
+    f" SELECT file_ord, CAST(section_ord AS INTEGER) AS section_ord, doc_title, section_title, content, CAST(ceil(length(content) / 4.0) AS INTEGER) AS tokens FROM r"
+)
+def p1_p7_formats(spark, sf):
+    """Routing by extension (in its case), front matter, and sections of markdown, AsciiDoc, reStructuredText and HTML."""
+    return sections(I.frame(spark, sf, "orders", FORMS)).select("file_ord", "section_ord", "doc_title", "section_title", "content", "tokens")
+
+
+PIECE = "rpad('Piece ' || CAST({i} AS STRING) || ' of ' || CAST(o_orderkey AS STRING) || ' ', 399, 'x') || '.'"
+N_PIECES = "CAST(o_orderkey % 30 + 1 AS INTEGER)"
+
+
+PARTS_OF = f"list_transform(range(CAST(part * each + 1 AS BIGINT), CAST(least(n, (part + 1) * each) + 1 AS BIGINT)), lambda i: {PIECE.format(i='i')})"
+
+
+@query(
+    f"WITH o AS (SELECT o_orderkey, {N_PIECES} AS n, CASE WHEN o_orderkey % 2 = 0 THEN 8 WHEN {N_PIECES} < 12 THEN 12 ELSE 11 END AS each FROM orders), p AS (SELECT *, unnest(range(0, CAST(ceil(n / each) AS BIGINT))) AS part FROM o),"
+    f" c AS (SELECT o_orderkey, part, CASE WHEN o_orderkey % 2 = 0 THEN array_to_string({PARTS_OF}, {GAP}) ELSE array_to_string({PARTS_OF}, {NL}) END AS content FROM p)"
+    f" SELECT o_orderkey AS file_ord, 'Big' || CASE WHEN part > 0 THEN ' (part ' || (part + 1) || ')' ELSE '' END AS section_title, md5(content) AS content_md5, CAST(ceil(length(content) / 4.0) AS INTEGER) AS tokens FROM c"
+)
+def p14_p15_p18_large_sections(spark, sf):
+    """Sections of up to thirty paragraphs (packed to 800 tokens) or of one paragraph of as many lines (cut above 1,200)."""
+    glue = f"CASE WHEN o_orderkey % 2 = 0 THEN {GAP} ELSE {NL} END"
+    body = f"array_join(transform(sequence(1, {N_PIECES}), i -> {PIECE.format(i='i')}), {glue})"
+    rows = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("'orders' AS package_id", "o_orderkey AS file_ord", "'a.md' AS path", f"'## Big' || {GAP} || {body} AS content")
+    return sections(rows).select("file_ord", "section_title", F.md5("content").alias("content_md5"), "tokens")
+
+
+A_FILE = 5000
+ENTRY = "rpad('Text of order ' || CAST(o_orderkey AS STRING) || ' ', 239, 'w') || '.'"
+
+
+@query(f"SELECT o_orderkey // {A_FILE} AS file_ord, 'Order ' || o_orderkey AS section_title, {ENTRY} AS content FROM orders")
+def p16_p17_oversize_files(spark, sf):
+    """Files above the parse limit, markdown and HTML in turn: a section for each order."""
+    rows = spark.read.parquet(f"{sf}/orders.parquet").selectExpr(f"o_orderkey div {A_FILE} AS file_ord", "o_orderkey", f"CASE WHEN (o_orderkey div {A_FILE}) % 2 = 0 THEN '## Order ' || o_orderkey || {GAP} || {ENTRY} || {GAP} ELSE '<h2>Order ' || o_orderkey || '</h2><p>' || {ENTRY} || '</p>' END AS part")
+    whole = rows.groupBy("file_ord").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "part"))).alias("p"))
+    named = whole.select(F.lit("orders").alias("package_id"), "file_ord", F.when(F.col("file_ord") % 2 == 0, "a.md").otherwise("a.html").alias("path"), F.array_join(F.transform("p", lambda x: x.part), "").alias("content"))
+    return sections(named).select("file_ord", "section_title", "content")
+
+
 # --- build ------------------------------------------------------------------------------------------------------
 
 #: Sections by lines: every line of a document with five tokens or more.
@@ -378,6 +440,80 @@ def s6_package_validation(spark, sf):
     return packages.with_section_count(packages.wide_meta(rows), one).select(F.col("name").alias("package_name"), "section_count")
 
 
+# --- sources and sinks ------------------------------------------------------------------------------------------
+
+SUPPLIER_FILE = "'# ' || s_name || ' é ' || CAST(s_suppkey AS STRING)"
+
+
+@query("SELECT CAST(s_nationkey AS STRING) AS folder, CAST(s_suppkey AS STRING) AS supplier, md5('# ' || s_name || ' é ' || s_suppkey || chr(10)) AS content_md5 FROM supplier")
+def s1_documentation_tree(spark, sf):
+    """A tree of one file for each supplier, written first and read as (path, content)."""
+    root = new_folder(spark, "tree")
+    rows = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("s_nationkey AS nation", "s_suppkey AS supplier", f"{SUPPLIER_FILE} AS value")
+    rows.repartition("nation", "supplier").write.partitionBy("nation", "supplier").text(root)
+    found = trees.read_tree(spark, root).filter(F.col("path").contains("supplier="))
+    return found.select(F.regexp_extract("path", "^nation=([^/]*)/", 1).alias("folder"), F.regexp_extract("path", "/supplier=([^/]*)/", 1).alias("supplier"), F.md5("content").alias("content_md5"))
+
+
+@query("SELECT s_nationkey || '.zip' AS archive, 'docs/' || s_suppkey || '.md' AS path, md5('# ' || s_name || ' é ' || s_suppkey) AS content_md5 FROM supplier WHERE s_nationkey % 5 <> 4")
+def s2_archives(spark, sf):
+    """An archive for each nation with a file for each supplier; one in five is broken."""
+    rows = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("s_nationkey AS nation", "'docs/' || CAST(s_suppkey AS STRING) || '.md' AS path", f"{SUPPLIER_FILE} AS content")
+    packed = rows.groupBy("nation").applyInPandas(I.zipped, "nation long, content binary")
+    archives = packed.select(F.concat(F.col("nation").cast("string"), F.lit(".zip")).alias("path"), F.when(F.col("nation") % 5 == 4, F.lit(b"PK no archive")).otherwise(F.col("content")).alias("content"))
+    return trees.entries_of(archives).select("archive", "path", F.md5("content").alias("content_md5"))
+
+
+@query(
+    "WITH s AS (SELECT s_suppkey AS k, CASE s_suppkey % 2 WHEN 0 THEN 'npm' ELSE 'pip' END AS registry, CASE s_suppkey % 3 WHEN 0 THEN '@scope/lib' ELSE 'lib' END || s_suppkey AS name FROM supplier)"
+    " SELECT registry, name, name AS path_name, 0 AS entry_ord, '1.' || (k % 7) AS min_version, CASE WHEN k % 4 = 0 THEN '9.0' END AS max_version, NULL AS versions FROM s WHERE k % 5 <> 0 UNION ALL SELECT registry, name, name, 1, NULL, NULL, '0.1,0.' || (k % 9) FROM s WHERE k % 5 <> 0"
+)
+def s3_definitions(spark, sf):
+    """Definition files, one for each supplier; one in five is no YAML."""
+    name = "CASE s_suppkey % 3 WHEN 0 THEN '@scope/lib' ELSE 'lib' END || CAST(s_suppkey AS STRING)"
+    text = f"CASE WHEN s_suppkey % 5 = 0 THEN 'name: [broken' ELSE 'name: \"' || {name} || '\"' || {NL} || 'versions:' || {NL} || '  - min_version: \"1.' || CAST(s_suppkey % 7 AS STRING) || '\"' || {NL} || CASE WHEN s_suppkey % 4 = 0 THEN '    max_version: \"9.0\"' || {NL} ELSE '' END || '  - versions: [\"0.1\", \"0.' || CAST(s_suppkey % 9 AS STRING) || '\"]' || {NL} END"
+    made = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr(f"'registry/' || CASE s_suppkey % 2 WHEN 0 THEN 'npm' ELSE 'pip' END || '/' || {name} || '.yaml' AS file", f"{text} AS value")
+    found = definitions.definitions_of(made)
+    entries = definitions.version_entries(found).join(found.select("registry", F.col("d.name").alias("name"), "path_name"), ["registry", "name"])
+    return entries.select("registry", "name", "path_name", "entry_ord", "min_version", "max_version", F.array_join("versions", ",").alias("versions"))
+
+
+FEED = {"registry": "CASE o_custkey % 4 WHEN 0 THEN 'npm' WHEN 1 THEN 'pip' WHEN 2 THEN 'maven' ELSE 'hex' END", "name": "'pkg' || CAST(o_custkey AS STRING)", "version": "CAST(o_orderkey AS STRING) || '.0.0'", "day": "CAST(o_orderdate AS DATE)"}
+
+
+@query(f"WITH {I.sql('f', 'orders', FEED)} SELECT registry, name, version, CASE WHEN day % 7 > 0 THEN d END AS published_at FROM (SELECT registry, name, version, CAST(strftime(day, '%d') AS INTEGER) AS day, strftime(day, '%Y-%m-%d') AS d FROM f) x")
+def s4_release_feeds(spark, sf):
+    """Feeds of four shapes, one for each customer; releases of every seventh day of a month have no date."""
+    day = F.when(F.dayofmonth("day") % 7 > 0, F.date_format("day", "yyyy-MM-dd'T'00:00:00.000'Z'"))
+    r = F.collect_list(F.struct("version", day.alias("t"))).alias("r")
+    rows = I.frame(spark, sf, "orders", FEED).groupBy("registry", "name").agg(r)
+    dated = F.filter("r", lambda x: x.t.isNotNull())
+    npm = F.struct(F.map_from_entries(F.transform("r", lambda x: F.struct(x.version, F.lit("{}")))).alias("versions"), F.map_from_entries(F.transform(dated, lambda x: F.struct(x.version, x.t))).alias("time"))
+    pip = F.struct(F.map_from_entries(F.transform("r", lambda x: F.struct(x.version, F.when(x.t.isNull(), F.array().cast("array<struct<upload_time_iso_8601:string>>")).otherwise(F.array(F.struct(x.t.alias("upload_time_iso_8601"))))))).alias("releases"))
+    maven = F.struct(F.struct(F.transform("r", lambda x: F.struct(x.version.alias("v"), F.unix_millis(F.to_timestamp(x.t)).alias("timestamp"))).alias("docs")).alias("response"))
+    hexed = F.struct(F.transform("r", lambda x: F.struct(x.version.alias("version"), x.t.alias("inserted_at"))).alias("releases"))
+    payload = F.when(F.col("registry") == "npm", F.to_json(npm)).when(F.col("registry") == "pip", F.to_json(pip)).when(F.col("registry") == "maven", F.to_json(maven)).otherwise(F.to_json(hexed))
+    found = definitions.releases_of_feeds(rows.select("registry", "name", payload.alias("payload")))
+    return found.select("registry", "name", "version", F.date_format("published_at", "yyyy-MM-dd").alias("published_at"))
+
+
+@query("SELECT 'npm' AS registry, coalesce(source, '') AS name, CASE doc_id % 2 WHEN 0 THEN '1.0' ELSE '2.0' END AS version, count(*) AS section_count FROM documents GROUP BY ALL")
+def s5_written_packages(spark, sf):
+    """Packages written twice, the second time whole, and read back."""
+    path = new_folder(spark, "packages")
+    rows = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("'npm' AS registry", "coalesce(source, '') AS name", "CASE doc_id % 2 WHEN 0 THEN '1.0' ELSE '2.0' END AS version", "doc_id AS id", "text AS content")
+    meta = rows.select("registry", "name", "version", F.lit("name").alias("key"), F.col("name").alias("value")).distinct()
+    packages.write(rows.filter("id % 3 = 0"), meta, path)
+    packages.write(rows, meta, path)
+    return packages.read(spark, path).select("registry", "name", F.col("version").cast("string").alias("version"), "section_count")
+
+
+@query(f"WITH {SCORED}, a AS (SELECT query_id, list({{'title': title, 'content': content, 'source': doc_path}} ORDER BY doc_rank, id) AS results FROM mg GROUP BY query_id) SELECT q.query_id, CASE WHEN a.results IS NULL THEN CAST(json_object('library', q.package_id, 'version', 'latest', 'message', '{packages.NOTHING_FOUND}') AS VARCHAR) ELSE CAST(json_object('library', q.package_id, 'version', 'latest', 'results', a.results) AS VARCHAR) END AS json FROM q LEFT JOIN a USING (query_id)")
+def s7_results_json(spark, sf):
+    out = answers(I.topics(spark, sf), chunks(spark, sf), stem=False)
+    return packages.results_json(out.select("query_id", F.col("package_id").alias("library"), F.lit("latest").alias("version"), "results"))
+
+
 # --- versions ---------------------------------------------------------------------------------------------------
 
 RELEASES = I.sql("releases", "orders", I.RELEASES)

@@ -28,11 +28,15 @@ def _json(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+def definitions_of(files: DataFrame) -> DataFrame:
+    """(registry, path_name, d) of definition files (file, value); a scope folder is part of the name."""
+    rule = "([^/]+)/((?:@[^/]+/)?[^/]+)\\.yaml$"
+    return files.select(F.regexp_extract("file", rule, 1).alias("registry"), F.regexp_extract("file", rule, 2).alias("path_name"), F.from_json(_json("value"), SCHEMA).alias("d"))
+
+
 def read_definitions(spark: SparkSession, root: str) -> DataFrame:
-    """(registry, path_name, d): one row for each file; a scope folder is part of the name."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.yaml").text(root, wholetext=True).withColumn("file", F.input_file_name())
-    parts = F.regexp_extract("file", "([^/]+)/((?:@[^/]+/)?[^/]+)\\.yaml$", 1), F.regexp_extract("file", "([^/]+)/((?:@[^/]+/)?[^/]+)\\.yaml$", 2)
-    return raw.select(parts[0].alias("registry"), parts[1].alias("path_name"), F.from_json(_json("value"), SCHEMA).alias("d"))
+    """The same for all definition files below a folder."""
+    return definitions_of(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.yaml").text(root, wholetext=True).withColumn("file", F.input_file_name()))
 
 
 def version_entries(definitions: DataFrame) -> DataFrame:

@@ -18,19 +18,38 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(F.regexp_replace("path", f"^.*?\\Q{base}\\E/", "").alias("path"), F.decode("content", "UTF-8").alias("content"))
 
 
-def read_archives(spark: SparkSession, root: str) -> DataFrame:
-    """(archive, path, content) of all text entries of the ZIP archives below a folder; broken archives give none."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(root)
+#: Entries of an archive leave a task in batches of about so many characters.
+BATCH_CHARS = 4_000_000
+
+
+def entries_of(archives: DataFrame) -> DataFrame:
+    """(archive, path, content) of all text entries of ZIP archives (path, content as bytes); broken archives give none."""
+
+    def opened(path: str, content: bytes) -> Iterator[tuple[str, str, str]]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for i in z.infolist():
+                    if not i.is_dir():
+                        yield path, i.filename, z.read(i).decode("utf-8", "replace")
+        except (zipfile.BadZipFile, TypeError, EOFError):
+            return
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
+        frame = lambda: pd.DataFrame(rows, columns=["archive", "path", "content"], dtype=object)
         for batch in batches:
             for path, content in zip(batch.path, batch.content, strict=True):
-                rows = []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        rows = [(path, i.filename, z.read(i).decode("utf-8", "replace")) for i in z.infolist() if not i.is_dir()]
-                except zipfile.BadZipFile:
-                    pass
-                yield pd.DataFrame(rows, columns=["archive", "path", "content"], dtype=object)
-
-    return raw.select("path", "content").mapInPandas(run, "archive string, path string, content string")
+                for row in opened(path, content):
+                    rows.append(row)
+                    size += len(row[2])
+                    if size > BATCH_CHARS:
+                        yield frame()
+                        rows, size = [], 0
+        yield frame()
+
+    return archives.select("path", "content").mapInPandas(run, "archive string, path string, content string")
+
+
+def read_archives(spark: SparkSession, root: str) -> DataFrame:
+    """(archive, path, content) of all text entries of the ZIP archives below a folder."""
+    return entries_of(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(root))
