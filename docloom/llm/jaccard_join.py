@@ -10,7 +10,7 @@ below 64 elements take each element as a segment by itself. A set that can't rea
 goes against all documents in blocks.
 
 Sets with equal elements are one node from the start. Listed values meet in buckets, whose number follows the
-data; a row there holds the values of one slice of documents for one bucket. Candidates are verified exactly on
+data; a row there holds the values of one slice of documents for one bucket, so there are never more rows than values. Candidates are verified exactly on
 their shingles: first one for each node, then for each node the nearest in another component, then all candidates
 that still lie in two components, so that a large group of near copies never makes all its pairs.
 
@@ -44,6 +44,8 @@ LEAST_BITS = 6
 BUCKET_BYTES = 32 << 20
 #: A family's nodes meet in groups of two blocks of about so many bytes; rounds of nearest ones before all that is left.
 GROUP_BYTES, ROUNDS = 8 << 20, 3
+#: Sets that go against all documents are broadcast in blocks of about so many bytes.
+BLOCK_BYTES = 8 << 20
 #: So many rows of ids or pairs may be broadcast (32 MB at most); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 ASKS, GUEST = 1 << 14, 1 << 15
@@ -286,11 +288,10 @@ def _meetings(rows: pa.Table) -> pa.Table:
 
 
 def _against_all(docs: DataFrame, stuck: DataFrame) -> DataFrame | None:
-    """Pairs of the sets that go against all documents, these in blocks of at most 4,096 sets."""
+    """Pairs of the sets that go against all documents, these in blocks of about ``BLOCK_BYTES`` of elements."""
     found = None
-    ids = stuck.select("node").distinct().withColumn("block", F.expr("cast(conv(hex(substring(node, 1, 4)), 16, 10) as long)"))
-    total = ids.count()
-    blocks = -(-total // 2048)
+    ids = stuck.groupBy("node").agg(F.max(F.length("vals") + 64).alias("n")).withColumn("block", F.expr("cast(conv(hex(substring(node, 1, 4)), 16, 10) as long)"))
+    blocks = math.ceil((ids.agg(F.sum("n")).first()[0] or 0) / BLOCK_BYTES)
     for k in range(blocks):
         rows = stuck.join(ids.filter(F.col("block") % blocks == k), "node", "left_semi").dropDuplicates(["node"]).select("node", "vals").collect()
         if not rows:

@@ -3,16 +3,17 @@
 ``P(w | v) = d c(v w) / c(v)`` for pairs seen in training, else ``a(v) P(w)``; ``P(w) = d c(w) / N`` for known
 words, and the mass that discounting frees goes to one unknown word. Discounts are Good-Turing's for counts up to
 5 (an absolute discount where its estimates are not decreasing), the weights ``a(v)`` normalise exactly over the
-vocabulary and the unknown word. A word's context is the word before it or the start of the text; each text ends
+vocabulary and the unknown word. A word's history is the word before it or the start of the text; each text ends
 with an end token. Words are compared by 64-bit hashes.
 
 The corpus is worked on in slices. A slice's distinct words go to buckets by hash, which sum training counts,
-number the words (frequent ones low) and answer; then its distinct pairs go to buckets by context, which sum and
-answer with pair counts and what a context's weight is made of. A context with more than a small share of all
-tokens is spread over all buckets by its second words; there are few such contexts by that very definition, so
-their sums are a small table. A task holds one slice or one bucket; the number of buckets follows the input. The corpus is cut twice
-alike; should a changed cluster split the input anew in between, the job stops with an error. The
-bucket tables lie in the shared folder (``pair_table`` returns them).
+number the words (frequent ones low) and answer; then its distinct pairs go to buckets by history, which sum and
+answer with pair counts and what a history's weight is made of. A history with more than a small share of all
+tokens is spread over all buckets by its second words; there are few such histories by that very definition, so
+their sums are a small table of ``HOT_WORDS`` rows at most. A task holds
+one slice or one bucket; the number of buckets follows the input. The corpus is cut into slices more than once, and alike each
+time: the input is a stored table (others are stored first) whose splits are held for the session, so that executors which come
+or go change nothing. ``pair_table`` writes the pair counts as a table by buckets.
 
 A null text is empty: it has only the end token. Repeated rows count as often as they stand there. With no
 training row all words are unknown. An empty table gives an empty result; further columns are ignored.
@@ -27,16 +28,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import textkernel as K
 from docloom.llm.ngrams import segment_sums
-from docloom.llm.tables import checkpointed, crc_bucket, table
+from docloom.llm.tables import checkpointed, crc_bucket, table, written
 
 SLICE_BYTES = 10 << 20
 BUCKET_BYTES = 16 << 20
+#: So many words at most may be spread over all buckets; their sums (64 bytes each) are broadcast.
+HOT_WORDS = 1 << 20
 DISCOUNTED = 5
 HELD_OUT_OF, HELD_OUT = 7, 2
 END = np.uint64(0x0E9D0E9D0E9D0E9D)
@@ -86,7 +88,7 @@ def _slices(batches: Iterator[pa.RecordBatch], buckets: int):
     place = 0
     for batch in batches:
         for lo, hi, buf, offsets in K.text_slices(batch.column(1), SLICE_BYTES):
-            name = hashlib.blake2b(buf.tobytes(), digest_size=8, key=f"{TaskContext.get().partitionId()}:{place}".encode()).digest()
+            name = hashlib.blake2b(buf.tobytes(), digest_size=8, key=f"{batch.column(3)[0].as_py()}:{place}".encode()).digest()
             yield int.from_bytes(name, "little", signed=True), lo, hi, batch, Slice(buf, offsets, buckets)
             place += 1
 
@@ -173,14 +175,14 @@ def _texts(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 class Pairs:
-    """A slice's tokens with their words' numbers and counts, and its distinct pairs by bucket, context, word."""
+    """A slice's tokens with their words' numbers and counts, and its distinct pairs by bucket, history, word."""
 
     def __init__(self, rows: pa.Table, buckets: int, hot_from: float):
         rows = rows.sort_by([("kind", "ascending"), ("bucket", "ascending")])
         kinds = rows.column("kind").to_pylist()
         self.answers = [r for r in rows.to_pylist() if r["kind"] == 2]
         if kinds[0] != 0 or 1 not in kinds:
-            raise RuntimeError("the input was split in another way between two passes; run the job again")
+            raise RuntimeError("the input changed between two passes")
         (first,) = rows.slice(0, 1).to_pylist()
         self.rows = pa.ipc.open_stream(first["a"]).read_all()
         self.bounds = np.concatenate([[0], np.cumsum(unpack(first["b"], "i8"))])
@@ -193,11 +195,11 @@ class Pairs:
         numbers = np.concatenate(each)
         counts = np.concatenate([unpack(r["b"], "i8") for r in parts])
         self.word, self.count = numbers[tokens], counts[tokens]
-        context, size = np.empty_like(self.word), np.full(len(tokens), 0, np.int64)
-        context[1:], size[1:] = self.word[:-1], self.count[:-1]
-        context[self.bounds[:-1]], size[self.bounds[:-1]] = START_ID, 1 << 60
-        asked = np.flatnonzero(context > 0)
-        v, w = context[asked], self.word[asked]
+        history, size = np.empty_like(self.word), np.full(len(tokens), 0, np.int64)
+        history[1:], size[1:] = self.word[:-1], self.count[:-1]
+        history[self.bounds[:-1]], size[self.bounds[:-1]] = START_ID, 1 << 60
+        asked = np.flatnonzero(history > 0)
+        v, w = history[asked], self.word[asked]
         hot = size[asked] > hot_from
         spread = np.where(hot, K.mix64(v ^ K.mix64(w)), K.mix64(v)) % np.uint64(buckets)
         order = np.lexsort((w, v, spread))
@@ -208,8 +210,8 @@ class Pairs:
         self.v, self.w, self.w_count, self.hot = v[pick], w[pick], self.count[asked[pick]], hot[pick]
         self.cuts = np.searchsorted(spread[pick], np.arange(buckets + 1))
 
-    def contexts(self, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of one bucket: distinct contexts, their run lengths, and whether they are hot."""
+    def histories(self, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of one bucket: distinct histories, their run lengths, and whether they are hot."""
         v, hot = self.v[self.cuts[b] : self.cuts[b + 1]], self.hot[self.cuts[b] : self.cuts[b + 1]]
         first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
         return v[first], np.diff(np.append(first, len(v))), hot[first]
@@ -225,7 +227,7 @@ def _pair_requests(known: DataFrame, buckets: int, hot_from: float) -> DataFrame
         for b in range(buckets):
             x, y = int(p.cuts[b]), int(p.cuts[b + 1])
             if y > x:
-                v, lengths, hot = p.contexts(b)
+                v, lengths, hot = p.histories(b)
                 out.append((b, chunk, pack(v), pack(lengths.astype(np.uint32)), np.packbits(hot).tobytes(), pack(p.w[x:y]), pack(counts[x:y].astype(np.uint32)), pack(p.w_count[x:y])))
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
         columns = zip(*out, strict=True) if out else [[]] * 8
@@ -235,7 +237,7 @@ def _pair_requests(known: DataFrame, buckets: int, hot_from: float) -> DataFrame
 
 
 def _bucket_pairs(rows: pa.Table, one: Unigrams):
-    """All of a bucket's requests summed: contexts, pairs (context, word, count), and each request's places in both."""
+    """All of a bucket's requests summed: histories, pairs (history, word, count), and each request's places in both."""
     get = lambda c, kind: [unpack(x, kind) for x in rows.column(c).to_pylist()]
     vs, lengths, ws = get("v", "u8"), get("lengths", "u4"), get("w", "u8")
     hots = [np.unpackbits(np.frombuffer(h, np.uint8), count=len(v)).astype(bool) for h, v in zip(rows.column("hot").to_pylist(), vs, strict=True)]
@@ -253,7 +255,7 @@ def _bucket_pairs(rows: pa.Table, one: Unigrams):
 
 
 def _pair_answers(requests: DataFrame, one: Unigrams) -> DataFrame:
-    """For each request the pairs' counts and the contexts' sums; the buckets' numbers of counts; parts of hot contexts."""
+    """For each request the pairs' counts and the histories' sums; the buckets' numbers of counts; parts of hot histories."""
 
     def run(rows: pa.Table) -> pa.Table:
         v, hot, _, _, _, count, sums, vs, v_at, ws, at = _bucket_pairs(rows, one)
@@ -270,7 +272,18 @@ def _pair_answers(requests: DataFrame, one: Unigrams) -> DataFrame:
     return requests.groupBy("bucket").applyInArrow(run, NEEDED)
 
 
-def _scores(known: DataFrame, buckets: int, hot_from: float, one: Unigrams, d: np.ndarray, hot: dict[int, np.ndarray], id_kind: str) -> DataFrame:
+def _hot_sums(answers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hot words, ascending, and their sums over all buckets; at most ``HOT_WORDS`` rows."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x, np.float64) for x in rows.column("a").to_pylist()], 0)
+        return pa.table({"chunk": rows.column("chunk").slice(0, 1), "a": pa.array([total.tobytes()], pa.binary())})
+
+    found = sorted((r.chunk, bytes(r.a)) for r in answers.filter("kind = 8").select("chunk", "a").groupBy("chunk").applyInArrow(run, "chunk long, a binary").collect())
+    return np.array([v for v, _ in found], np.int64), np.array([np.frombuffer(a, np.float64) for _, a in found]).reshape(len(found), DISCOUNTED + 2)
+
+
+def _scores(known: DataFrame, buckets: int, hot_from: float, one: Unigrams, d: np.ndarray, hot: tuple[np.ndarray, np.ndarray], id_kind: str) -> DataFrame:
     shared = known.sparkSession.sparkContext.broadcast(hot)
 
     def run(rows: pa.Table) -> pa.Table:
@@ -281,10 +294,10 @@ def _scores(known: DataFrame, buckets: int, hot_from: float, one: Unigrams, d: n
             count = np.concatenate([unpack(r["a"], "i8") for r in p.answers])
             sums, runs = [], []
             for r in p.answers:
-                v, lengths, is_hot = p.contexts(r["bucket"])
+                v, lengths, is_hot = p.histories(r["bucket"])
                 own = np.concatenate([unpack(r["b"], "u4").reshape(-1, len(v)).astype(np.float64), unpack(r["c"], "f8")[None]]).T.copy()
-                for k in np.flatnonzero(is_hot).tolist():
-                    own[k] = shared.value[int(v[k])]
+                words, totals = shared.value
+                own[is_hot] = totals[np.searchsorted(words, v[is_hot].astype(np.int64))]
                 sums.append(own)
                 runs.append(lengths)
             sums, runs = np.concatenate(sums), np.concatenate(runs)
@@ -306,8 +319,12 @@ def _scores(known: DataFrame, buckets: int, hot_from: float, one: Unigrams, d: n
     return known.groupBy("chunk").applyInArrow(run, f"doc_id {id_kind}, held boolean, n_tokens long, n_known long, base_score double, score double")
 
 
-def _prepared(docs: DataFrame, held_out):
+def _prepared(docs: DataFrame, held_out, stored: bool):
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:  # else splits follow the number of executors
+        spark.conf.set("spark.sql.files.minPartitionNum", max(1, spark.sparkContext.defaultParallelism))
+    docs = (docs if stored else written(docs, "texts")).withColumn("split", F.spark_partition_id())
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, math.ceil(size / BUCKET_BYTES))
     answers = checkpointed(_word_answers(_word_requests(docs, buckets), buckets))
@@ -316,36 +333,37 @@ def _prepared(docs: DataFrame, held_out):
         sums += np.frombuffer(r.a, np.int64)
     one = Unigrams(int(sums[0]), int(sums[1]), [0, *sums[2:].tolist()])
     known = _texts(docs, buckets).unionByName(answers.filter("kind = 1"))
-    hot_from = max(64.0, sums[0] / (8 * buckets))
+    hot_from = max(64.0, sums[0] / min(8 * buckets, HOT_WORDS))
     return docs, buckets, one, known, hot_from
 
 
-def score_documents(docs: DataFrame, held_out) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row, learnt from rows not held out."""
-    docs, buckets, one, known, hot_from = _prepared(docs, held_out)
+def score_documents(docs: DataFrame, held_out, stored: bool = False) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row, learnt from rows not held out.
+
+    ``stored`` tells that ``docs`` is read from files as they are; other inputs are written to the shared folder first.
+    """
+    docs, buckets, one, known, hot_from = _prepared(docs, held_out, stored)
     answers = checkpointed(_pair_answers(_pair_requests(known, buckets, hot_from), one))
-    n, hot = np.zeros(DISCOUNTED + 1, np.int64), {}
+    n = np.zeros(DISCOUNTED + 1, np.int64)
     for r in answers.filter("kind = 9").select("a").toLocalIterator():
         n += np.frombuffer(r.a, np.int64)
-    for r in answers.filter("kind = 8").select("chunk", "a").toLocalIterator():  # at most 8 contexts for each bucket
-        hot[r.chunk] = hot.get(r.chunk, 0) + np.frombuffer(r.a, np.float64)
     d = discounts([0, *n.tolist()])
-    out = _scores(known.unionByName(answers.filter("kind = 2")), buckets, hot_from, one, d, hot, docs.schema["doc_id"].dataType.simpleString())
+    out = _scores(known.unionByName(answers.filter("kind = 2")), buckets, hot_from, one, d, _hot_sums(answers), docs.schema["doc_id"].dataType.simpleString())
     return out.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(one.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def pair_table(docs: DataFrame, held_out) -> DataFrame:
-    """(bucket, context, word, count): the pair counts, by the words' numbers; 2^62 is the start of a text."""
-    _, buckets, one, known, hot_from = _prepared(docs, held_out)
+def pair_table(docs: DataFrame, held_out, stored: bool = False) -> DataFrame:
+    """(bucket, history, word, count): the pair counts, by the words' numbers; 2^62 is the start of a text."""
+    _, buckets, one, known, hot_from = _prepared(docs, held_out, stored)
 
     def run(rows: pa.Table) -> pa.Table:
         v, _, w, pv, pw, count, *_ = _bucket_pairs(rows, one)
         seen = count > 0
-        return pa.table({"bucket": pa.array(np.full(seen.sum(), rows.column("bucket")[0].as_py(), np.int32)), "context": pa.array(v[pv[seen]].astype(np.int64)), "word": pa.array(w[pw[seen]].astype(np.int64)), "count": pa.array(count[seen])})
+        return pa.table({"bucket": pa.array(np.full(seen.sum(), rows.column("bucket")[0].as_py(), np.int32)), "history": pa.array(v[pv[seen]].astype(np.int64)), "word": pa.array(w[pw[seen]].astype(np.int64)), "count": pa.array(count[seen])})
 
-    return checkpointed(_pair_requests(known, buckets, hot_from).groupBy("bucket").applyInArrow(run, "bucket int, context long, word long, count long"))
+    return written(_pair_requests(known, buckets, hot_from).groupBy("bucket").applyInArrow(run, "bucket int, history long, word long, count long"), "pairs")
 
 
 def op6_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every whole text of ``documents``; one row in seven is held out from training."""
-    return score_documents(table(spark, sf_dir, "documents", "doc_id", "text"), crc_bucket("doc_id", HELD_OUT_OF) == HELD_OUT)
+    return score_documents(table(spark, sf_dir, "documents", "doc_id", "text"), crc_bucket("doc_id", HELD_OUT_OF) == HELD_OUT, stored=True)
