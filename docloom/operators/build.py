@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.operators.corpus import content_key
+from docloom.sources.shared import new_folder, stored
 
 FEW_SECTIONS = 50
 
@@ -26,27 +27,28 @@ def unique_sections(sections: DataFrame) -> DataFrame:
     return sections.join(unique_keys(sections), KEY, "left_semi")
 
 
-def dense_ids(keys: DataFrame, range_files: int = 4096) -> DataFrame:
+def dense_ids(keys: DataFrame) -> DataFrame:
     """(package_id, file_ord, section_ord, id): ids from 1 in (file, section) order of each package.
 
-    Counts by range of files give offsets, a window numbers inside a range: no task holds a whole package.
+    The places alone are dealt into ranges and stored; counts by package and range give offsets, a window numbers inside a
+    range. No task holds a whole package, however its files are numbered.
     """
-    ranged = keys.select(*KEY, F.floor(F.col("file_ord") / range_files).alias("range"))
-    sizes = ranged.groupBy("package_id", "range").agg(F.count("*").alias("n"))
-    before = W.partitionBy("package_id").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("package_id", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    place = F.row_number().over(W.partitionBy("package_id", "range").orderBy("file_ord", "section_ord"))
-    return ranged.withColumn("place", place).join(offsets, ["package_id", "range"]).select(*KEY, (F.col("offset") + F.col("place")).alias("id"))
+    ranged = keys.select(*KEY).repartitionByRange(*KEY).withColumn("part", F.spark_partition_id())
+    ranged = stored(ranged, new_folder(keys.sparkSession, "places"))
+    before = W.partitionBy("package_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = ranged.groupBy("package_id", "part").agg(F.count("*").alias("n")).select("package_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(W.partitionBy("package_id", "part").orderBy("file_ord", "section_ord"))
+    return ranged.withColumn("place", place).join(offsets, ["package_id", "part"]).select(*KEY, (F.col("offset") + F.col("place")).alias("id"))
 
 
-def numbered(sections: DataFrame, range_files: int = 4096) -> DataFrame:
+def numbered(sections: DataFrame) -> DataFrame:
     """The sections with dense ids; they are numbered by their places alone and joined back once."""
-    return sections.join(dense_ids(sections, range_files), KEY)
+    return sections.join(dense_ids(sections), KEY)
 
 
-def unique_numbered(sections: DataFrame, range_files: int = 4096) -> DataFrame:
+def unique_numbered(sections: DataFrame) -> DataFrame:
     """The first sections of each content with dense ids, content shuffled once."""
-    return sections.join(dense_ids(unique_keys(sections), range_files), KEY)
+    return sections.join(dense_ids(unique_keys(sections)), KEY)
 
 
 def meta_rows(packages: DataFrame) -> DataFrame:

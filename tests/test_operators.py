@@ -196,3 +196,11 @@ def test_dense_ids_over_ranges(spark):
     df = spark.createDataFrame(rows, "package_id string, file_ord long, section_ord int").repartition(5)
     got = sorted((r.package_id, r.file_ord, r.section_ord, r.id) for r in build.numbered(df).collect())
     assert [g[3] for g in got] == list(range(1, len(rows) // 2 + 1)) * 2
+
+
+def test_dense_ids_of_sparse_files(spark):
+    """One package holds most files, whose numbers are far apart."""
+    rows = [("hot", i * 1_000_003, k) for i in range(800) for k in range(2)] + [("cold", 5, 0), (None, 1, 0)]
+    df = spark.createDataFrame(rows, "package_id string, file_ord long, section_ord int").repartition(7)
+    got = sorted((r.file_ord, r.section_ord, r.id) for r in build.dense_ids(df).filter("package_id = 'hot'").collect())
+    assert [g[2] for g in got] == list(range(1, 1601))
