@@ -511,10 +511,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows without shingles."""
     rows, roots = node_roots(docs)
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    rows = rows.filter("node is not null").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "doc_id", "text_key", key.alias("key"))
-    least = rows.groupBy("root").agg(F.min("key").alias("least"))
-    keyed = rows.join(least, "root").select("doc_id", "text_key", (F.col("key") == F.col("least")).alias("stays"))
-    known = checkpointed(keyed.groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).filter("not stays or n > 1"))
+    rows = rows.filter("node is not null").select("doc_id", "text_key", "node")
+    # The least key of a component is found with partial minima and joined by itself: a large component is no hot key.
+    by_node = rows.groupBy("node").agg(F.min(key).alias("key")).join(roots, "node", "left")
+    least = by_node.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("key").alias("key")).select(F.col("key.doc_id").alias("least_id"), F.col("key.text_key").alias("least_key"))
+    each = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
+    keyed = each.join(least, (F.col("text_key") == F.col("least_key")) & F.col("doc_id").eqNullSafe(F.col("least_id")), "left")
+    known = checkpointed(keyed.select("doc_id", "text_key", F.col("least_key").isNotNull().alias("stays"), "n").filter("not stays or n > 1"))
     leave, twice = known.filter("not stays").select("doc_id", "text_key"), known.filter("stays").select("doc_id", "text_key")
     tagged = docs.select(boxed(docs), F.col("doc_id").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_key"))
 
