@@ -3,8 +3,9 @@
 Mu-law and A-law expand by tables of 256 values; ADPCM blocks, each with its own start value, are decoded with
 one numpy step for each nibble over all blocks of a batch. A stored file is a RIFF container; what is read back
 is the coded samples themselves, so that storing loses nothing. ``op8_telephony`` writes the files as a table in the
-shared folder, reads it back and writes the resampled PCM beside digests and features as a second one. Batches are cut
-by bytes; one text longer than that is a batch by itself.
+shared folder and reads it back; its result holds digests and features of every row with the resampled PCM beside
+them, and so stores the sound where the result is written. Batches are cut by bytes; one text longer than that is a
+batch by itself.
 
 Rows are independent: a null text is empty and is stored as one unit of zeros, repeated rows give equal values, an
 empty table an empty result, and further columns, whatever their names, are ignored.
@@ -27,8 +28,8 @@ from docloom.llm.tables import table, written
 
 UNIT = 64
 RATE, TARGET_RATE = 8_000, 16_000
-#: Bytes of texts or files of one batch, and the level at which the stored tables are compressed.
-BATCH_BYTES, STORED_LEVEL = 1 << 20, 12
+#: Bytes of texts or files of one batch.
+BATCH_BYTES = 1 << 20
 # Format numbers of the container, step sizes and index moves of IMA ADPCM.
 FORMATS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
 STEPS = np.array([
@@ -184,6 +185,5 @@ def decode_media(media: DataFrame) -> DataFrame:
 
 
 def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store, read back, decode and resample every whole text of ``documents``; files and sound lie in the shared folder."""
-    media = written(store_texts(table(spark, sf_dir, "documents", "doc_id", "text")), "media", STORED_LEVEL)
-    return written(decode_media(media), "sound", STORED_LEVEL).select("doc_id", *DECODED)
+    """Store, read back, decode and resample every whole text of ``documents``; the last column is the sound."""
+    return decode_media(written(store_texts(table(spark, sf_dir, "documents", "doc_id", "text")), "media"))

@@ -54,6 +54,7 @@ def test_round_trip(spark):
 def test_stored_tables(spark, tmp_path):
     spark.createDataFrame([(1, "é" * 100), (2, None), (3, "a b c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = M.op8_telephony(spark, str(tmp_path)).collect()
+    assert all(len(r.pcm) == 2 * int(r.feature.split("samples=")[1].split()[0]) and f"pcm={zlib.crc32(r.pcm):08x}" in r.feature for r in rows)
     assert sorted((r.doc_id, r.n_bytes, r.payload_bytes) for r in rows) == [(1, 200, 256), (2, 0, 64), (3, 5, 64)]
     media = M.store_texts(spark.read.parquet(f"{tmp_path}/documents.parquet"))
     assert {r.doc_id: hashlib.sha256(bytes(r.media)).hexdigest() for r in media.collect()} == {r.doc_id: r.media_sha256 for r in rows}
