@@ -128,7 +128,8 @@ class Sample:
     def keep(self, wanted: np.ndarray) -> Sample:
         """Only the features that are wanted."""
         kept = wanted[self.ids]
-        return Sample(self.y, self.ids[kept], self.counts[kept], np.concatenate([[0], np.cumsum(kept)])[self.bounds])
+        sizes = [np.count_nonzero(kept[a:b]) for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True)]
+        return Sample(self.y, self.ids[kept], self.counts[kept], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, limit_bytes: int = SAMPLE_BYTES) -> Sample:
@@ -155,7 +156,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
 
     got = rows.join(F.broadcast(few), "doc_id", "left_semi").mapInArrow(extract, f"doc_id {kind}, y int, ids binary, counts binary").collect()
     got.sort(key=lambda r: (r.doc_id, bytes(r.ids)))
-    return Sample.of([(r.y, np.frombuffer(r.ids, "<u4"), np.frombuffer(r.counts, "<u4")) for r in got])
+    parts = [(r.y, np.frombuffer(r.ids, "<u4"), np.frombuffer(r.counts, "<u4")) for r in got]
+    del got
+    return Sample.of(parts)
 
 
 def calibrate(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
