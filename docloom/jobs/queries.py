@@ -219,6 +219,19 @@ def p1_p7_formats(spark, sf):
     return sections(I.frame(spark, sf, "orders", FORMS)).select("file_ord", "section_ord", "doc_title", "section_title", "content", "tokens")
 
 
+ROOT = "CASE o_orderkey % 4 WHEN 0 THEN 'article' WHEN 1 THEN 'main' ELSE 'div' END"
+#: A page for each order with menu, advert, share bar, comments and footer around its article; one in four has only a menu.
+PLANTED = {
+    "page_id": "o_orderkey", "one": ONE, "two": TWO,
+    "html": f"'<html><head><title>Title of ' || {K} || '</title></head><body><nav><a href=\"/\">Home</a></nav>' || CASE WHEN o_orderkey % 4 = 3 THEN '' ELSE '<div class=\"ad\">Buy this now</div><' || {ROOT} || '><h1>Head ' || {K} || '</h1><p>' || {ONE} || '</p><div class=\"share-buttons\">Share it</div><h2>Deeper</h2><p>' || {TWO} || '</p></' || {ROOT} || '><section class=\"comments\"><p>A reader says that this is so.</p></section>' END || '<footer>(c) all of it</footer></body></html>'",
+}
+
+
+@query(f"WITH {I.sql('pl', 'orders', PLANTED)} SELECT page_id, 'Title of ' || page_id AS title, CASE WHEN page_id % 4 < 3 THEN '# Head ' || page_id || {GAP} || one || {GAP} || '## Deeper' || {GAP} || two END AS content FROM pl")
+def p8_planted_articles(spark, sf):
+    return articles(I.frame(spark, sf, "orders", PLANTED)).select("page_id", "title", "content")
+
+
 PIECE = "rpad('Piece ' || CAST({i} AS STRING) || ' of ' || CAST(o_orderkey AS STRING) || ' ', 399, 'x') || '.'"
 N_PIECES = "CAST(o_orderkey % 30 + 1 AS INTEGER)"
 
