@@ -83,18 +83,17 @@ class Slice:
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows in batches of about ``SLICE_BYTES`` of text, whatever Spark's own batches are."""
+    """The rows in batches that reach ``SLICE_BYTES`` of text, whatever Spark's own batches are."""
     held: list[pa.RecordBatch] = []
     size = 0
     whole = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
     for batch in batches:
-        n = batch.column(1).nbytes
-        if held and size + n > SLICE_BYTES:
-            yield whole()
-            held, size = [], 0
         if batch.num_rows:
             held.append(batch)
-            size += n
+            size += batch.column(1).nbytes
+        if size >= SLICE_BYTES:
+            yield whole()
+            held, size = [], 0
     if held:
         yield whole()
 
@@ -104,7 +103,7 @@ def _slices(batches: Iterator[pa.RecordBatch], buckets: int):
     the corpus in different ways can't be mistaken for one another."""
     place = 0
     for batch in _gathered(batches):
-        for lo, hi, buf, offsets in K.text_slices(batch.column(1), SLICE_BYTES):
+        for lo, hi, buf, offsets in K.text_slices(batch.column(1), 2 * SLICE_BYTES):
             name = hashlib.blake2b(buf.tobytes(), digest_size=8, key=f"{batch.column(3)[0].as_py()}:{place}".encode()).digest()
             yield int.from_bytes(name, "little", signed=True), lo, hi, batch, Slice(buf, offsets, buckets)
             place += 1
