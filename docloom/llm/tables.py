@@ -53,3 +53,9 @@ def unboxed(df: DataFrame, **changed: Column) -> DataFrame:
 def crc_bucket(column: str, modulus: int):
     """crc32 of an id written as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a folder made by ``new_folder`` that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
