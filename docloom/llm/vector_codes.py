@@ -237,10 +237,10 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql(rounds: int = ROUNDS) -> str:
     """Plain rounds: every part against every entry."""
-    far = "list_sum(list_transform(list_zip(v, c), z -> (z[1] - z[2]) * (z[1] - z[2])))"
+    far = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
     steps = [
-        f"""kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) r, vec_id, label, list_transform(embedding, x -> CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) x
-  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) r, vec_id, label, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
         f"parts AS MATERIALIZED (SELECT r, p, x[p * (len(x) // {PARTS}) + 1:(p + 1) * (len(x) // {PARTS})] v FROM kept, (SELECT unnest(range({PARTS})) p))",
         f"book0 AS MATERIALIZED (SELECT p, r - 1 j, v c FROM parts WHERE r <= {ENTRIES})",
     ]
