@@ -739,8 +739,19 @@ def c8_lookup(spark, sf):
 
 SITES = I.sql("sites", "pages", I.SITES)
 HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1))"
-INDEX_DOC = {"doc_id": "page_id", "base_url": "url", "content": "'# Index' || chr(10) || '## Docs' || chr(13) || chr(10) || '- [First](' || url || ')' || chr(10) || 'see [prose](http://no)' || chr(10) || '## Other' || chr(10) || '* [Again](' || url || '): x' || chr(10) || '- [Away](http://away.example/' || CAST(page_id AS STRING) || ')' || chr(10) || '- [Rel](/a/' || CAST(page_id % 9 AS STRING) || ')'"}
-LINKS = "l0 AS (SELECT page_id AS doc_id, url AS base_url, unnest([{'line_no': 2, 'section': 'Docs', 'title': 'First', 'url': url}, {'line_no': 5, 'section': 'Other', 'title': 'Again', 'url': url}, {'line_no': 6, 'section': 'Other', 'title': 'Away', 'url': 'http://away.example/' || page_id}, {'line_no': 7, 'section': 'Other', 'title': 'Rel', 'url': '/a/' || page_id % 9}]) AS e FROM pages), links AS (SELECT doc_id, base_url, e.line_no AS line_no, e.section AS section, e.title AS title, e.url AS url FROM l0)"
+SCHEME_OF, HOST_OF, PATH_TO, FOLDER = "regexp_extract(url, '^([a-z]+)://', 1)", "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)", "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)", "regexp_extract(url, '^([a-z]+://[^/?#]*[^?#]*/)', 1)"
+OWN_PORT = f"CASE {SCHEME_OF} WHEN 'http' THEN ':80' ELSE ':443' END"
+SHOUTED = f"upper({SCHEME_OF}) || '://' || upper({HOST_OF}) || {OWN_PORT} || '/zz/..' || {PATH_TO}"
+#: Links of an index: title, as written, as the standard reads it (null: not at all), on the index's host.
+WRITTEN = [
+    ("First", "url", "url", True), ("Again", "url", "url", True), ("Away", "'http://away.example/' || CAST(page_id AS STRING)", None, False), ("Rel", "'/a/' || CAST(page_id % 9 AS STRING)", f"{SCHEME_OF} || '://' || {HOST_OF} || '/a/' || CAST(page_id % 9 AS STRING)", True),
+    ("Shouted", SHOUTED, f"{SCHEME_OF} || '://' || {HOST_OF} || {PATH_TO}", True), ("User", f"{SCHEME_OF} || '://u:p%5E@' || {HOST_OF} || {PATH_TO}", None, True), ("Port", f"{SCHEME_OF} || '://' || {HOST_OF} || ':8443' || {PATH_TO}", None, False),
+    ("Dots", "'./g/%2e%2E/k<b'", f"{FOLDER} || 'k%3Cb'", True), ("Mail", "'mailto:x@y.z'", None, False), ("Bad", f"{SCHEME_OF} || '://' || {HOST_OF} || ':99999/'", "NULL", False), ("Slashes", f"'//' || {HOST_OF} || '/x'", f"{SCHEME_OF} || '://' || {HOST_OF} || '/x'", True),
+    ("Query", "'?q=' || chr(39)", f"{SCHEME_OF} || '://' || {HOST_OF} || {PATH_TO} || '?q=%27'", True),
+]
+INDEX_DOC = {"doc_id": "page_id", "base_url": "url", "content": "'# Index' || chr(10) || '## Docs' || chr(13) || chr(10) || '- [First](' || url || ')' || chr(10) || 'see [prose](http://no)' || chr(10) || '## Other' || chr(10) || " + " || chr(10) || ".join(f"'* [{t}](' || {w} || '): x'" for t, w, _, _ in WRITTEN[1:])}
+EACH_LINK = ", ".join(f"{{'line_no': {k + (4 if k else 2)}, 'section': '{'Other' if k else 'Docs'}', 'title': '{t}', 'raw': {w}, 'url': {r or w}, 'own': {own}}}" for k, (t, w, r, own) in enumerate(WRITTEN))
+LINKS = f"l0 AS (SELECT page_id AS doc_id, url AS base_url, unnest([{EACH_LINK}]) AS e FROM pages), links AS (SELECT doc_id, base_url, e.line_no AS line_no, e.section AS section, e.title AS title, e.raw AS raw, e.url AS url, e.own AS own FROM l0)"
 
 
 def sites(spark, sf):
@@ -752,27 +763,29 @@ def links(spark, sf):
     return crawl.index_links(docs).join(docs.select("doc_id", "base_url"), "doc_id")
 
 
-@query(f"WITH {LINKS} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, section, title, url FROM links")
+@query(f"WITH {LINKS} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, section, title, raw AS url FROM links")
 def w1_index_links(spark, sf):
     return links(spark, sf).select("doc_id", "line_no", "section", "title", "url")
 
 
-@query(f"WITH {LINKS} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CASE WHEN starts_with(url, '/') THEN regexp_extract(base_url, '^[a-zA-Z]+://[^/?#]*') || url ELSE url END AS url FROM links")
+@query(f"WITH {LINKS} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, url FROM links WHERE url IS NOT NULL")
 def w2_resolved_urls(spark, sf):
     return crawl.resolved(links(spark, sf)).select("doc_id", "line_no", "url")
 
 
-SAME = f"sm AS (SELECT doc_id, base_url, url, min(line_no) AS line_no FROM links WHERE lower(regexp_extract(base_url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) = {HOST} GROUP BY ALL)"
+SAME = "sm AS (SELECT doc_id, base_url, url, min(line_no) AS line_no FROM links WHERE own GROUP BY ALL)"
 
 
 @query(f"WITH {LINKS}, {SAME} SELECT doc_id, url, CAST(line_no AS INTEGER) AS line_no, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no, url) AS INTEGER) AS rank FROM sm")
 def w3_same_host_links(spark, sf):
-    return crawl.same_host_links(links(spark, sf)).select("doc_id", "url", "line_no", "rank")
+    return crawl.same_host_links(crawl.resolved(links(spark, sf))).select("doc_id", "url", "line_no", "rank")
 
 
-@query(f"WITH {LINKS}, {SITES}, pg AS (SELECT url, max(coalesce(body, '')) AS body FROM sites GROUP BY url), f AS (SELECT l.doc_id, coalesce(trim(pg.body) <> '', false) AS ok FROM links l LEFT JOIN pg ON l.url = pg.url) SELECT doc_id, count(*) FILTER (ok) AS n_fetched, count(*) FILTER (NOT ok) AS n_failed FROM f GROUP BY doc_id")
+@query(f"WITH {LINKS}, {SITES}, pg AS (SELECT url, max(coalesce(body, '')) AS body FROM sites GROUP BY url), f AS (SELECT l.doc_id, coalesce(trim(pg.body) <> '', false) AS ok FROM links l LEFT JOIN pg ON l.url = pg.url WHERE l.url IS NOT NULL) SELECT doc_id, count(*) FILTER (ok) AS n_fetched, count(*) FILTER (NOT ok) AS n_failed FROM f GROUP BY doc_id")
 def w4_followed_links(spark, sf):
-    return crawl.follow_counts(crawl.followed(links(spark, sf), sites(spark, sf)))
+    """Links of all kinds against the pages, whose addresses are given in another form for one page in three."""
+    s = sites(spark, sf).withColumn("url", F.expr(f"CASE WHEN page_id % 3 = 0 THEN {SHOUTED} || regexp_extract(url, '^[a-z]+://[^?#]*(.*)', 1) ELSE url END"))
+    return crawl.follow_counts(crawl.followed(crawl.resolved(links(spark, sf)), s))
 
 
 CONTENT = "lower(coalesce(content_type, ''))"
@@ -796,22 +809,26 @@ def w5_pages_without_article(spark, sf):
     return crawl.triage(s.join(main, "page_id", "left"), F.col("article")).select("page_id", "reason")
 
 
-ADDRESS = "CASE page_id % 6 WHEN 0 THEN 'https://www.Site' || CAST(page_id AS STRING) || '.org:8443/a_b.c/d+e/' WHEN 1 THEN 'https://x.dev/docs/Guide.TXT' WHEN 2 THEN 'https://react.example.com' WHEN 3 THEN 'http://www.example.com/article/hello-world?x=1' ELSE url END"
+#: Addresses, and the same as the standard reads them.
+ADDRESS = "CASE page_id % 6 WHEN 4 THEN 'HTTPS://U:p@WWW.Site' || CAST(page_id AS STRING) || '.Org:443/x/../A b/./c.Md' WHEN 0 THEN 'https://www.Site' || CAST(page_id AS STRING) || '.org:8443/a_b.c/d+e/' WHEN 1 THEN 'https://x.dev/docs/Guide.TXT' WHEN 2 THEN 'https://react.example.com' WHEN 3 THEN 'http://www.example.com/article/hello-world?x=1' ELSE url END"
+READ = ADDRESS.replace("'HTTPS://U:p@WWW.Site' || CAST(page_id AS STRING) || '.Org:443/x/../A b/./c.Md'", "'https://www.site' || CAST(page_id AS STRING) || '.org/A%20b/c.Md'")
+HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1))"
 PATH = "coalesce(nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/')"
 BARE = f"regexp_replace({HOST}, ':[0-9]+$', '')"
 SLUG = f"regexp_replace(regexp_replace(lower(regexp_replace({PATH}, '^/|/$', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
 
 
-@query(f"WITH a AS (SELECT page_id, {ADDRESS} AS url FROM pages), b AS (SELECT *, regexp_replace({PATH}, '/$', '') AS bare, regexp_replace({BARE}, '^www\\.', '') AS name, {SLUG} AS s FROM a) SELECT page_id, {HOST} || CASE WHEN bare = '' THEN '/index' ELSE bare END || CASE WHEN regexp_matches(bare, '(?i)\\.(md|mdx|html?|adoc|rst|txt)$') THEN '' ELSE '.md' END AS path, name, name || CASE WHEN s = '' THEN '' ELSE '-' || s END AS slug FROM b")
+@query(f"WITH a AS (SELECT page_id, {READ} AS url FROM pages), b AS (SELECT *, regexp_replace({PATH}, '/$', '') AS bare, regexp_replace({BARE}, '^www\\.', '') AS name, {SLUG} AS s FROM a) SELECT page_id, {HOST} || CASE WHEN bare = '' THEN '/index' ELSE bare END || CASE WHEN regexp_matches(bare, '(?i)\\.(md|mdx|html?|adoc|rst|txt)$') THEN '' ELSE '.md' END AS path, name, name || CASE WHEN s = '' THEN '' ELSE '-' || s END AS slug FROM b")
 def w7_w8_paths_and_names(spark, sf):
-    u = F.col("url")
-    return spark.read.parquet(f"{sf}/pages.parquet").selectExpr("page_id", f"{ADDRESS} AS url").select("page_id", crawl.path_of(u, ".md").alias("path"), crawl.package_name(u).alias("name"), crawl.suggested_name(u).alias("slug"))
+    return spark.read.parquet(f"{sf}/pages.parquet").selectExpr("page_id", f"{ADDRESS} AS url").select("page_id", crawl.path_of("url", ".md").alias("path"), crawl.package_name("url").alias("name"), crawl.suggested_name("url").alias("slug"))
 
 
 BELOW_IT = "regexp_extract(url, '^[a-zA-Z]+://[^/?#]+', 0) || regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/$', '')"
 GIVEN = f"{BELOW_IT} || CASE page_id % 3 WHEN 0 THEN '/llms-full.txt' ELSE '/llms.txt' END"
 FETCHED = f"fetched AS (SELECT url, body FROM sites UNION ALL SELECT DISTINCT {GIVEN}, 'x' FROM sites WHERE page_id % 5 < 2)"
-CANDIDATES = f"cand AS (SELECT DISTINCT url, {BELOW_IT} || CASE o WHEN 0 THEN '/llms-full.txt' ELSE '/llms.txt' END AS candidate, o FROM sites, (VALUES (0), (1)) v(o)), chosen AS (SELECT url, arg_min(candidate, o) AS index_url FROM cand WHERE candidate IN (SELECT url FROM fetched WHERE trim(body) <> '') GROUP BY url)"
+#: A site's address as its user gives it.
+SAID = f"CASE WHEN page_id % 4 = 0 THEN {SHOUTED} ELSE url END"
+CANDIDATES = f"cand AS (SELECT DISTINCT {SAID} AS url, {BELOW_IT} || CASE o WHEN 0 THEN '/llms-full.txt' ELSE '/llms.txt' END AS candidate, o FROM sites, (VALUES (0), (1)) v(o)), chosen AS (SELECT url, arg_min(candidate, o) AS index_url FROM cand WHERE candidate IN (SELECT url FROM fetched WHERE trim(body) <> '') GROUP BY url)"
 
 
 def fetched(spark, sf):
@@ -822,17 +839,17 @@ def fetched(spark, sf):
 
 @query(f"WITH {SITES}, {FETCHED}, {CANDIDATES} SELECT * FROM chosen")
 def w9_chosen_index(spark, sf):
-    return crawl.chosen_index(sites(spark, sf).select("url").distinct(), fetched(spark, sf))
+    return crawl.chosen_index(sites(spark, sf).selectExpr(f"{SAID} AS url").distinct(), fetched(spark, sf))
 
 
 LINKED = f"lk AS (SELECT DISTINCT {BELOW_IT} || '/llms.txt' AS index_url, url AS doc_url FROM sites WHERE page_id % 2 = 0)"
 
 
-@query(f"WITH {SITES}, {FETCHED}, {CANDIDATES}, {LINKED} SELECT url, index_url AS doc_url, 'index' AS role FROM chosen UNION ALL SELECT c.url, lk.doc_url, 'linked' FROM chosen c JOIN lk USING (index_url) WHERE lk.doc_url IN (SELECT url FROM fetched WHERE trim(body) <> '') UNION ALL SELECT DISTINCT url, url, 'page' FROM sites WHERE url NOT IN (SELECT url FROM chosen)")
+@query(f"WITH {SITES}, {FETCHED}, {CANDIDATES}, {LINKED} SELECT url, index_url AS doc_url, 'index' AS role FROM chosen UNION ALL SELECT c.url, lk.doc_url, 'linked' FROM chosen c JOIN lk USING (index_url) WHERE lk.doc_url IN (SELECT url FROM fetched WHERE trim(body) <> '') UNION ALL SELECT DISTINCT {SAID}, {SAID}, 'page' FROM sites WHERE {SAID} NOT IN (SELECT url FROM chosen)")
 def w10_site_corpus(spark, sf):
     s = sites(spark, sf)
     found = s.filter("page_id % 2 = 0").selectExpr(f"{BELOW_IT} || '/llms.txt' AS base_url", "url")
-    return crawl.site_corpus(s.select("url").distinct(), fetched(spark, sf), found)
+    return crawl.site_corpus(s.selectExpr(f"{SAID} AS url").distinct(), fetched(spark, sf), found)
 
 
 SRC = "CASE page_id % 13 WHEN 0 THEN 'git@host.org:team/tool.git' WHEN 1 THEN 'https://github.com/team/Tool-Docs/tree/v1.2/docs' WHEN 2 THEN './packs/tool.db' WHEN 3 THEN 'some folder' WHEN 4 THEN 'https://gitlab.com/g/website_docs/' WHEN 5 THEN 'https://github.com/team/expressjs.com' WHEN 6 THEN 'https://github.com/owner/owner.github.io'"

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin, urlsplit
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from docloom.functions import urls
 from docloom.functions.text import trimmed
 
 LINKS_KEPT = 500
@@ -27,39 +24,24 @@ def index_links(docs: DataFrame) -> DataFrame:
     return out.filter(F.col("line").rlike(rule)).select("doc_id", "line_no", "section", F.trim(F.regexp_extract("line", rule, 1)).alias("title"), F.regexp_extract("line", rule, 2).alias("url"))
 
 
-@F.pandas_udf(StringType())
-def _absolute(base: pd.Series, url: pd.Series) -> pd.Series:
-    def one(b, u):
-        try:
-            full = urljoin(b, u)
-            parts = urlsplit(full)
-            _ = parts.port
-            return full if parts.scheme in ("http", "https") and parts.hostname else None
-        except (ValueError, TypeError):
-            return None
-
-    return pd.Series([one(b, u) for b, u in zip(base, url, strict=True)], dtype=object)
-
-
 def resolved(links: DataFrame) -> DataFrame:
-    """Links (base_url, url) with absolute URLs; invalid ones are dropped."""
-    return links.withColumn("url", _absolute("base_url", "url")).filter("url is not null")
-
-
-def authority(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+    """Links (base_url, url) with addresses resolved against their index's; those that the standard refuses are dropped."""
+    return links.withColumn("url", urls.joined("base_url", "url")).filter("url is not null")
 
 
 def same_host_links(links: DataFrame, limit: int = LINKS_KEPT) -> DataFrame:
-    """Links on their index's host and port: the first of each URL, at most ``limit`` an index in order."""
-    own = links.filter(authority(F.col("base_url")) == authority(F.col("url")))
+    """Resolved links on their index's host and port: the first of each URL, at most ``limit`` an index in order."""
+    own = links.filter(urls.origin_host("base_url") == urls.origin_host("url"))
     first = own.groupBy("doc_id", "url").agg(F.min(F.struct("line_no", "title")).alias("f")).select("doc_id", "url", "f.line_no", "f.title")
     return first.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy("line_no", "url"))).filter(F.col("rank") <= limit)
 
 
 def followed(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """Links with the fetched page of their URL; ok is false for missing and empty ones. Joined on a hash, then the URL."""
-    p = pages.groupBy("url").agg(F.max(F.coalesce("body", F.lit(""))).alias("body")).select(F.xxhash64("url").alias("_h"), F.col("url").alias("_url"), "body")
+    """Resolved links with the fetched page of their URL; ok is false for missing and empty ones.
+
+    Pages meet links by the final form of their URL, on a hash and then the text.
+    """
+    p = pages.withColumn("url", known_url("url")).groupBy("url").agg(F.max(F.coalesce("body", F.lit(""))).alias("body")).select(F.xxhash64("url").alias("_h"), F.col("url").alias("_url"), "body")
     out = links.join(p, (F.xxhash64("url") == F.col("_h")) & (F.col("url") == F.col("_url")), "left").drop("_h", "_url")
     return out.withColumn("ok", F.coalesce(F.trim("body") != "", F.lit(False)))
 
@@ -93,50 +75,62 @@ def triage(pages: DataFrame, article: Column | None = None) -> DataFrame:
     return pages.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull()).withColumn("kind", F.when(F.col("reason").isNull(), F.when(html, "html").otherwise("text")))
 
 
-def path_part(url: Column) -> Column:
-    """The path of a URL, at least a slash."""
-    path = F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    return F.when(path == "", "/").otherwise(path)
+def known_url(url: str) -> Column:
+    """A fetched page's URL in its final form; as it stands where it is none."""
+    return F.coalesce(urls.final_form(url), F.col(url))
 
 
-def path_of(url: Column, default_extension: str) -> Column:
+def path_of(url: str, default_extension: str) -> Column:
     """Host with its port, and path without the last slash, index for the root, with an extension where none is known."""
-    bare = F.regexp_replace(path_part(url), "/$", "")
-    path = F.when(bare == "", "/index").otherwise(bare)
-    known = path.rlike("(?i)\\.(md|mdx|html?|adoc|rst|txt)$")
-    return F.concat(authority(url), path, F.when(known, "").otherwise(default_extension))
+    bare = lambda u: urls.swapped(urls.swapped(f"{u}.path", "/$"), "^$", "/index")
+    known = lambda u: urls.matches(f"{u}.path", r"(?i)\.(md|mdx|html?|adoc|rst|txt)/?$")
+    return urls.part(url, lambda u: f"concat({u}.host, {u}.port, {bare(u)}, CASE WHEN {known(u)} THEN '' ELSE '{default_extension}' END)")
+
 
+def _bare_host(u: str) -> str:
+    return urls.swapped(f"{u}.host", r"^www\.")
 
-def package_name(url: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(authority(url), ":[0-9]+$", ""), "^www\\.", "")
 
+def package_name(url: str) -> Column:
+    return urls.part(url, _bare_host)
 
-def suggested_name(url: Column) -> Column:
+
+def suggested_name(url: str) -> Column:
     """Host, and the path as a slug after a dash."""
-    slug = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(path_part(url), "^/|/$", "")), "[^a-z0-9]+", "-"), "^-|-$", "")
-    return F.concat(package_name(url), F.when(slug == "", "").otherwise(F.concat(F.lit("-"), slug)))
+
+    def named(u: str) -> str:
+        slug = urls.swapped(urls.swapped(f"lower({u}.path)", "[^a-z0-9]+", "-"), "^-|-$")
+        return f"concat_ws('-', {_bare_host(u)}, nullif({slug}, ''))"
+
+    return urls.part(url, named)
 
 
 def index_candidates(sites: DataFrame) -> DataFrame:
     """(url, candidate, ord): a given index file itself, else the full index, then the short one, below its host and path."""
-    base = F.concat(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+", 0), F.regexp_replace(path_part(F.col("url")), "/$", ""))
-    own = path_part(F.col("url")).rlike("/llms(-full)?\\.txt$")
-    options = F.when(own, F.array("url")).otherwise(F.array(F.concat(base, F.lit("/llms-full.txt")), F.concat(base, F.lit("/llms.txt"))))
-    return sites.select("url", F.posexplode(options).alias("ord", "candidate"))
+
+    def options(u: str) -> str:
+        base = f"concat({u}.scheme, '://', {u}.host, {u}.port, {urls.swapped(f'{u}.path', '/$')})"
+        below = urls.let(base, lambda b: f"array(concat({b}, '/llms-full.txt'), concat({b}, '/llms.txt'))")
+        return urls.case((urls.matches(f"{u}.path", r"/llms(-full)?\.txt$"), "array(url)"), other=below)
+
+    return sites.select("url", F.posexplode(urls.part("url", options)).alias("ord", "candidate"))
 
 
 def chosen_index(sites: DataFrame, pages: DataFrame) -> DataFrame:
-    """(url, index_url): the first candidate that has content."""
-    have = pages.filter(F.trim("body") != "").select(F.col("url").alias("candidate")).distinct()
-    return index_candidates(sites).join(have, "candidate").groupBy("url").agg(F.min_by("candidate", "ord").alias("index_url"))
+    """(url, index_url): the first candidate that has content; pages are known by the final form of their URL."""
+    have = pages.filter(F.trim("body") != "").select(known_url("url").alias("known")).distinct()
+    asked = index_candidates(sites).withColumn("known", known_url("candidate"))
+    return asked.join(have, "known").groupBy("url").agg(F.min_by("candidate", "ord").alias("index_url"))
 
 
 def site_corpus(sites: DataFrame, pages: DataFrame, links: DataFrame) -> DataFrame:
     """(url, doc_url, role): the index document and what its links give (a full index is not followed), else the page."""
     index = chosen_index(sites, pages)
     top = index.select("url", F.col("index_url").alias("doc_url"), F.lit("index").alias("role"))
-    have = pages.filter(F.trim("body") != "").select(F.col("url").alias("doc_url")).distinct()
-    below = index.filter(~F.col("index_url").endswith("llms-full.txt")).join(links.select(F.col("base_url").alias("index_url"), F.col("url").alias("doc_url")).distinct(), "index_url").join(have, "doc_url", "left_semi").select("url", "doc_url", F.lit("linked").alias("role"))
+    have = pages.filter(F.trim("body") != "").select(known_url("url").alias("known")).distinct()
+    given = links.select(known_url("base_url").alias("from_url"), F.col("url").alias("doc_url"), known_url("url").alias("known")).distinct()
+    below = index.filter(~F.col("index_url").endswith("llms-full.txt")).withColumn("from_url", known_url("index_url")).join(given, "from_url")
+    below = below.join(have, "known", "left_semi").select("url", "doc_url", F.lit("linked").alias("role"))
     single = sites.select("url").distinct().join(index, "url", "left_anti").select("url", F.col("url").alias("doc_url"), F.lit("page").alias("role"))
     return top.unionByName(below).unionByName(single)
 

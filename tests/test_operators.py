@@ -147,14 +147,25 @@ def test_repositories(spark):
 
 def test_names_and_paths_of_urls(spark):
     slugs = {"https://overreacted.io/": "overreacted.io", "https://overreacted.io/things-i-dont-know-as-of-2018/": "overreacted.io-things-i-dont-know-as-of-2018", "https://www.example.com/article/hello-world": "example.com-article-hello-world", "https://site.com/a_b.c/d+e": "site.com-a-b-c-d-e"}
-    assert one_column(spark, slugs, crawl.suggested_name) == slugs
+    assert one_column(spark, slugs, lambda _: crawl.suggested_name("v")) == slugs
     paths = {"https://x.org:8443/a/b/": "x.org:8443/a/b.md", "https://x.org": "x.org/index.md", "https://x.org/g.TXT": "x.org/g.TXT", "https://x.org/p.htm?q": "x.org/p.htm"}
-    assert one_column(spark, paths, lambda u: crawl.path_of(u, ".md")) == paths
+    assert one_column(spark, paths, lambda _: crawl.path_of("v", ".md")) == paths
     sites = spark.createDataFrame([("https://www.prisma.io/docs",), ("https://a.com/",), ("https://mui.com/x/llms.txt",)], "url string")
     got = sorted((r.url, r.ord, r.candidate) for r in crawl.index_candidates(sites).collect())
     assert [c for *_, c in got] == ["https://a.com/llms-full.txt", "https://a.com/llms.txt", "https://mui.com/x/llms.txt", "https://www.prisma.io/docs/llms-full.txt", "https://www.prisma.io/docs/llms.txt"]
 
 
+def test_links_of_one_host_in_other_words(spark):
+    """Ports, users, case and dot segments don't hide that a link stays on its index's host, nor a page from its link."""
+    base = "https://h.org/llms.txt"
+    raw = ["https://h.org:443/a", "https://u@h.org/b", "https://H.ORG/f/../g", "./g", "https://h.org:8443/c", "http://h.org:443/d", "//h.org:99999/"]
+    links = spark.createDataFrame([(1, i, "t", base, u) for i, u in enumerate(raw)], "doc_id int, line_no int, title string, base_url string, url string")
+    found = crawl.resolved(links)
+    assert [r.url for r in crawl.same_host_links(found).orderBy("rank").collect()] == ["https://h.org/a", "https://u@h.org/b", "https://h.org/g"]
+    pages = spark.createDataFrame([("HTTPS://h.org:443/x/../g", "text"), ("https://h.org/a", " ")], "url string, body string")
+    assert {r.line_no: r.ok for r in crawl.followed(found, pages).collect()} == {0: False, 1: False, 2: True, 3: True, 4: False, 5: False}
+
+
 def test_triage(spark):
     html = "<HTML lang=en><body><article><p>Enough words to read here.</p></article></body></html>"
     rows = [(200, None, html, "html"), (200, "text/plain", html, "text"), (200, "application/zip", "PK", "text"), (200, "font/woff2", "x", "text"), (200, "Image/PNG", "x", "binary"), (200, "application/pdf; x", "x", "binary"), (503, None, "x", "HTTP 503"), (200, "text/html", " \n", "empty"), (200, "application/xhtml+xml", html, "html"), (200, "text/html", None, "empty")]
