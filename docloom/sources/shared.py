@@ -28,3 +28,26 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     """The rows written as Parquet and read again."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    store, place = _place(spark, path)
+    return sorted(x.getPath().getName() for x in store.listStatus(place)) if store.exists(place) else []
+
+
+def renamed(spark: SparkSession, old: str, new: str) -> bool:
+    """Whether the folder could be given its new name, which must be free."""
+    store, place = _place(spark, old)
+    target = spark._jvm.org.apache.hadoop.fs.Path(new)
+    return not store.exists(target) and store.rename(place, target)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    store, place = _place(spark, path)
+    store.delete(place, True)
