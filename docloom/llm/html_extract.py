@@ -4,7 +4,9 @@ A page is read into text blocks. A linear classifier on a block's text, links, e
 log-odds of being content; elements that say what they hold (article, nav and the like) add stated ones. The log-odds
 are the costs of dropping or of keeping a block: capacities from the source and to the sink. Neighbouring blocks are
 tied by smoothness edges, the more the closer they are in the document tree, and so are the blocks of one parent. The
-source side of a minimum cut is the content.
+source side of a minimum cut is the content. Inside an article all blocks are content (tables, lists of links, short
+lines) but those of elements, roles and classes that are chrome by themselves; names that may as well be topics, and ids
+of sections, which are targets of links, don't count there. A page is read in time linear in its length.
 
 The classifier's weights are fitted on the blocks of at most ``SAMPLE_PAGES`` pages (those with the lowest hashes of
 their ids), whose labels come from elements that say what they hold; these elements are no features, so the weights are
@@ -22,6 +24,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +50,13 @@ subscribe subscription newsletter signup signin login popup modal overlay widget
 GOOD = frozenset("article post entry story main content body text prose markdown".split())
 CARRIER = frozenset("list lists container wrapper wrap inner outer box boxes area block blocks section item items link links bar slot unit content body text title row col column panel group holder zone btn button buttons main left right top bottom primary secondary sticky mobile desktop global site page".split())
 TEASER = frozenset("related recommended recommendation recommendations sponsored sponsor popular trending promoted".split())
-# Stated log-odds of elements, and how far the fitted part may go.
-IN_ARTICLE, IN_CHROME, FITTED_UP_TO = 0.5, -6.0, 3.0
+#: What such a teaser is made of, and the names that mark chrome inside an article, too.
+TEASED = frozenset("post posts article articles story stories news read reading reads product products page pages topic topics video videos".split())
+STRONG = frozenset("""nav navbar navigation topnav menu menus submenu sidebar sidebars footer footers banner banners cookie cookies consent gdpr notice notices notification notifications
+ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsors sponsored promo promos promotion comment comments commentlist commenting disqus
+share sharing shares related recommended recommendation recommendations breadcrumb breadcrumbs pagination pager paging subscribe subscription newsletter signup signin login popup modal overlay""".split())
+# Stated log-odds of elements, and how far the fitted part may go. Neighbours can't outweigh what an article says.
+IN_ARTICLE, IN_CHROME, FITTED_UP_TO = 8.0, -8.0, 3.0
 NEAR, CLOSE, SIBLING = 0.4, 1.2, 0.4
 SAMPLE_PAGES, SAMPLE_BLOCKS, BATCH_BYTES = 400, 200, 4 << 20
 FEATURES = ("bias", "length", "linked", "stops", "sentence", "prose", "heading", "cell", "few_words", "rights", "bad_name", "good_name")
@@ -56,47 +64,106 @@ STATED = np.array([-0.5, 1.2, -3.0, 0.5, 0.8, 0.8, 0.4, -0.3, -0.5, -3.0, -6.0,
 DRAWN = np.array([0.02, 0.02, 0.02, 0.02, 0.02, 0.02, 0.05, 0.05, 0.02, 0.05, 1.0, 0.05])
 
 
+def _heads(name: str) -> tuple[list[str], list[str]]:
+    parts = [p for p in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if p]
+    return parts, [p for p in parts if p not in CARRIER]
+
+
 def name_kind(name: str) -> int:
     """-1 for a class or id that names what surrounds an article, 1 for one that names the article, else 0.
 
     The last word that isn't a mere carrier decides (``comment-list``, ``site-header``, but not ``search-algorithms``),
-    or a first one that marks a teaser (``related-posts``); the header of a post is a part of it.
+    or a first one that marks a teaser (``related-posts``, but not ``popular-science``); the header of a post is a part of it.
     """
-    parts = [p for p in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if p]
-    heads = [p for p in parts if p not in CARRIER]
+    parts, heads = _heads(name)
     if not heads:
         return int(any(p in GOOD for p in parts))
-    if heads[0] in TEASER:
+    if heads[0] in TEASER and all(p in TEASED or p in TEASER for p in heads[1:]):
         return -1
     if heads[-1] in BAD:
         return 0 if heads[-1] in ("header", "headers") and any(p in GOOD or p in ("page", "section", "title") for p in parts) else -1
     return int(heads[-1] in GOOD)
 
 
+def chrome_anywhere(name: str) -> bool:
+    """Whether a name of kind -1 marks chrome inside an article as well."""
+    _, heads = _heads(name)
+    return bool(heads) and (heads[-1] in STRONG or heads[0] in STRONG & TEASER) and name_kind(name) < 0
+
+
+class Open(NamedTuple):
+    """An open element with what holds inside it; ``block``, ``parent``, ``kind`` and ``depth`` are of the nearest block element."""
+
+    tag: str
+    unseen: bool
+    article: int
+    chrome: int
+    bad: int
+    strong: int
+    good: int
+    kind: str
+    block: int
+    parent: int
+    depth: int
+
+
+#: End tags of other elements don't reach beyond one of these; some close whatever stands in between.
+FLOORS = ("article", "main", "body", "table", "nav", "footer", "aside")
+CLOSES_ALL = frozenset("article main body html nav footer aside div section".split())
+ROOT = Open("", False, 0, 0, 0, 0, 0, "", 0, 0, 0)
+Block = tuple[str, list[float], float, int | None, tuple[int, int, int]]
+
+
 class Reader(HTMLParser):
-    """Collects blocks: (text, features, stated log-odds, label or None, path of element numbers)."""
+    """Collects blocks: (text, features, stated log-odds, label or None, place in the tree).
+
+    A place is the depth, the depth shared with the block before, and the parent's number. For each tag the places of
+    its open elements are known, so that an end tag without a start costs nothing.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, int, int, int, int]] = []  # tag, number, in article, in chrome, bad names, good names
-        self.unseen, self.number, self.links = 0, 0, 0
+        self.stack: list[Open] = []
+        self.places: dict[str, list[int]] = {}
+        self.unseen, self.number, self.links, self.lowest = 0, 0, 0, 0
+        self.endless, self.scanned, self.last_end = False, "", -1
         self.parts: list[str] = []
         self.linked = 0
-        self.blocks: list[tuple[str, list[float], float, int | None, tuple[int, ...]]] = []
+        self.blocks: list[Block] = []
+
+    def top(self) -> Open:
+        return self.stack[-1] if self.stack else ROOT
 
     def flush(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            path = [e for e in self.stack if e[0] not in INLINE]
-            tag, _, article, chrome, bad, good = path[-1] if path else ("", 0, 0, 0, 0, 0)
+            e = self.top()
+            bad = e.strong if e.article else e.bad
             words = text.count(" ") + 1
             stops = sum(map(text.count, ".,;:!?")) / words
             rights = len(text) < 160 and ("©" in text or text.lower().startswith(("copyright", "all rights")))
-            found = [1.0, min(2.0, math.log1p(len(text)) / 3), min(1.0, self.linked / len(text)), min(1.0, 4 * stops), text[-1] in ".!?…:\"'”»)", tag in PROSE, tag in HEADINGS, tag in CELLS, words < 5, rights, bad > 0, good > 0 and not bad]
-            label = 0 if chrome else 1 if article and not bad else None
-            self.blocks.append((text, [float(x) for x in found], IN_ARTICLE * (article > 0) + IN_CHROME * (chrome > 0), label, tuple(e[1] for e in path)))
+            found = [1.0, min(2.0, math.log1p(len(text)) / 3), min(1.0, self.linked / len(text)), min(1.0, 4 * stops), text[-1] in ".!?…:\"'”»)", e.kind in PROSE, e.kind in HEADINGS, e.kind in CELLS, words < 5, rights, bad > 0, e.good > 0 and not bad]
+            label = 0 if e.chrome else 1 if e.article and not bad else None
+            stated = IN_CHROME if e.chrome or e.article and bad else IN_ARTICLE if e.article else 0.0
+            self.blocks.append((text, [float(x) for x in found], stated, label, (e.depth, min(self.lowest, e.depth), e.parent)))
+            self.lowest = e.depth
         self.parts, self.linked = [], 0
 
+    def enter(self, e: Open) -> None:
+        self.places.setdefault(e.tag, []).append(len(self.stack))
+        self.stack.append(e)
+        self.unseen += e.unseen
+        self.links += e.tag == "a"
+
+    def leave(self, place: int) -> None:
+        """Close all elements from a place of the stack on."""
+        while len(self.stack) > place:
+            e = self.stack.pop()
+            self.places[e.tag].pop()
+            self.unseen -= e.unseen
+            self.links -= e.tag == "a"
+        self.lowest = min(self.lowest, self.top().depth)
+
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
             if tag in UNSEEN:
@@ -105,51 +172,59 @@ class Reader(HTMLParser):
             if tag == "hr":
                 self.flush()
             return
-        named = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "style", "aria-hidden")}
-        gone = tag in UNSEEN or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
+        named = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "style", "aria-hidden")} if attrs else {}
+        gone = tag in UNSEEN or named and ( "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", ""))
         if not gone and tag not in INLINE and not self.unseen:
             self.flush()
-            if any(e[0] == "p" for e in self.stack[-6:]):
-                self.leave("p", self.stack[-6:])
-            if tag in ("li", "td", "th", "tr", "dd", "dt", "option") and self.stack and self.stack[-1][0] == tag:
-                self.leave(tag, self.stack[-1:])
-        _, _, article, chrome, bad, good = self.stack[-1] if self.stack else ("", 0, 0, 0, 0, 0)
+            if self.places.get("p") and self.places["p"][-1] >= len(self.stack) - 6:
+                self.leave(self.places["p"][-1])
+            if tag in ("li", "td", "th", "tr", "dd", "dt", "option") and self.top().tag == tag:
+                self.leave(len(self.stack) - 1)
+        up = self.top()
         role = named.get("role", "")
+        article, chrome = up.article, up.chrome
         if tag in ("article", "main") or role in ("main", "article"):
             article += 1
         elif tag in CHROME or tag == "header" and not article or role in ROLES:
             chrome += 1
-        names = named.get("class", "").split() + ([] if tag in PROSE or tag in HEADINGS else named.get("id", "").split())
-        kinds = [name_kind(x) for x in names] if tag not in ("html", "body") else []
-        bad, good = bad + (min(kinds, default=0) < 0), good + (max(kinds, default=0) > 0)
+        bad, strong, good = up.bad, up.strong, up.good
+        classes = named.get("class", "").split()
+        ids = [] if tag in PROSE or tag in HEADINGS else named.get("id", "").split()
+        if (classes or ids) and tag not in ("html", "body"):
+            kinds = [name_kind(x) for x in classes + ids]
+            bad, good = bad + (min(kinds) < 0), good + (max(kinds) > 0)
+            strong += bad > up.bad and any(map(chrome_anywhere, classes + (ids if tag != "section" or not up.article else [])))
         self.number += 1
-        self.stack.append((f"{tag} unseen" if gone else tag, self.number, article, chrome, bad, good))
-        self.unseen += gone
-        self.links += tag == "a"
+        own = (up.kind, up.block, up.parent, up.depth) if tag in INLINE else (tag, self.number, up.block, up.depth + 1)
+        self.enter(Open(tag, bool(gone), article, chrome, bad, strong, good, *own))
+
+    def parse_comment(self, i, report=1):
+        """As the parser does, but a search for an end that isn't there is made once."""
+        if self.endless:
+            return -1
+        k = HTMLParser.parse_comment(self, i, report)
+        self.endless = k < 0
+        return k
+
+    def check_for_whole_start_tag(self, i):
+        """As the parser does, but nothing is scanned behind the last end of a tag."""
+        if self.scanned is not self.rawdata:
+            self.scanned, self.last_end = self.rawdata, self.rawdata.rfind(">")
+        return HTMLParser.check_for_whole_start_tag(self, i) if i < self.last_end else -1
 
     def finish(self):
         HTMLParser.close(self)
         self.flush()
 
-    def leave(self, tag, within):
-        while self.stack and any(e[0].split()[0] == tag for e in within):
-            gone = self.stack.pop()
-            self.unseen -= gone[0].endswith(" unseen")
-            self.links -= gone[0].split()[0] == "a"
-            if gone[0].split()[0] == tag:
-                return
-
     def handle_endtag(self, tag):
         if tag in VOID:
             return
         if tag not in INLINE and not self.unseen:
             self.flush()
-        tags = [e[0].split()[0] for e in self.stack]
-        if tag in tags:
-            floor = max((k for k, t in enumerate(tags) if t in ("article", "main", "body", "table", "nav", "footer", "aside")), default=-1)
-            own = len(tags) - 1 - tags[::-1].index(tag)
-            if own >= floor or tag in ("article", "main", "body", "html", "nav", "footer", "aside", "div", "section"):
-                self.leave(tag, self.stack[own:])
+        if self.places.get(tag):
+            own = self.places[tag][-1]
+            if tag in CLOSES_ALL or own >= max((self.places[t][-1] for t in FLOORS if self.places.get(t)), default=-1):
+                self.leave(own)
 
     def handle_data(self, data):
         if not self.unseen:
@@ -158,7 +233,7 @@ class Reader(HTMLParser):
                 self.linked += len(data)
 
 
-def read(html: str | None) -> list[tuple[str, list[float], float, int | None, tuple[int, ...]]]:
+def read(html: str | None) -> list[Block]:
     reader = Reader()
     reader.feed(html or "")
     reader.finish()
@@ -219,19 +294,13 @@ def min_cut(scores: list[float], edges: dict[tuple[int, int], float]) -> list[bo
     return [bool(k) for k in kept]
 
 
-def ties(paths: list[tuple[int, ...]]) -> dict[tuple[int, int], float]:
-    """Smoothness edges of blocks by their paths in the document tree."""
+def ties(places: list[tuple[int, int, int]]) -> dict[tuple[int, int], float]:
+    """Smoothness edges of blocks by their places in the document tree."""
     edges: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
-    for k, path in enumerate(paths):
+    for k, (depth, common, parent) in enumerate(places):
         if k:
-            common = 0
-            for a, b in zip(path, paths[k - 1], strict=False):
-                if a != b:
-                    break
-                common += 1
-            edges[k - 1, k] = NEAR + CLOSE / (1 + max(0, len(path) + len(paths[k - 1]) - 2 * common - 2))
-        parent = path[-2] if len(path) > 1 else 0
+            edges[k - 1, k] = NEAR + CLOSE / (1 + max(0, depth + places[k - 1][0] - 2 * common - 2))
         if parent in last:
             edges[last[parent], k] = edges.get((last[parent], k), 0.0) + SIBLING
         last[parent] = k

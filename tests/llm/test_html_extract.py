@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -91,3 +92,75 @@ def test_rows(spark):
     assert sorted(r.n_chars for r in got) == [0, 110, 110, 5999]
     assert H.extract_pages(df.limit(0)).count() == 0
     assert H.train(df).shape == H.STATED.shape and (H.train(df.limit(0)) == H.STATED).all()
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<article><h1>Prices</h1><table><tr><th>Item</th><th>Price</th></tr><tr><td>Apple</td><td>10</td></tr></table></article>", "Prices Item Price Apple 10"),
+    ("<article><h1>Links</h1><ul><li><a href='/1'>First link item</a></li><li><a href='/2'>Second</a></li><li><a href='/3'>Third</a></li></ul></article>", "Links First link item Second Third"),
+    ("<article><h2>Author</h2><p>Copyright law is old.</p><p>So.</p><p>Oh</p></article>", "Author Copyright law is old. So. Oh"),
+    (f"<article><div class='legal'><p>{LONG}</p></div><section id='notice'><p>Short.</p></section><div class='popular-science'>Yes</div></article>", f"{LONG} Short. Yes"),
+    (f"<article class='social'><p>{LONG}</p></article>", LONG),
+    (f"<div class='widget'><main><p>{LONG}</p></main></div>", LONG),
+    (f"<article><p>{LONG}</p><article class='comment'><p>{LONG}</p></article><div class='share-links'>Tell a friend</div><footer>By me</footer></article>", LONG),
+])
+def test_articles_are_kept_whole(page, text):
+    assert H.extract(page) == text
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_generated_pages(seed):
+    """Articles of all kinds of blocks among all kinds of chrome: the text is the article's, block for block."""
+    rng = random.Random(seed)
+    words = "copyright legal notice social note item the of and price law search 12 7.5 & © share".split()
+    said = []
+
+    def line(n):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(1, n))) + rng.choice(["", ".", "!", ":"])
+        return text, text.replace("&", "&amp;")
+
+    def own(n=9):
+        text, html = line(n)
+        said.append(text)
+        return html
+
+    def block():
+        kind = rng.randrange(9)
+        if kind == 0:
+            return "<table>" + "".join("<tr>" + "".join(f"<td>{own(4)}</td>" for _ in range(rng.randrange(1, 4))) + "</tr>" for _ in range(rng.randrange(1, 4))) + "</table>"
+        if kind == 1:
+            return "<ul>" + "".join(f"<li><a href='/x'>{own(5)}</a></li>" for _ in range(rng.randrange(1, 6))) + "</ul>"
+        if kind == 2:
+            return f"<h2 id='comments'>{own(4)}</h2>"
+        if kind == 3:
+            return f"<div class='{rng.choice(['legal', 'popular-science', 'social', 'search-results', 'note', 'copyright'])}'><p>{own(30)}</p></div>"
+        if kind == 4:
+            return f"<dl><dt>{own(3)}<dd>{own(12)}</dl>"
+        if kind == 5:
+            return f"<section id='{rng.choice(['notice', 'share', 'x', 'related'])}'><p>{own(20)}</p></section>"
+        if kind == 6:
+            return f"<figure><img src=x><figcaption>{own(7)}</figcaption></figure><pre><code>{own(6)}</code></pre>"
+        return f"<p>{own(60)}</p>"
+
+    def chrome():
+        text = line(40)[1]
+        return rng.choice(["<nav><ul><li><a href='/'>%s</a></li></ul></nav>", "<aside><p>%s</p></aside>", "<div class='advert'><p>%s</p></div>", "<form><label>%s</label><input></form>", "<script>%s</script>", "<div class='cookie-notice'>%s</div>", "<div role='navigation'>%s</div>", "<footer><p>%s</p></footer>", "<div class='share-buttons'><span>%s</span></div>", "<section class='comments'><article class='comment'><p>%s</p></article></section>", "<div class='related-posts'><a href='/y'>%s</a></div>"]) % text
+
+    body = []
+    for _ in range(rng.randrange(1, 25)):
+        body.append(block())
+        if rng.random() < 0.3:
+            body.append(chrome())
+    around = [chrome() for _ in range(6)]
+    root = rng.choice(["article", "main"])
+    page = f"<html><body><header>Site</header>{''.join(around[:3])}<{root}>{''.join(body)}</{root}>{''.join(around[3:])}</body></html>"
+    assert H.extract(page) == " ".join(said)
+
+
+@pytest.mark.parametrize("page", [
+    "<span>" * 80_000 + "</div>" * 80_000, "<div>x" * 170_000, "<p>a" * 200_000, "<li><table>" + "</li>" * 180_000, "<b>" * 100_000 + "x</i>" * 100_000, "<div><span>" * 90_000 + "</p>" * 1000, "<script " * 120_000, "<!--" * 200_000, "<" * 900_000,
+    "<ul>" + "<li><a href=x>b c" * 60_000, "<article>" + "<div class=ad>x</div><p>y" * 40_000,
+])
+def test_hostile_pages_are_read_in_linear_time(page):
+    began = time.thread_time()
+    H.extract(page)
+    assert time.thread_time() - began < 20
