@@ -1,7 +1,8 @@
 """Secret scans: candidates by a pattern, false positives removed by a random forest, with built-in functions only.
 
-A text's candidates are private key blocks over many lines, runs of 16 or more key-like characters, values of any
-length and alphabet after a naming word and = or :, and passwords in connection URLs. A named value without quotes goes
+A text's candidates are private key blocks over many lines, runs of 16 or more key-like characters (those joined by dots as
+one), values of any length and alphabet after a naming word and = or :, and passwords in connection URLs, whatever the
+length of names and users and the number of blanks. Named values are marked first, runs in what is left. A named value without quotes goes
 on to the next white space, one in quotes to the quote that closes it. The texts are scanned once; candidates with the
 text on both sides are a small table, and all else works on that table.
 
@@ -36,20 +37,25 @@ BROADCAST_TEXTS = 500_000
 FEATURES = ("length", "changes", "digits", "capitals", "covered", "path", "keyword", "quoted", "hex", "distinct", "neighbours")
 SURROUNDINGS = ("keyword", "quoted", "neighbours")
 # Words that name a secret or a harmless digest, formats of known issuers.
-NAMING = "token(?!s|iz)|secret(?!ar)|passw|pwd|api.?key|access.?key|private.?key|auth(?!or(?!i))|bearer|credential"
+NAMING = "token(?!s|iz)|secret(?!ar)|passw|passphrase|(?<![a-z])pass(?![a-z])|pwd|api.?key|access.?key|private.?key|auth(?!or(?!i))|bearer|credential"
 HARMLESS = "commit|sha1|sha256|md5|checksum|digest|uuid|etag|revision|hash|isbn|phone|order"
 FORMATS = "^(AKIA[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|-----BEGIN [\\s\\S]*)$"
 # Values that stand for one given elsewhere, or for none.
 EMPTY = "^(?i:none|null|nil|true|false|undefined)$|^\\$\\{?\\w+\\}?$|^\\*+$|^\\[secret"
 PLAIN = "^\\p{L}+$|^[0-9]+$|^[^A-Za-z0-9]+$"
-# Candidates. The short look back to = or : keeps the long one from running at every character.
+# Candidates. A naming word is found first, from the start of the name it stands in, then the value after any run of name
+# characters and blanks; the second and fourth groups lead to a value, the others are values.
 BLOCK = "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\\s:,\\-]*?-----END [A-Z ]{0,20}PRIVATE KEY-----"
-NAMED = f"(?<=[=:>\\s\"'`])(?<=[=:]>?\\s{{0,2}}[\"'`]?|(?i:bearer|basic)\\s)(?<=(?i:{NAMING})[\\w.\\-]{{0,20}}[\"'`\\]]{{0,2}}\\s{{0,2}}[=:]{{1,2}}>?\\s{{0,2}}(?i:(?:bearer|basic)\\s)?[\"'`]?)"
+LEAD = f"(?<![\\w.\\-])[\\w.\\-]*?(?i:{NAMING})[\\w.\\-]*[\"'`\\]]*\\s*[=:]{{1,2}}>?\\s*(?i:(?:bearer|basic)\\s+)?[\"'`]?"
 IN_QUOTES = "|".join(f"(?<={q})[^{q}\\n]+(?={q})" for q in "\"'`")
 BARE = "(?<![\"'`])[^\\s\"'`=:>](?:\\S*[^\\s,;.)\\]}\"'`])?"
-IN_URL = "(?<=:)(?<=://[^\\s/:@]{0,50}:)[^\\s/]+(?=@)"
-RUN = "[A-Za-z0-9+/_\\-]{16,}={0,2}(?![A-Za-z0-9+/_\\-])"
-CANDIDATE = f"{BLOCK}|{NAMED}(?:{IN_QUOTES}|{BARE})|{IN_URL}|{RUN}"
+URL_LEAD, IN_URL = "://[^\\s/:@]*:", "[^\\s/]+(?=@)"
+KEY = "[A-Za-z0-9+/_\\-]"
+NAMED = f"({BLOCK})|({LEAD})({IN_QUOTES}|{BARE})|({URL_LEAD})({IN_URL})"
+#: Ends of values are marked by this code point, which no text should hold, and a 1; where a text holds it, a 0 follows.
+MARK = "\uffff"
+#: A run, where it isn't within a marked value; a long name of a value is a run of its own.
+RUN = f"({MARK}1[\\s\\S]*?{MARK}1)|({KEY}{{16,}}(?:\\.{KEY}{{16,}})*={{0,2}}(?!{KEY}|{MARK}1))"
 # Candidates before one that can reach into the 60 characters before it: a named one takes 5 with its name, a run 16.
 REACH = 12
 #: (before, value, after, label) of stated findings.
@@ -196,8 +202,21 @@ def fit(rows: list[tuple], trees: int = TREES, depth: int = DEPTH) -> Forest:
 
 
 def _pieces(text: Column) -> tuple[Column, Column]:
-    """A text's candidates, and the texts between them."""
-    return F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
+    """A text's candidates, and the texts between them, with what leads to a value."""
+    end, run = f"{MARK}1", f"{MARK}2"
+    named = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(f"{MARK}0")), NAMED, f"$2$4{end}$1$3$5{end}")
+    both = F.replace(F.regexp_replace(named, RUN, f"$1{run}$2{run}"), F.lit(run + run), F.lit(""))
+    marked = F.replace(both, F.lit(run), F.lit(end))
+    parts = F.transform(F.split(marked, end, -1), lambda x: F.replace(x, F.lit(f"{MARK}0"), F.lit(MARK)))
+    return F.filter(parts, lambda _, i: i % 2 == 1), F.filter(parts, lambda _, i: i % 2 == 0)
+
+
+def _near(before: Column) -> Column:
+    """The 60 characters before a value. Three or more blanks count as one; of a long name that leads to the value its naming
+    word stays, and nothing of a long user in a URL."""
+    end = "[\"'`\\]]*\\s{0,2}[=:]{1,2}>?\\s{0,2}(?:(?i:bearer|basic)\\s+)?[\"'`]?$"
+    short = F.regexp_replace(F.regexp_replace(before, "\\s{3,}", " "), f"((?i:{NAMING}))[\\w.\\-]{{21,}}(?={end})", "$1")
+    return F.substring(F.regexp_replace(short, "://[^\\s/:@]{21,}:$", "://:"), -60, 60)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -207,7 +226,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     first = lambda i: F.greatest(i - REACH, F.lit(0))
     pieces = lambda i: F.zip_with(F.slice("gaps", first(i) + 1, i - first(i)), F.slice("vals", first(i) + 1, i - first(i)), lambda g, v: F.concat(g, v))
     whole = lambda i: F.when((i == 0) | (F.length(F.get("gaps", i)) >= 60), F.get("gaps", i)).otherwise(F.concat(F.array_join(pieces(i), ""), F.get("gaps", i)))
-    around = lambda v, i: F.struct(v.alias("value"), F.substring(whole(i), -60, 60).alias("before"), F.substring(F.get("gaps", i + 1), 1, 20).alias("after"))
+    around = lambda v, i: F.struct(v.alias("value"), _near(whole(i)).alias("before"), F.substring(F.get("gaps", i + 1), 1, 20).alias("after"))
     return split.select("doc_id", "text_key", F.posexplode(F.transform("vals", around)).alias("i", "c")).select("doc_id", "text_key", "i", "c.*")
 
 

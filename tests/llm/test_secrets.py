@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from docloom.llm import secrets as S
@@ -112,3 +114,42 @@ def test_clashing_columns_and_copies(spark):
     got = S.redact(docs, found, S.train(docs, found))
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 'token = "[secret]"', "a", 1)] * 2 + [(2, None, "b", 2)], key=str)
+
+
+PROBES = [
+    ("password_for_the_production_database = hunter2", "hunter2"), ("password:" + " " * 90 + "hunter2", "hunter2"), ("the " + "long_" * 30 + "api_key_of_" + "x" * 90 + " = q7!x", "q7!x"), ("postgres://" + "u" * 60 + ":s3cr%t@db/x", "s3cr%t"),
+    ("pass='a b c' and", "a b c"), ("jwt eyJhbGciOiJIUzI1NiIsInR5cCI6.eyJzdWIiOiIxMjM0NTY3ODkw.SflKxwRJSMeKKF2QT4fwpMeJf36P done", "eyJhbGciOiJIUzI1NiIsInR5cCI6.eyJzdWIiOiIxMjM0NTY3ODkw.SflKxwRJSMeKKF2QT4fwpMeJf36P"),
+    ("aws_secret_access_key=wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY", "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY"), ("\uffff1 token: 'x\uffff0y z'", "x\uffff0y z"),
+]
+
+
+def test_values_behind_any_name_are_masked(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PROBES)] + [(100, None), (101, ""), (102, "compass = north, bypass: road, the passage")], "doc_id long, text string")
+    found = S.candidates(docs)
+    got = {(r.doc_id, r.value) for r in found.collect()}
+    assert {(i, v) for i, (_, v) in enumerate(PROBES)} <= got and not any(d >= 100 for d, _ in got)
+    clean = {r.doc_id: r.text for r in S.redact(docs, found, S.train(docs, found)).collect()}
+    assert [clean[i] for i, _ in enumerate(PROBES)] == [t.replace(v, S.MASK) for t, v in PROBES]
+
+
+def test_candidates_against_a_plain_scanner(spark):
+    """Pieces of every kind strung together: each value is found once, at its place, and nothing of the text is lost."""
+    rng = random.Random(8)
+    rows, want = [], []
+    for i in range(300):
+        text = ""
+        values = []
+        for _ in range(rng.randrange(6)):
+            value = "".join(rng.choice("abcXYZ0189%$!") for _ in range(rng.randrange(3, 12))) + "q"
+            run = "".join(rng.choice("abcXYZ0189") for _ in range(rng.randrange(16, 40)))
+            lead, tail, v = rng.choice([("my_password" + rng.choice(["", "_x", ".y-z"]) + rng.choice(["=", ": ", "   =  ", "\n:\n"]), "", value), ("'api_key' => '", "'", value + " " + value), ("secret_" * 9 + '="', '"', value), ("https://me:", "@h/", value.replace("%", "")), ("", "", run), ("", "", run + "." + run), ("Authorization: Bearer ", "", value)])
+            text += rng.choice(["words and more ", "x, ", "", "the end. "]) + " " + lead + v + tail + " "
+            values += [lead[:64]] if lead.startswith("secret_" * 9) else []
+            values.append(v)
+        rows.append((i, text))
+        want.append(values)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in S.candidates(docs).orderBy("doc_id", "i").collect():
+        got.setdefault(r.doc_id, []).append(r.value)
+    assert [got.get(i, []) for i in range(300)] == want
