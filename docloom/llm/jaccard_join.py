@@ -10,7 +10,9 @@ below 64 elements take each element as a segment by itself. A set that can't rea
 goes against all documents in blocks.
 
 Sets with equal elements are one node from the start. Listed values meet in buckets, whose number follows the
-data; a row there holds the values of one slice of documents for one bucket, so there are never more rows than values. Candidates are verified exactly on
+data; a row there holds the values of one slice of documents for one bucket, so there are never more rows than values.
+A value that more than ``PAIRS_UP_TO`` sets of a slice share is frequent everywhere: one of them stands in its bucket, all
+of them are gathered in further buckets chosen by the slice, so that no bucket grows with a value's sets. Candidates are verified exactly on
 their shingles: first one for each node, then for each node the nearest in another component, then all candidates
 that still lie in two components, so that a large group of near copies never makes all its pairs.
 
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,8 @@ BLOCK_BYTES = 8 << 20
 #: So many rows of ids or pairs may be broadcast (32 MB at most); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 ASKS, GUEST = 1 << 14, 1 << 15
+#: In a bucket the second flag says that more sets share the value than meet in pairs.
+MANY = GUEST
 
 
 def most_apart(s: np.ndarray) -> np.ndarray:
@@ -208,11 +213,27 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node binary, histogram binary")
 
 
+def frequent(text: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of one slice's values: which rows belong to values that more than ``PAIRS_UP_TO`` sets share, and the first row of each such value."""
+    order = np.lexsort((text, value))
+    value, text = value[order], text[order] & (ASKS - 1)
+    new = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else np.zeros(0, bool)
+    runs = np.flatnonzero(new)
+    other = new | np.concatenate([[True], text[1:] != text[:-1]]) if len(value) else new
+    sets = np.add.reduceat(other.astype(np.int64), runs) if len(runs) else runs
+    many, stands = np.zeros(len(value), bool), np.zeros(len(value), bool)
+    many[order] = np.repeat(sets > PAIRS_UP_TO, np.diff(np.append(runs, len(value))))
+    stands[order[runs[sets > PAIRS_UP_TO]]] = True
+    return many, stands
+
+
 def listed(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, vals, texts, nodes, sizes): the values of one slice for one bucket; without texts, a set that goes against all."""
+    """(bucket, vals, texts, nodes, sizes): the values of one slice for one bucket; without texts, a set that goes against
+    all. Buckets from ``buckets`` on gather the sets of values that are frequent in a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "vals", "texts", "nodes", "sizes"]
+        task, slices = TaskContext.get().partitionId(), 0
         for batch in batches:
             for _, _, sets, bounds in _slices(batch.column(0)):
                 node = np.frombuffer(b"".join(prints(sets, bounds)), "V16")
@@ -222,15 +243,21 @@ def listed(docs: DataFrame, buckets: int) -> DataFrame:
                 at = np.repeat(bounds[once] - np.cumsum(size[once]) + size[once], size[once]) + np.arange(size[once].sum())
                 sets, bounds, node, size = sets[at], np.concatenate([[0], np.cumsum(size[once])]), node[once], size[once]
                 text, value, stuck = signatures(sets, bounds)
-                bucket = (value >> np.uint64(20)) % np.uint64(buckets)
+                many, stands = frequent(text, value)
+                bucket = ((value >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+                text = (text & ~MANY) | many * MANY
+                apart, slices = buckets + (task * 7919 + slices) % buckets, slices + 1
+                here = np.flatnonzero(~many | stands)
+                text, value = np.concatenate([text[here], text[many]]), np.concatenate([value[here], value[many]])
+                bucket = np.concatenate([bucket[here], np.full(int(many.sum()), apart)])
                 order = np.argsort(bucket, kind="stable")
-                text, value, cuts = text[order], value[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+                text, value, bucket = text[order], value[order], bucket[order]
+                names_of, cuts = np.unique(bucket, return_index=True)
                 rows = []
-                for b in range(buckets):
-                    t, v = text[cuts[b] : cuts[b + 1]], value[cuts[b] : cuts[b + 1]]
-                    if len(t):
-                        used, local = np.unique(t & (ASKS - 1), return_inverse=True)
-                        rows.append((b, v.tobytes(), (local | (t & (ASKS | GUEST))).astype(np.uint16).tobytes(), node[used].tobytes(), size[used].astype(np.int32).tobytes()))
+                for b, lo, hi in zip(names_of.tolist(), cuts.tolist(), np.append(cuts[1:], len(bucket)).tolist(), strict=True):
+                    t, v = text[lo:hi], value[lo:hi]
+                    used, local = np.unique(t & (ASKS - 1), return_inverse=True)
+                    rows.append((b, v.tobytes(), (local | (t & (ASKS | MANY))).astype(np.uint16).tobytes(), node[used].tobytes(), size[used].astype(np.int32).tobytes()))
                 for k in stuck.tolist():
                     own = sets[bounds[k] : bounds[k + 1]]
                     asks = own[: len(own) - (8 * len(own) + 8) // 9 + 1]
@@ -242,8 +269,8 @@ def listed(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _meetings(rows: pa.Table) -> pa.Table:
-    """Of one bucket: distinct pairs (a, b) that meet in few; for a value (val) on which more meet its members (a) with
-    their asks; and sets that go against all documents (a) with their elements (asks)."""
+    """Of one bucket: distinct pairs (a, b) that meet in few; for a value (val) on which more meet those of its members (a)
+    that are in this bucket, with their asks; and sets that go against all documents (a) with their elements (asks)."""
     stuck = rows.filter(rows.column("texts").is_null())
     out = [pa.table({"a": stuck.column("nodes"), "b": pa.nulls(len(stuck), pa.binary()), "val": pa.nulls(len(stuck), pa.int64()), "asks": stuck.column("vals")})]
     rows = rows.filter(rows.column("texts").is_valid())
@@ -261,17 +288,20 @@ def _meetings(rows: pa.Table) -> pa.Table:
     node, same = np.unique(node, return_inverse=True)
     by_node = np.zeros(len(node), np.int64)
     by_node[same] = size
-    text, asks = same[member >> 2], (member & 1) > 0
+    text, asks, many = same[member >> 2], (member & 1) > 0, (member & 2) > 0
     order = np.lexsort((~asks, text, value))
-    value, text, asks = value[order], text[order], asks[order]
+    value, text, asks, many = value[order], text[order], asks[order], many[order]
+    known = np.unique(value[many])
     new = np.concatenate([[True], (value[1:] != value[:-1]) | (text[1:] != text[:-1])]) if len(value) else np.zeros(0, bool)
     value, text, asks = value[new], text[new], asks[new]
     runs = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
     lengths = np.diff(np.append(runs, len(value)))
     asked = np.add.reduceat(asks.astype(np.int64), runs) > 0 if len(runs) else np.zeros(0, bool)
+    crowded = np.isin(value[runs], known, assume_unique=True)
+    pairwise, crowded = asked & ~crowded & (lengths > 1) & (lengths <= PAIRS_UP_TO), crowded | (asked & (lengths > PAIRS_UP_TO))
     lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    few = runs[(lengths > 1) & (lengths <= PAIRS_UP_TO) & asked]
-    length = lengths[(lengths > 1) & (lengths <= PAIRS_UP_TO) & asked]
+    few = runs[pairwise]
+    length = lengths[pairwise]
     for i in range(PAIRS_UP_TO):
         for j in range(i + 1, PAIRS_UP_TO):
             at = few[length > j]
@@ -282,7 +312,7 @@ def _meetings(rows: pa.Table) -> pa.Table:
     pairs = np.unique(np.concatenate(lefts) * len(node) + np.concatenate(rights))
     raw = node.view(np.uint8).reshape(-1, 16)
     out += [pa.table({"a": _fixed(raw[pairs // max(1, len(node))]), "b": _fixed(raw[pairs % max(1, len(node))]), "val": pa.nulls(len(pairs), pa.int64()), "asks": pa.nulls(len(pairs), pa.binary())})]
-    for at, n in zip(runs[(lengths > PAIRS_UP_TO) & asked].tolist(), lengths[(lengths > PAIRS_UP_TO) & asked].tolist(), strict=True):
+    for at, n in zip(runs[crowded].tolist(), lengths[crowded].tolist(), strict=True):
         out.append(pa.table({"a": pa.array([raw[text[at : at + n]].tobytes()], pa.binary()), "b": pa.nulls(1, pa.binary()), "val": pa.array([int(value[at].astype(np.int64))]), "asks": pa.array([asks[at : at + n].tobytes()], pa.binary())}))
     return pa.concat_tables(out)
 
@@ -414,7 +444,11 @@ def node_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = pairs.distinct()
     few = checkpointed(_ruled(pairs, classes))
     many = met.filter("val is not null").select("val", F.expr("transform(sequence(0, cast(length(a) / 16 as int) - 1), i -> struct(substring(a, i * 16 + 1, 16) as node, hex(substring(asks, i + 1, 1)) = '01' as asks))").alias("members"))
-    member = checkpointed(many.select("val", F.explode("members").alias("m"), F.expr("array_min(transform(members, x -> x.node))").alias("least")).select("val", "m.*", "least"))
+    # A value's members come in parts of bounded size; only each part's least node meets the others'.
+    least = many.groupBy("val").agg(F.min(F.expr("array_min(transform(members, x -> x.node))")).alias("least"), F.max(F.expr("exists(members, x -> x.asks)")).alias("asked")).filter("asked").select("val", "least")
+    least = checkpointed(least)
+    each = many.select("val", F.explode("members").alias("m")).groupBy("val", "m.node").agg(F.max("m.asks").alias("asks"))
+    member = checkpointed(each.join(F.broadcast(least) if least.count() <= BROADCAST_IDS else least, "val").select("val", "node", "asks", "least"))
     first = few.unionByName(_ruled(member.select(F.col("least").alias("a"), F.col("node").alias("b")).filter("a < b").distinct(), classes)).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     first = checkpointed(first)
     links, tried = verified(first, classes, docs), first

@@ -165,3 +165,17 @@ def test_components_by_blocks(spark, monkeypatch):
     rows = list(enumerate([*family(rng, words, 30, 0.012), *family(rng, words, 30, 0.03)]))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.join_documents(df).collect()) == brute(rows)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_frequent_values_are_those_of_many_sets(seed):
+    rng = np.random.default_rng(seed)
+    n = (0, 1, 300, 4000)[seed]
+    text = rng.integers(0, 40, n)
+    value = rng.integers(0, 60, n).astype(np.uint64)
+    owners = {}
+    for t, v in zip(text.tolist(), value.tolist(), strict=True):
+        owners.setdefault(v, set()).add(t)
+    many, stands = J.frequent(text | rng.integers(0, 4, n) << 14, value)
+    assert many.tolist() == [len(owners[v]) > J.PAIRS_UP_TO for v in value.tolist()]
+    assert sorted(value[stands].tolist()) == sorted(v for v, o in owners.items() if len(o) > J.PAIRS_UP_TO)
