@@ -215,7 +215,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 def frequent(text: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of one slice's values: which rows belong to values that more than ``PAIRS_UP_TO`` sets share, and the first row of each such value."""
-    order = np.lexsort((text, value))
+    order = np.lexsort((text & (ASKS - 1), value))
     value, text = value[order], text[order] & (ASKS - 1)
     new = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else np.zeros(0, bool)
     runs = np.flatnonzero(new)
