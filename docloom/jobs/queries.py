@@ -719,6 +719,16 @@ def c2_listing(spark, sf):
     return catalog.listing(catalog_rows(spark, sf)).select("name", "version", "place")
 
 
+MIXED = "CASE p_partkey % 7 WHEN 0 THEN 'Lib' WHEN 1 THEN 'lib' WHEN 2 THEN 'líb' WHEN 3 THEN 'LIB' WHEN 4 THEN '@lib/' WHEN 5 THEN 'élan' ELSE 'Elan' END || CAST(p_partkey % 50 AS STRING)"
+MIXED_ROWS = {"name": MIXED, "version": I.CATALOG["version"]}
+
+
+@query(f"WITH {I.sql('loads', 'part', MIXED_ROWS)}, cat AS (SELECT DISTINCT name, version FROM loads) SELECT name, version, row_number() OVER (ORDER BY icu_sort_key(name, 'en'), name, {DOT.format('version')} DESC) AS place FROM cat")
+def c2_listing_of_mixed_names(spark, sf):
+    """Names of any case and with accents stand where readers look for them."""
+    return catalog.listing(I.frame(spark, sf, "part", MIXED_ROWS).distinct())
+
+
 @query(f"WITH {CAT} SELECT count(*) AS n_packages, CAST(sum(size_bytes) AS BIGINT) AS size_bytes, CAST(sum(section_count) AS BIGINT) AS section_count FROM cat")
 def c2_totals(spark, sf):
     return catalog.totals(catalog_rows(spark, sf))

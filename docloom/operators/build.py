@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.operators.corpus import content_key
-from docloom.sources.shared import new_folder, stored
+from docloom.operators.places import running
 
 FEW_SECTIONS = 50
 
@@ -28,17 +27,9 @@ def unique_sections(sections: DataFrame) -> DataFrame:
 
 
 def dense_ids(keys: DataFrame) -> DataFrame:
-    """(package_id, file_ord, section_ord, id): ids from 1 in (file, section) order of each package.
-
-    The places alone are dealt into ranges and stored; counts by package and range give offsets, a window numbers inside a
-    range. No task holds a whole package, however its files are numbered.
-    """
-    ranged = keys.select(*KEY).repartitionByRange(*KEY).withColumn("part", F.spark_partition_id())
-    ranged = stored(ranged, new_folder(keys.sparkSession, "places"))
-    before = W.partitionBy("package_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = ranged.groupBy("package_id", "part").agg(F.count("*").alias("n")).select("package_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    place = F.row_number().over(W.partitionBy("package_id", "part").orderBy("file_ord", "section_ord"))
-    return ranged.withColumn("place", place).join(offsets, ["package_id", "part"]).select(*KEY, (F.col("offset") + F.col("place")).alias("id"))
+    """(package_id, file_ord, section_ord, id): ids from 1 in (file, section) order of each package, numbered by the places
+    alone."""
+    return running(keys.select(*KEY), ["package_id"], [F.col("file_ord"), F.col("section_ord")], F.lit(1), "id")
 
 
 def numbered(sections: DataFrame) -> DataFrame:

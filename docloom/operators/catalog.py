@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions.versions import version_key
+from docloom.operators.places import running
 
 
 def key_of(name: Column, version: Column) -> Column:
@@ -20,18 +20,9 @@ def upserted(loads: DataFrame) -> DataFrame:
 
 
 def listing(catalog: DataFrame) -> DataFrame:
-    """Rows with their place: names ascending, versions highest first.
-
-    Places add up from counts by the names' first letters, by name and inside a name, so that no window holds all names.
-    """
-    head = F.substring("name", 1, 2)
-    by_name = catalog.groupBy("name").agg(F.count("*").alias("n")).withColumn("head", head)
-    so_far = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    heads = by_name.groupBy("head").agg(F.sum("n").alias("n")).select("head", so_far(W.orderBy("head")).alias("before_head"))
-    names = by_name.withColumn("before_name", so_far(W.partitionBy("head").orderBy("name"))).join(heads, "head").select("name", (F.col("before_head") + F.col("before_name")).alias("before"))
-    keys = catalog.select("name", "version").withColumn("inside", F.row_number().over(W.partitionBy("name").orderBy(version_key(F.col("version")).desc())))
-    places = keys.join(names, "name").select("name", "version", (F.col("before") + F.col("inside")).alias("place"))
-    return catalog.join(places, ["name", "version"])
+    """Rows with their place: names ascending as readers order them (accents and case decide last), versions highest first."""
+    order = [F.collate(F.col("name"), "UNICODE"), F.col("name"), version_key(F.col("version")).desc()]
+    return catalog.join(running(catalog.select("name", "version"), [], order, F.lit(1), "place"), ["name", "version"])
 
 
 def totals(catalog: DataFrame) -> DataFrame:

@@ -7,31 +7,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import versions as V
+from docloom.operators.places import least_ranges, running
 
 TAGS_SHOWN = 100
 
 
 def placed(versions: DataFrame) -> DataFrame:
-    """Distinct versions with their place in the full order, from 1.
-
-    Versions meet by their first segment; the places before each of these groups come from the groups' counts.
-    """
-    keyed = versions.select("version", V.version_key(F.col("version")).alias("key")).withColumn("head", F.struct("key.numeric", F.get("key.nums", F.lit(0)).alias("first")))
-    before = W.orderBy("head").rowsBetween(W.unboundedPreceding, -1)
-    offsets = keyed.groupBy("head").agg(F.count("*").alias("n")).select("head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = F.row_number().over(W.partitionBy("head").orderBy("key"))
-    place = keyed.withColumn("inside", inside).withColumnRenamed("head", "own").join(offsets, F.col("own").eqNullSafe(F.col("head")))
-    return place.select("version", (F.col("offset") + F.col("inside")).alias("place"))
+    """Distinct versions with their place in the full order, from 1."""
+    return running(versions.select("version"), [], [V.version_key(F.col("version"))], F.lit(1), "place")
 
 
 def resolve_entries(releases: DataFrame, entries: DataFrame) -> DataFrame:
     """Releases with the first entry in file order whose list holds the version or whose range (least <= v < most) does."""
-    e = entries.select(F.col("registry").alias("_registry"), F.col("name").alias("_name"), "entry_ord", "min_version", "max_version", "versions")
-    v = F.col("version")
-    in_range = F.col("versions").isNull() & ~V.dotted_below(v, F.col("min_version")) & ~V.dotted_reaches(v, F.col("max_version"))
-    fits = (F.col("registry") == F.col("_registry")) & (F.col("name") == F.col("_name")) & F.coalesce(F.array_contains("versions", v), in_range)
-    found = releases.join(e, fits)
-    return found.groupBy(*releases.columns).agg(F.min("entry_ord").alias("entry_ord"))
+    own = F.struct("registry", "name").alias("g")
+    named = F.col("registry").isNotNull() & F.col("name").isNotNull()
+    e = entries.filter(named)
+    listed = e.filter("versions is not null").select(own, F.explode("versions").alias("version"), "entry_ord").groupBy("g", "version").agg(F.min("entry_ord").alias("entry_ord"))
+    ranges = e.filter("versions is null").select(own, F.col("entry_ord").alias("ord"), "min_version", "max_version")
+    held = least_ranges(releases.filter(named).select(own, "version").distinct(), ranges).withColumnRenamed("ord", "entry_ord")
+    first = listed.filter("version is not null").unionByName(held).groupBy("g", "version").agg(F.min("entry_ord").alias("entry_ord"))
+    first = first.select(F.col("g.registry").alias("_registry"), F.col("g.name").alias("_name"), F.col("version").alias("_version"), "entry_ord")
+    same = (F.col("registry") == F.col("_registry")) & (F.col("name") == F.col("_name")) & F.col("version").eqNullSafe(F.col("_version"))
+    return releases.distinct().join(first, same).select(*releases.columns, "entry_ord")
 
 
 def since(releases: DataFrame, days: int, as_of: Column) -> DataFrame:
@@ -81,7 +78,8 @@ def listed_tags(tags: DataFrame, limit: int = TAGS_SHOWN) -> DataFrame:
 
 def highest_in_ranges(entries: DataFrame, tags: DataFrame) -> DataFrame:
     """(registry, name, version): the highest version that tags of an entry's pattern give inside the entry's range."""
-    e = entries.select("registry", "name", "repo", "min_version", "max_version", F.col("tag_pattern").alias("pattern"))
-    found = e.join(tags.select("repo", "tag"), "repo").withColumn("version", V.version_in_tag(F.col("tag"), F.col("pattern"))).filter("version is not null")
-    found = found.filter(~V.dotted_below(F.col("version"), F.col("min_version")) & ~V.dotted_reaches(F.col("version"), F.col("max_version")))
-    return found.groupBy("registry", "name").agg(F.max_by("version", V.dotted_key(F.col("version"))).alias("version"))
+    own = F.struct("registry", "name", "repo", F.col("tag_pattern").alias("pattern")).alias("g")
+    e = entries.select(own, "min_version", "max_version", F.lit(0).alias("ord"))
+    asked = e.select("g", "g.repo", "g.pattern").distinct()
+    found = asked.join(tags.select("repo", "tag"), "repo").select("g", V.version_in_tag(F.col("tag"), F.col("pattern")).alias("version")).filter("version is not null").distinct()
+    return least_ranges(found, e).groupBy("g.registry", "g.name").agg(F.max_by("version", V.dotted_key(F.col("version"))).alias("version"))
