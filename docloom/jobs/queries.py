@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.functions import versions as V
+from docloom.jobs import catalogs
 from docloom.jobs import inputs as I
 from docloom.jobs.corpus import answers, chunks_of, remove_packages, search_index, write_chunks, write_index
 from docloom.operators import build, catalog, corpus, crawl, index, publish, releases, search
@@ -714,6 +715,12 @@ def c1_upserted(spark, sf):
     return catalog_rows(spark, sf).select("name", "version", "load_ord", "size_bytes")
 
 
+@query(f"WITH {CAT} SELECT name, version, load_ord, size_bytes FROM cat")
+def c1_stored_upserts(spark, sf):
+    """The same by three keyed writes to a stored catalog."""
+    return catalogs.upserted_in_turns(I.frame(spark, sf, "part", I.CATALOG), 3, new_folder(spark, "catalog")).select("name", "version", "load_ord", "size_bytes")
+
+
 @query(f"WITH {CAT} SELECT name, version, row_number() OVER (ORDER BY name, {DOT.format('version')} DESC) AS place FROM cat")
 def c2_listing(spark, sf):
     return catalog.listing(catalog_rows(spark, sf)).select("name", "version", "place")
