@@ -506,6 +506,16 @@ def s2_archives(spark, sf):
     return trees.entries_of(archives).select("archive", "path", F.md5("content").alias("content_md5"))
 
 
+@query("SELECT s_nationkey || '.zip' AS archive, 'docs/' || s_suppkey || '.md' AS path, md5('# ' || s_name || ' é ' || s_suppkey) AS content_md5 FROM supplier WHERE s_nationkey % 5 <> 4 AND s_suppkey % 10 <> 3")
+def s2_stored_archives(spark, sf):
+    """Stored archives, one for each nation, read by their directories; entries whose number ends in 3 are not asked for."""
+    root = new_folder(spark, "archives")
+    rows = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("s_nationkey AS nation", "'docs/' || CAST(s_suppkey AS STRING) || '.md' AS path", f"{SUPPLIER_FILE} AS content")
+    I.store_zipped(root, rows)
+    found = trees.read_archives(spark, root, ~F.col("path").endswith("3.md"))
+    return found.select(F.element_at(F.split("archive", "/"), -1).alias("archive"), "path", F.md5("content").alias("content_md5"))
+
+
 @query(
     "WITH s AS (SELECT s_suppkey AS k, CASE s_suppkey % 2 WHEN 0 THEN 'npm' ELSE 'pip' END AS registry, CASE s_suppkey % 3 WHEN 0 THEN '@scope/lib' ELSE 'lib' END || s_suppkey AS name FROM supplier)"
     " SELECT registry, name, name AS path_name, 0 AS entry_ord, '1.' || (k % 7) AS min_version, CASE WHEN k % 4 = 0 THEN '9.0' END AS max_version, NULL AS versions FROM s WHERE k % 5 <> 0 UNION ALL SELECT registry, name, name, 1, NULL, NULL, '0.1,0.' || (k % 9) FROM s WHERE k % 5 <> 0"

@@ -89,19 +89,40 @@ def ignore_regex(pattern: str) -> str:
 
 @F.pandas_udf(StringType())
 def _compiled(patterns: pd.Series) -> pd.Series:
-    return patterns.map(lambda p: ignore_regex(p[1:] if p.startswith("!") else p))
+    return patterns.map(lambda p: ignore_regex(p.removeprefix("!")).removeprefix("(?i)"))
+
+
+def matchers(rules: DataFrame) -> DataFrame:
+    """(package_id, ignores): one expression for all rules (package_id, ord, pattern) of a package; it fits what they ignore.
+
+    The last rule that fits decides: later rules stand first, one that keeps is a look-ahead before all earlier ones.
+    """
+    own = rules.filter(~F.col("pattern").rlike("^(#|\\s*$)")).select("package_id", F.struct("ord", _compiled("pattern").alias("rx"), F.col("pattern").startswith("!").alias("keep")).alias("r"))
+    listed = own.groupBy("package_id").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    behind = lambda a: F.when(a.keep, a.rx).otherwise(F.concat(F.lit("(?:"), a.rx, F.lit(")")))
+    added = lambda a, r: F.struct(F.when(r.keep, F.concat(F.lit("(?!"), r.rx, F.lit(")"), behind(a))).otherwise(F.concat(r.rx, F.lit("|"), a.rx)).alias("rx"), r.keep.alias("keep"))
+    nothing = F.struct(F.lit("(?!)").alias("rx"), F.lit(False).alias("keep"))
+    return listed.select("package_id", F.concat(F.lit("(?i)"), F.aggregate("r", nothing, added).rx).alias("ignores"))
 
 
 def drop_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Files that no repository rule (package_id, ord, pattern) ignores: the last matching rule decides, and an ignored
-    directory hides what lies below it. A package's rules are one small row."""
-    listed = rules.filter(~F.col("pattern").rlike("^(#|\\s*$)")).select("package_id", F.struct("ord", _compiled("pattern").alias("rx"), F.col("pattern").startswith("!").alias("keep")).alias("r"))
-    listed = listed.groupBy("package_id").agg(F.sort_array(F.collect_list("r")).alias("_rules"))
-    parts = F.split("path", "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.when(i < F.size(parts), "/").otherwise("")))
-    ignored = lambda p: F.aggregate("_rules", F.lit(False), lambda a, r: F.when(F.regexp_like(p, r.rx), ~r.keep).otherwise(a))
-    out = files.join(listed, "package_id", "left")
-    return out.filter(F.col("_rules").isNull() | ~F.exists(prefixes, ignored)).select(files.columns)
+    directory hides what lies below it.
+
+    A package's rules are one expression. Each distinct directory is judged once, and its verdict goes to all directories
+    below; a file is judged by its own path alone. Without a package or rules a file stays; without a path it is ignored by any rule.
+    """
+    rx = matchers(rules)
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    folders = files.select("package_id", folder.alias("_folder")).filter("_folder <> ''").distinct().join(rx.select("package_id"), "package_id", "left_semi")
+    parts = F.split("_folder", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
+    each = folders.select("package_id", "_folder", F.explode(above).alias("_above"))
+    judged = each.select("package_id", "_above").distinct().join(rx, "package_id").filter(F.regexp_like("_above", F.col("ignores"))).select("package_id", "_above")
+    hidden = each.join(judged, ["package_id", "_above"], "left_semi").select("package_id", "_folder").distinct()
+    rest = files.withColumn("_folder", folder).join(hidden, ["package_id", "_folder"], "left_anti")
+    rest = rest.join(rx.withColumnRenamed("ignores", "_ignores"), "package_id", "left")
+    return rest.filter(F.col("_ignores").isNull() | ~F.regexp_like("path", F.col("_ignores"))).select(files.columns)
 
 
 def glob_regex(glob: str) -> str:

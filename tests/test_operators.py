@@ -88,6 +88,44 @@ def test_ignore_rules(spark):
     assert sorted((r.package_id, r.path) for r in corpus.drop_ignored(files, rules).collect()) == [("p", "a.md"), ("p", "keep/z.log"), ("q", "build/x.md")]
 
 
+def test_ignore_rules_against_a_plain_loop(spark):
+    """Random rules and trees: prefixes of a path are judged one after another, each by all rules."""
+    import random
+    import re
+
+    rng = random.Random(3)
+    names = ["a", "B", "docs", "x.md", "y.log", "build"]
+    path = lambda n: "/".join(rng.choice(names) for _ in range(rng.randint(1, n)))
+    forms = ["*.md", "docs/", "!docs/", "/a", "!a/x.md", "a/**", "**/build", "!*.log", "y.log", "b", "!B/", "# a", " ", "!x.*", "[ab]", "docs/**/x.md"]
+    rules = [(p, k, rng.choice(forms)) for p in "pqrs" for k in range(rng.randint(1, 9))]
+    files = [(p, k, path(6)) for p in ["p", "q", "r", "s", "none", None] for k in range(300)]
+
+    def ignored(package, path):
+        own = [(t.startswith("!"), re.compile(corpus.ignore_regex(t.removeprefix("!")))) for p, _, t in rules if p == package and t.strip() and t[0] != "#"]
+        parts = path.split("/")
+        for i in range(1, len(parts) + 1):
+            prefix, verdict = "/".join(parts[:i]) + ("/" if i < len(parts) else ""), False
+            for keep, rx in own:
+                verdict = not keep if rx.search(prefix) else verdict
+            if verdict:
+                return True
+        return False
+
+    df = spark.createDataFrame(files, "package_id string, file_ord int, path string")
+    got = corpus.drop_ignored(df, spark.createDataFrame(rules, "package_id string, ord int, pattern string"))
+    assert got.columns == df.columns
+    key = lambda r: (r[0] or "", r[1])
+    assert sorted((tuple(r) for r in got.collect()), key=key) == sorted((f for f in files if not ignored(f[0], f[2])), key=key)
+    assert corpus.drop_ignored(df, spark.createDataFrame([], "package_id string, ord int, pattern string")).count() == len(files)
+    assert corpus.drop_ignored(df.limit(0), spark.createDataFrame(rules, "package_id string, ord int, pattern string")).count() == 0
+
+
+def test_a_package_of_many_rules(spark):
+    rules = spark.createDataFrame([("p", k, f"!d{k}/keep*.md" if k % 3 == 0 else f"d{k}/*.md") for k in range(900)], "package_id string, ord int, pattern string")
+    files = spark.createDataFrame([("p", f"d{k}/x.md") for k in range(900)], "package_id string, path string")
+    assert corpus.drop_ignored(files, rules).count() == 300
+
+
 @pytest.mark.parametrize(("glob", "path", "fits"), [("a/*", "a/b", True), ("a/*", "a/b/c", False), ("a/**", "a/b/c", True), ("*.md", "x.md", True), ("*.md", "d/x.md", False), ("a.b", "axb", False)])
 def test_globs(glob, path, fits):
     import re
