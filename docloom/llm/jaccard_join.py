@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import textkernel as K
-from docloom.llm.components import components
+from docloom.llm.components import grouped, held, merged
 from docloom.llm.tables import boxed, checkpointed, table, unboxed
 
 SIZE = 5
@@ -451,17 +451,16 @@ def node_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     member = checkpointed(each.join(F.broadcast(least) if least.count() <= BROADCAST_IDS else least, "val").select("val", "node", "asks", "least"))
     first = few.unionByName(_ruled(member.select(F.col("least").alias("a"), F.col("node").alias("b")).filter("a < b").distinct(), classes)).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     first = checkpointed(first)
-    links, tried = verified(first, classes, docs), first
+    (roots, n), tried = grouped(verified(first, classes, docs)), first
     for turn in range(ROUNDS + 1):
-        roots = components(links)
-        nodes, plan = _families(member, roots, classes)
+        nodes, plan = _families(member, held(roots, n), classes)
         # Large families of which much lies outside their largest component are dealt anew for another round of nearest ones.
         nearest = turn < ROUNDS and (turn == 0 or plan.filter("n_few > 1").limit(1).count() > 0)
-        apart = checkpointed(_between(few, roots, _groups(nodes, plan, nearest, turn), nearest).join(tried, ["a", "b"], "left_anti"))
-        links, tried = links.unionByName(verified(apart, classes, docs)), tried.unionByName(apart)
+        apart = checkpointed(_between(few, held(roots, n), _groups(nodes, plan, nearest, turn), nearest).join(tried, ["a", "b"], "left_anti"))
+        (roots, n), tried = merged(roots, n, verified(apart, classes, docs)), tried.unionByName(apart)
         if not nearest:
             break
-    return rows, components(links)
+    return rows, held(roots, n)
 
 
 def _families(member: DataFrame, roots: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
