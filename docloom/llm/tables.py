@@ -5,19 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.sources.shared import new_folder, shared_dir
-
-
-#: Batches between Spark and its Python workers hold about so many bytes at most; rows are of very different lengths.
-BATCH_BYTES = 4 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's limit of bytes in an Arrow batch where it is Spark's own default, so that a task's memory
-    doesn't follow the longest rows."""
-    key, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
-    if spark.conf.get(key) == default:
-        spark.conf.set(key, f"{BATCH_BYTES}b")
+from docloom.sources.shared import bounded_batches, new_folder, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
