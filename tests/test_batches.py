@@ -1,6 +1,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from docloom.jobs import inputs as I
 from docloom.operators.sections import sections
 from docloom.sources.shared import BATCH_BYTES
 
@@ -15,3 +16,10 @@ def test_workers_get_few_large_files_at_once(spark):
             yield pd.DataFrame({"n": [int(b.content.str.len().sum())]})
 
     assert max(r.n for r in files.mapInPandas(sizes, "n long").collect()) <= 2 * BATCH_BYTES
+
+
+def test_narrow_rows_are_dealt_to_many_tasks(spark):
+    one = spark.range(0, 1001, 1, 1)
+    dealt = I.dealt(one, 100)
+    assert dealt.rdd.getNumPartitions() == 11 and dealt.count() == 1001
+    assert I.dealt(one.filter("id < 0"), 100).count() == 0
